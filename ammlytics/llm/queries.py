@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammlytics.llm import ngram_join
+from ammlytics.llm import ngram_join, packing, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_ngram_join": op5_ngram_join}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_winnowing": op1_winnowing, "op7_packing": op7_packing, "op5_ngram_join": op5_ngram_join}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -30,8 +38,8 @@ WITH RECURSIVE d AS (
 ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 link AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
-reach AS (SELECT a AS node, b AS at FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.at)
+reach AS (SELECT a AS node, b AS other FROM link UNION SELECT r.node, l.b FROM reach r JOIN link l ON l.a = r.other)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.m, d.doc_id)) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(at) AS m FROM reach GROUP BY node) m USING (doc_id)
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node AS doc_id, min(other) AS m FROM reach GROUP BY node) m USING (doc_id)
 """,
 }
