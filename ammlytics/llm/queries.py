@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammlytics.llm import ngram_join, packing, winnowing
+from ammlytics.llm import language_id, licenses, ngram_join, packing, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.license_scan(_table(spark, sf_dir, "documents")))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    filters = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs, filters)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_components(_table(spark, sf_dir, "documents"))
 
@@ -24,7 +35,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_winnowing": op1_winnowing, "op7_packing": op7_packing, "op5_ngram_join": op5_ngram_join}
+QUERIES = {"op1_winnowing": op1_winnowing, "op2_licenses": op2_licenses, "op4_language_id": op4_language_id, "op7_packing": op7_packing, "op5_ngram_join": op5_ngram_join}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
