@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammlytics.llm import ann, html_extract, language_id, licenses, ngram_join, packing, substring_dedup, winnowing
+from ammlytics.llm import ann, html_extract, language_id, licenses, line_dedup, ngram_join, packing, substring_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.license_scan(_table(spark, sf_dir, "documents")))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     filters = language_id.fit(docs.where(~language_id.held_out()))
@@ -49,7 +54,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
-QUERIES = {"op1_winnowing": op1_winnowing, "op2_licenses": op2_licenses, "op4_language_id": op4_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op9_html_text": op9_html_text, "op10_neighbours": op10_neighbours, "op5_ngram_join": op5_ngram_join}
+QUERIES = {"op1_winnowing": op1_winnowing, "op2_licenses": op2_licenses, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op9_html_text": op9_html_text, "op10_neighbours": op10_neighbours, "op5_ngram_join": op5_ngram_join}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
