@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +53,27 @@ def texts(docs: DataFrame, *columns: str) -> DataFrame:
     ship(docs.sparkSession)
     kind = {"doc_id": "long", "page_id": "long", "vec_id": "long", "n_chars": "long"}
     return docs.select(*[F.col(f"`{c}`").cast(kind.get(c, "string")).alias(c) for c in columns])
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) with each text compressed, for a shuffle by doc_id: about half the bytes of Spark's own compression."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            body = [press(x) if x else x for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["doc_id", "body"])
+
+    return docs.mapInArrow(run, "doc_id long, body binary")
+
+
+def unpacked(batches, column: int, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches with their compressed column number ``column`` - 1 as plain bytes, at most ``rows`` rows at a time."""
+    press = zstandard.ZstdDecompressor().decompress
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            body = [press(x) if x else x for x in batch.column(column - 1).to_pylist()]
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            columns[column - 1] = pa.array(body, pa.large_binary())
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
