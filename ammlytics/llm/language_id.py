@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ammlytics.llm import _arrays as A
 from ammlytics.llm._bpe import LETTER, point_classes
-from ammlytics.llm._spark import texts
+from ammlytics.llm._spark import texts, written
 
 U64 = np.uint64
 SIZES = (2, 3, 4)
@@ -32,6 +32,8 @@ HASHES = 3
 #: Slots of the table: a fixed size of 8 bytes each for every 64 languages.
 SLOT_BITS = 20
 UNKNOWN = "und"
+#: Text that a task works on at a time, and n-grams that it holds before it adds them up: these bound its memory.
+CHUNK_BYTES, COUNT_GRAMS = 1 << 19, 2_000_000
 
 
 @cache
@@ -115,7 +117,7 @@ def _count(batches):
             g, c = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], schema=schema)
 
-    for langs, data, offsets in A.chunks(batches, 2):
+    for langs, data, offsets in A.chunks(batches, 2, CHUNK_BYTES):
         names = langs.to_pylist()
         found, bounds, _ = grams(data, offsets)
         for lang in set(names):
@@ -124,7 +126,7 @@ def _count(batches):
                 part = np.concatenate([h[bounds[i] : bounds[i + 1]] for i in mine])
                 held.setdefault(lang, []).append(part[part != 0])
                 size += len(part)
-        if size > 12_000_000:
+        if size > COUNT_GRAMS:
             yield from out()
             held, size = {}, 0
     yield from out()
@@ -139,13 +141,13 @@ def fit(labelled: DataFrame, *, train_docs: int = 4000, keep: int = 150_000, lea
         return Filters([], [], 0)
     share = F.create_map([F.lit(x) for lang in languages for x in (lang, min(1.0, train_docs / counts[lang]))])
     chosen = rows.where(F.expr("pmod(xxhash64(doc_id, 'train'), 1000000)") < share[F.col("lang")] * 1_000_000).select("lang", "text")
-    total = chosen.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")).where("c > 2")
+    total = written(chosen.mapInArrow(_count, "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c")).where("c > 2"))
     keys = []
     table = total.groupBy("lang").agg(F.sum("c").alias("all"))
     often = total.join(F.broadcast(table), "lang").where(F.col("c") >= F.col("all") * least).select("lang", "gram", "c", (F.col("c") / F.col("all")).alias("rate"))  # a row for each language
     # what is much rarer here than in another language comes from quoted or mislabelled text
     best = often.groupBy("gram").agg(F.max("rate").alias("best"))
-    often = often.join(best, "gram").where(F.col("rate") >= rarer * F.col("best")).select("lang", "gram", "c")
+    often = written(often.join(best, "gram").where(F.col("rate") >= rarer * F.col("best")).select("lang", "gram", "c"))
     for lang in languages:
         top = often.where(F.col("lang") == lang).orderBy(F.desc("c"), "gram").limit(keep).select("gram").toArrow()
         keys.append(top["gram"].to_numpy().view(U64))
@@ -161,7 +163,7 @@ def predict(docs: DataFrame, filters: Filters, *carry: str) -> DataFrame:
 
     def run(batches):
         f = model.value
-        for *lead, data, offsets in A.chunks(batches, len(columns) + 1):
+        for *lead, data, offsets in A.chunks(batches, len(columns) + 1, CHUNK_BYTES):
             n = len(offsets) - 1
             if not f.languages:
                 names, score = [UNKNOWN] * n, np.zeros(n)
