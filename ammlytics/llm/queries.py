@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammlytics.llm import ann, html_extract, language_id, licenses, line_dedup, ngram_join, packing, substring_dedup, winnowing
+from ammlytics.llm import ann, html_extract, language_id, licenses, line_dedup, ngram_join, packing, sentencepiece_bpe, substring_dedup, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.main_text(_table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -54,7 +58,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
 
 
-QUERIES = {"op1_winnowing": op1_winnowing, "op2_licenses": op2_licenses, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op9_html_text": op9_html_text, "op10_neighbours": op10_neighbours, "op5_ngram_join": op5_ngram_join}
+QUERIES = {"op1_winnowing": op1_winnowing, "op2_licenses": op2_licenses, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece, "op9_html_text": op9_html_text, "op10_neighbours": op10_neighbours, "op5_ngram_join": op5_ngram_join}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 

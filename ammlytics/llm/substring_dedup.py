@@ -267,18 +267,17 @@ def _judge(size: int):
     return run
 
 
-def _cut(size: int, layout: bool):
-    """Texts without the words that the windows at the given places cover."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+def _cut(size: int, layout: bool, carry: int):
+    """Texts without the words that the windows at the given places cover. Columns: doc_id, starts, counts, those to carry, body."""
 
     def run(batches):
-        for batch in unpacked(batches, 4):
+        for batch in unpacked(batches, 4 + carry):
             rows = []
-            for i, begins, counts, body in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            for begins, counts, body in zip(*(batch.column(j).to_pylist() for j in (1, 2, 3 + carry)), strict=True):
                 words = (body or b"").split()
                 if not begins:
                     kept = (body or b"") if layout else b" ".join(words)
-                    rows.append((i, len(words), 0, kept.decode()))
+                    rows.append((len(words), 0, None if body is None and layout else kept.decode()))
                     continue
                 begin, count = _flat(begins).astype(np.int64), _flat(counts).astype(np.int64)
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -292,9 +291,10 @@ def _cut(size: int, layout: bool):
                     kept = body[: spans[0]] + b"".join(body[a:b] for a, b in compress(zip(spans[:-1], spans[1:], strict=True), keep))
                 else:
                     kept = b" ".join(compress(words, keep))
-                rows.append((i, len(words), int(len(words) - keep.sum()), kept.decode()))
+                rows.append((len(words), int(len(words) - keep.sum()), kept.decode()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:-1], *made], names=["doc_id", *batch.schema.names[3:-1], "n_words", "n_removed", "kept"])
 
     return run
 
@@ -310,11 +310,13 @@ def places(docs: DataFrame, *, size: int = 20, minimiser: int = 8) -> DataFrame:
     return dealt(strings, "bucket").mapInArrow(_judge(size), _PLACES)
 
 
-def remove_repeats(docs: DataFrame, *, size: int = 20, minimiser: int = 8, layout: bool = False) -> DataFrame:
-    """Of docs(doc_id, text): doc_id, n_words, n_removed and kept, the words that stay joined by one blank.
+def remove_repeats(docs: DataFrame, *, size: int = 20, minimiser: int = 8, layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of docs(doc_id, text): doc_id, the columns named in carry, n_words, n_removed and kept, the words that stay joined by one blank.
 
-    layout: kept is instead the text without the removed words and the white space after each.
+    layout: kept is instead the text without the removed words and the white space after each (null where the text is null).
     """
     found = written(places(docs, size=size, minimiser=minimiser)).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
-    rows = packed(texts(docs, "doc_id", "text")).join(found, "doc_id", "left").select("doc_id", "starts", "counts", "body")
-    return rows.mapInArrow(_cut(size, layout), "doc_id long, n_words long, n_removed long, kept string")
+    whole = packed(texts(docs, "doc_id", *carry, "text"))
+    kinds = "".join(f"`{c}` {t}, " for c, t in whole.dtypes[1:-1])
+    rows = whole.join(found, "doc_id", "left").select("doc_id", "starts", "counts", *carry, "body")
+    return rows.mapInArrow(_cut(size, layout, len(carry)), f"doc_id long, {kinds}n_words long, n_removed long, kept string")
