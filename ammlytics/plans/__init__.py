@@ -1 +1,6 @@
-"""plans of ammlytics."""
+"""Registered queries; importing the modules fills the registry."""
+
+from ammlytics.plans import market
+from ammlytics.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "market"]
