@@ -138,13 +138,13 @@ def first_filled(*values: Column) -> Column:
 
 
 def to_number(x: Column) -> Column:
-    return F.nullif(F.expr("1D") * x.try_cast("double"), F.lit(float("nan")))
+    return F.nullif(x.try_cast("double"), F.lit(float("nan")))
 
 
 def to_fraction(x: Column) -> Column:
     """A number, percent over 1 divided by 100, within 0 and 1; null if it is none."""
     v = to_number(x)
-    return F.least(F.greatest(F.when(v > 1, v / 100).otherwise(v), F.lit(0.0)), F.lit(1.0))
+    return F.when(v.isNotNull(), F.least(F.greatest(F.when(v > 1, v / 100).otherwise(v), F.lit(0.0)), F.lit(1.0)))
 
 
 def to_flag(x: Column) -> Column:

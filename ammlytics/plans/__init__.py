@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from ammlytics.plans import market
+from ammlytics.plans import amm, market, research
 from ammlytics.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "market"]
+__all__ = ["ORACLES", "QUERIES", "amm", "market", "research"]
