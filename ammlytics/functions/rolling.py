@@ -69,3 +69,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, ri
     w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
     both = l.unionByName(r, allowMissingColumns=True)
     return both.withColumn(f"{value}_as_of", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_t", "_side", "_v", "_o")
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation of a group; null where either side doesn't vary (the built-in one raises there in ANSI mode)."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))

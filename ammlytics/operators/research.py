@@ -222,7 +222,7 @@ def shuffled(b: DataFrame, seed: str, by: list[str], values: list[str], place: s
 
 def p_value(real: Column, null: Column, n: Column) -> Column:
     """(1 + nulls at least as large) / (n + 1)."""
-    return (1 + F.sum((null >= real).cast("int"))) / (n + 1)
+    return (1 + F.coalesce(F.sum((null >= real).cast("int")), F.lit(0))) / (n + 1)
 
 
 # Cross-section ----------------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ammlytics.functions import columns as C
-from ammlytics.functions.rolling import average_rank, ema, hash_order, rolling
+from ammlytics.functions.rolling import average_rank, correlation, ema, hash_order, rolling
 from ammlytics.operators import research as R
 from ammlytics.plans.market import rounded
 from ammlytics.plans.registry import query
@@ -107,7 +107,7 @@ def _(t):
 @query("autocorrelation", f"WITH {_IB}, r AS (SELECT pair_address, i, close / {_lag('close')} - 1 AS r FROM ib), l AS (SELECT pair_address, r, {_lag('r')} AS p FROM r) SELECT pair_address, round(corr(r, p), 6) AS ac FROM l GROUP BY 1")
 def _(t):
     r = R.numbered(t.bars).withColumn("r", F.col("close") / F.lag("close").over(R.w()) - 1).withColumn("p", F.lag("r").over(R.w()))
-    return rounded(r.where("p is not null").groupBy(P).agg(F.corr("r", "p").alias("ac")))
+    return rounded(r.where("p is not null").groupBy(P).agg(correlation("r", "p").alias("ac")))
 
 
 @query("age_fan", f"WITH {_IB}, x AS (SELECT i, close / first_value(close) OVER (PARTITION BY pair_address ORDER BY i) AS v FROM ib) SELECT i, count(*) AS n, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.05), 6) AS p5, round(quantile_cont(v, 0.25), 6) AS p25, round(median(v), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75, round(quantile_cont(v, 0.95), 6) AS p95 FROM x GROUP BY 1")
@@ -256,7 +256,7 @@ def _(t):
 @query("rank_ic", f"WITH {_PANEL}, a AS (SELECT d, rank() OVER (PARTITION BY d ORDER BY mom) + (count(*) OVER (PARTITION BY d, mom) - 1) / 2.0 AS x, rank() OVER (PARTITION BY d ORDER BY fwd) + (count(*) OVER (PARTITION BY d, fwd) - 1) / 2.0 AS y FROM g WHERE mom IS NOT NULL AND fwd IS NOT NULL), c AS (SELECT d, corr(x, y) AS ic, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 5) SELECT count(*) AS dates, round(avg(ic), 6) AS ic, round(avg(ic) / stddev_pop(ic) * sqrt(count(*)), 4) AS t, round(avg(CASE WHEN ic > 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS win FROM c")
 def _(t):
     x = panel(t).where("fwd is not null and mom is not null").select("d", average_rank(F.col("mom"), ["d"]).alias("x"), average_rank(F.col("fwd"), ["d"]).alias("y"))
-    c = x.groupBy("d").agg(F.corr("x", "y").alias("ic"), F.count("*").alias("n")).where("n >= 5")
+    c = x.groupBy("d").agg(correlation("x", "y").alias("ic"), F.count("*").alias("n")).where("n >= 5")
     return c.agg(F.count("*").alias("dates"), F.round(F.avg("ic"), 6).alias("ic"), F.round(F.avg("ic") / F.stddev_pop("ic") * F.sqrt(F.count("*")), 4).alias("t"), F.round(F.avg((F.col("ic") > 1e-9).cast("double")), 6).alias("win"))
 
 

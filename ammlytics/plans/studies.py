@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ammlytics.functions import columns as C
-from ammlytics.functions.rolling import average_rank, hash_order, rolling
+from ammlytics.functions.rolling import average_rank, correlation, hash_order, rolling
 from ammlytics.operators import market as M
 from ammlytics.operators import research as R
 from ammlytics.plans.market import rounded
@@ -66,7 +66,7 @@ def _(t):
 def _(t):
     v = flow(t).where("imb is not null").withColumn("fwd", F.lead("close").over(R.w()) / F.col("close") - 1).where("fwd is not null")
     a = v.select(P, average_rank(F.col("imb"), [P]).alias("x"), average_rank(F.col("fwd"), [P]).alias("y"))
-    c = a.groupBy(P).agg(F.corr("x", "y").alias("ic"), F.count("*").alias("n")).where("n >= 20")
+    c = a.groupBy(P).agg(correlation("x", "y").alias("ic"), F.count("*").alias("n")).where("n >= 20")
     return c.agg(F.count("*").alias("pairs"), F.round(F.avg("ic"), 6).alias("mean"), F.round(F.median("ic"), 6).alias("median"))
 
 
@@ -243,13 +243,15 @@ def _(t):
     x = x.where("i >= 30 and i % 7 = 0 and y is not null")
     x = x.withColumn("label", average_rank(F.col("y"), ["day"]) / F.count("*").over(Window.partitionBy("day")))
     train, test = x.where("day < date'1999-01-01'"), x.where("day >= date'1999-01-01'")
+    if train.isEmpty() or test.isEmpty():  # nothing to learn from, or nothing to score
+        return t.spark.createDataFrame([], "day date, ic double, n long")
     cols = ["ret5", "ret20"]
     imputer = Imputer(strategy="median", inputCols=cols, outputCols=[f"{c}_f" for c in cols]).fit(train)
     assembler = VectorAssembler(inputCols=[f"{c}_f" for c in cols], outputCol="features")
     model = GBTRegressor(labelCol="label", maxIter=5, maxDepth=3, seed=1).fit(assembler.transform(imputer.transform(train)))
     scored = model.transform(assembler.transform(imputer.transform(test)))
     r = scored.select("day", average_rank(F.col("prediction"), ["day"]).alias("p"), average_rank(F.col("y"), ["day"]).alias("r"))
-    return r.groupBy("day").agg(F.corr("p", "r").alias("ic"), F.count("*").alias("n")).where("n >= 5 and ic is not null")
+    return r.groupBy("day").agg(correlation("p", "r").alias("ic"), F.count("*").alias("n")).where("n >= 5 and ic is not null")
 
 
 # Normalisers of landed responses

@@ -13,8 +13,8 @@ def canonical(df):
     def show(v):
         if v is None or v is pd.NA or v is pd.NaT or v != v:
             return None
-        if isinstance(v, float):
-            return repr(round(v, 6))
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return repr(round(float(v), 6) + 0.0)
         return pd.Timestamp(v).isoformat() if hasattr(v, "isoformat") else str(v)
 
     return sorted((tuple(show(v) for v in row) for row in df[sorted(df.columns)].astype(object).values.tolist()), key=repr)
