@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,6 +67,15 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back, so that workers of earlier stages don't hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def chunks(batches, columns: int = 2, size: int = CHUNK_BYTES) -> Iterator[tuple]:
     """Of record batches whose last column is text: the leading columns' slices, bytes and offsets, about ``size`` bytes at a time."""
     for batch in batches:
@@ -79,6 +89,7 @@ def chunks(batches, columns: int = 2, size: int = CHUNK_BYTES) -> Iterator[tuple
             lead = [batch.column(i).slice(at, end - at) for i in range(columns - 1)]
             yield (*lead, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
             at = end
+    release()
 
 
 def ids_of(column: pa.Array) -> np.ndarray:

@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from ammlytics.session import ship
 
 
+#: Rows of an Arrow batch at most: whole documents are long, and a batch stands in the executor's and in the worker's memory.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -50,7 +55,10 @@ def dealt(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
 
 def texts(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns only, in order; ids as long, text as string. Other columns, whatever their names, are not read."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     kind = {"doc_id": "long", "page_id": "long", "vec_id": "long", "n_chars": "long"}
     return docs.select(*[F.col(f"`{c}`").cast(kind.get(c, "string")).alias(c) for c in columns])
 
