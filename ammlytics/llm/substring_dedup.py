@@ -34,8 +34,8 @@ from ammlytics.llm import _arrays as A
 from ammlytics.llm._spark import dealt, packed, parts, texts, unpacked, written
 
 U64 = np.uint64
-FLUSH = 3_000_000
-FLUSH_BYTES = 48 << 20
+#: Super-k-mers and bytes of strings that a task holds before it sends them, and text that it works on at a time: these bound its memory.
+FLUSH, FLUSH_BYTES, CHUNK_BYTES = 1_000_000, 24 << 20, 1 << 20
 _PLACES = "doc_id long, starts binary, counts binary"
 _PLACES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary())])
 
@@ -85,6 +85,30 @@ def _grouped(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(ids[edge[:-1]]), cut(starts), cut(counts)], schema=_PLACES_SCHEMA)
 
 
+_SENT = pa.schema([("dest", pa.int32()), ("ids", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary())])
+
+
+def _sent(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places packed by the bucket of their document: a row for each bucket, however many documents."""
+    dest = (A.mix(ids.view(U64)) % U64(buckets)).astype(np.int32)
+    order = np.lexsort((starts, ids, dest))
+    ids, starts, counts, dest = ids[order], starts[order].astype(np.uint32), counts[order].astype(np.uint32), dest[order]
+    edge = np.flatnonzero(np.concatenate(([True], dest[1:] != dest[:-1], [True]))) if len(ids) else np.zeros(1, np.int64)
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(dest[edge[:-1]]), cut(ids), cut(starts), cut(counts)], schema=_SENT)
+
+
+def _gathered(batches):
+    """All places of the documents of a partition, a row for each document."""
+    held = []
+    for batch in batches:
+        held.append([np.frombuffer(A.text_buffers(batch.column(i))[0], t).copy() for i, t in ((1, np.int64), (2, np.uint32), (3, np.uint32))])
+    if held:
+        whole = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        for at in range(0, whole.num_rows, 1000):
+            yield whole.slice(at, 1000)
+
+
 def _minimisers(size: int, m: int, buckets: int):
     """Packed by bucket: minimisers seen once in a task with their places; those seen more often (no places: those are in own)."""
     schema = pa.schema([("bucket", pa.int32()), ("once", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary()), ("often", pa.binary()), ("own_ids", pa.binary()), ("own_starts", pa.binary())])
@@ -116,7 +140,7 @@ def _minimisers(size: int, m: int, buckets: int):
                         row.append(v)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
-        for ids, data, offsets in A.chunks(batches, 2):
+        for ids, data, offsets in A.chunks(batches, 2, CHUNK_BYTES):
             starts, ends, first = A.split_words(data, offsets)
             owner, begin, _, mins = super_kmers(starts, ends, first, data, size, m)
             if len(owner):
@@ -131,24 +155,31 @@ def _minimisers(size: int, m: int, buckets: int):
     return run
 
 
-def _shared_minimisers(batches):
+def _shared_minimisers(buckets: int):
     """Of a bucket: places of all minimisers that occur at least twice."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for b, once, ids, starts, often, own_ids, own_starts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-            held.setdefault(b, []).append((np.frombuffer(once, U64), np.frombuffer(ids, np.int64), np.frombuffer(starts, np.uint32), np.frombuffer(often, U64)))
-            if own_ids:
-                own = np.frombuffer(own_ids, np.int64)
-                yield _grouped(own, np.frombuffer(own_starts, np.uint32), np.ones(len(own), np.uint32))
-    for b in list(held):
-        once, ids, starts, often = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
-        value, count = np.unique(np.concatenate((once, often, often)), return_counts=True)
-        value = value[count > 1]
-        if len(value):
-            at = np.searchsorted(value, once)
-            at[at == len(value)] = 0
-            hit = value[at] == once
-            yield _grouped(ids[hit], starts[hit], np.ones(int(hit.sum()), np.uint32))
+
+    def run(batches):
+        held: dict[int, list] = {}
+        places = []
+        for batch in batches:
+            for b, once, ids, starts, often, own_ids, own_starts in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                held.setdefault(b, []).append((np.frombuffer(once, U64), np.frombuffer(ids, np.int64), np.frombuffer(starts, np.uint32), np.frombuffer(often, U64)))
+                if own_ids:
+                    places.append((np.frombuffer(own_ids, np.int64), np.frombuffer(own_starts, np.uint32)))
+        for b in list(held):
+            once, ids, starts, often = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
+            value, count = np.unique(np.concatenate((once, often, often)), return_counts=True)
+            value = value[count > 1]
+            if len(value):
+                at = np.searchsorted(value, once)
+                at[at == len(value)] = 0
+                hit = value[at] == once
+                places.append((ids[hit], starts[hit]))
+        if places:
+            ids, starts = (np.concatenate(x) for x in zip(*places, strict=True))
+            yield _sent(ids, starts, np.ones(len(ids), np.uint32), buckets)
+
+    return run
 
 
 def _flat(pieces: list, dtype=np.uint32) -> np.ndarray:
@@ -161,7 +192,7 @@ def _strings(size: int, m: int, buckets: int):
 
     def run(batches):
         seen: dict[bytes, tuple] = {}
-        again, volume = [], 0
+        again, settled, volume = [], [], 0
         turn = 0
 
         def out():
@@ -175,12 +206,13 @@ def _strings(size: int, m: int, buckets: int):
 
         def repeats():
             nonlocal turn
-            g = _grouped(*(np.array(x, np.int64) for x in zip(*again, strict=True)))
+            g = _grouped(*(np.concatenate(x) for x in zip(*settled, strict=True)))
+            settled.clear()
             turn += 1
             lead = [pa.array((np.arange(g.num_rows) + turn) % buckets, pa.int32())] + [pa.nulls(g.num_rows).cast(pa.binary())] * 4
             return pa.RecordBatch.from_arrays(lead + g.columns, schema=schema)
 
-        for ids, pieces, data, offsets in A.chunks(unpacked(batches, 3), 3):
+        for ids, pieces, data, offsets in A.chunks(unpacked(batches, 3), 3, CHUNK_BYTES):
             starts, ends, first = A.split_words(data, offsets)
             owner, begin, count, mins = super_kmers(starts, ends, first, data, size, m)
             wanted = [_flat(x) for x in pieces.to_pylist()]
@@ -203,14 +235,18 @@ def _strings(size: int, m: int, buckets: int):
                     again.append((*have[:2], n))
                 elif (i, s) > have[:2]:
                     again.append((i, s, n))
-            if len(again) > 200_000:
-                yield repeats()
+            if len(again) > 100_000:
+                settled.append(tuple(np.array(x, np.int64) for x in zip(*again, strict=True)))
                 again.clear()
+                if len(settled) > 12:  # else all of a task's places of a document go as one row
+                    yield repeats()
             if volume > FLUSH_BYTES:
                 yield from out()
                 seen.clear()
                 volume = 0
         if again:
+            settled.append(tuple(np.array(x, np.int64) for x in zip(*again, strict=True)))
+        if settled:
             yield repeats()
         if seen:
             yield from out()
@@ -218,9 +254,8 @@ def _strings(size: int, m: int, buckets: int):
     return run
 
 
-def repeated_windows(strings: list[tuple[bytes, int, int]], size: int) -> list[tuple[int, int, int]]:
-    """Of super-k-mers (words, doc_id, start) with one minimiser: places (doc_id, start, windows) of all windows but the first of each."""
-    found = []
+def settle_equal(strings: list[tuple[bytes, int, int]], size: int, found: list) -> list[tuple[bytes, int, int]]:
+    """Of super-k-mers (words, doc_id, start): one of each, at its first place; all windows of the others go to found."""
     strings.sort()
     different = []
     for x in strings:  # equal strings stand together, the first place first
@@ -229,28 +264,52 @@ def repeated_windows(strings: list[tuple[bytes, int, int]], size: int) -> list[t
                 found.append((x[1], x[2], x[0].count(b" ") + 2 - size))
         else:
             different.append(x)
-    if len(different) == 1:
-        return found
-    windows = []
-    for string, i, s in different:
-        words = string.split(b" ")
-        windows += [(words[j : j + size], i, s + j) for j in range(len(words) - size + 1)]
-    windows.sort()
-    for (w, i, s), (v, j, t) in zip(windows[:-1], windows[1:], strict=True):
-        if w == v and (i, s) != (j, t):
-            found.append((j, t, 1))
-    return found
-
-
-def _judge(size: int):
-    """Of a bucket's packed strings: repeated places. Rows that already are places pass through."""
+    return different
+
+
+def repeated_windows(strings: list[tuple[bytes, int, int]], size: int, found: list) -> None:
+    """Of different super-k-mers: places (doc_id, start, 1) of all windows but the first of each. Sorted by hash, compared by words."""
+    parts, at = [], 0
+    while at < len(strings):
+        end, volume = at, 0
+        while end < len(strings) and (volume < CHUNK_BYTES or end == at):
+            volume += len(strings[end][0])
+            end += 1
+        data = np.frombuffer(b"".join([x[0] for x in strings[at:end]]), np.uint8)
+        bounds = np.concatenate(([0], np.cumsum([len(x[0]) for x in strings[at:end]])))
+        starts, ends, first = A.split_words(data, bounds)
+        ok = np.flatnonzero(A.inside_runs(first, size))
+        own = np.searchsorted(first, ok, side="right") - 1
+        hashes = A.gram_hashes(A.span_hashes(data, starts, ends), size)[ok]
+        parts.append((hashes, own + at, (ok - first[own]).astype(np.int32), (starts[ok] - bounds[own]).astype(np.int32), (ends[ok + size - 1] - bounds[own]).astype(np.int32)))
+        at = end
+    hashes, own, shift, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ids = np.array([x[1] for x in strings], np.int64)[own]
+    places = np.array([x[2] for x in strings], np.int64)[own] + shift
+    order = np.lexsort((places, ids, hashes))
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    in_group = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
+    group, words = None, {}
+    for k in order[in_group].tolist():
+        if hashes[k] != group:
+            group, words = hashes[k], {}
+        w = strings[own[k]][0][left[k] : right[k]]
+        place = int(ids[k]), int(places[k])
+        if words.setdefault(w, place) != place:
+            found.append((*place, 1))
+
+
+def _judge(size: int, buckets: int):
+    """Of a bucket's packed strings: repeated places. Rows that already are places go along."""
 
     def run(batches):
-        held: dict[int, dict] = {}
+        held: dict[int, list] = {}
+        known = []
         for batch in batches:
             places = batch.filter(batch.column(5).is_valid())
-            if places.num_rows:
-                yield pa.RecordBatch.from_arrays(places.columns[5:], schema=_PLACES_SCHEMA)
+            for i, starts, counts in zip(*(places.column(j).to_pylist() for j in (5, 6, 7)), strict=True):
+                begin = np.frombuffer(starts, np.uint32)
+                known.append((np.full(len(begin), i, np.int64), begin, np.frombuffer(counts, np.uint32)))
             rows = batch.filter(batch.column(1).is_valid())
             for b, *row in zip(*(rows.column(i).to_pylist() for i in range(5)), strict=True):
                 held.setdefault(b, []).append(row)
@@ -260,9 +319,21 @@ def _judge(size: int):
             for body, ids, starts, mins in held.pop(b):
                 for string, i, s, v in zip(press(body).split(b"\n"), np.frombuffer(ids, np.int64).tolist(), np.frombuffer(starts, np.uint32).tolist(), np.frombuffer(mins, U64).tolist(), strict=True):
                     by.setdefault(v, []).append((string, i, s))
-            found = [x for strings in by.values() if len(strings) > 1 for x in repeated_windows(strings, size)]
+            found, pool, volume = [], [], 0
+            for strings in by.values():
+                if len(strings) > 1 and len(different := settle_equal(strings, size, found)) > 1:
+                    pool += different
+                    volume += sum(len(x[0]) for x in different)
+                if volume > CHUNK_BYTES:
+                    repeated_windows(pool, size, found)
+                    pool, volume = [], 0
+            if pool:
+                repeated_windows(pool, size, found)
             if found:
-                yield _grouped(*(np.array(x, np.int64) for x in zip(*found, strict=True)))
+                known.append(tuple(np.array(x, np.int64) for x in zip(*found, strict=True)))
+        if known:
+            yield _sent(*(np.concatenate(x) for x in zip(*known, strict=True)), buckets)
+        A.release()
 
     return run
 
@@ -300,14 +371,16 @@ def _cut(size: int, layout: bool, carry: int):
 
 
 def places(docs: DataFrame, *, size: int = 20, minimiser: int = 8) -> DataFrame:
-    """Of docs(doc_id, text): doc_id, starts, counts (packed 32-bit runs of windows that start elsewhere earlier), several rows a document."""
+    """Of docs(doc_id, text): doc_id, starts, counts (packed 32-bit runs of windows that start elsewhere earlier), a row for each document that has any."""
     base = texts(docs, "doc_id", "text").where("doc_id is not null")
     buckets = parts(docs.sparkSession)
     sent = base.mapInArrow(_minimisers(size, minimiser, buckets), "bucket int, once binary, ids binary, starts binary, often binary, own_ids binary, own_starts binary")
-    shared = dealt(sent, "bucket").mapInArrow(_shared_minimisers, _PLACES)
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("starts").alias("pieces"))
-    strings = packed(base).join(wanted, "doc_id").select("doc_id", "pieces", "body").mapInArrow(_strings(size, minimiser, buckets), f"bucket int, body binary, ids binary, starts_ binary, mins binary, {_PLACES}")
-    return dealt(strings, "bucket").mapInArrow(_judge(size), _PLACES)
+    kinds = "dest int, ids binary, starts binary, counts binary"
+    shared = dealt(sent, "bucket").mapInArrow(_shared_minimisers(buckets), kinds)
+    wanted = dealt(shared, "dest").mapInArrow(_gathered, _PLACES)
+    strings = packed(base).join(wanted.hint("merge"), "doc_id").select("doc_id", F.array("starts").alias("pieces"), "body").mapInArrow(_strings(size, minimiser, buckets), f"bucket int, body binary, ids binary, starts_ binary, mins binary, {_PLACES}")
+    judged = dealt(strings, "bucket").mapInArrow(_judge(size, buckets), kinds)
+    return dealt(judged, "dest").mapInArrow(_gathered, _PLACES)
 
 
 def remove_repeats(docs: DataFrame, *, size: int = 20, minimiser: int = 8, layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -315,8 +388,8 @@ def remove_repeats(docs: DataFrame, *, size: int = 20, minimiser: int = 8, layou
 
     layout: kept is instead the text without the removed words and the white space after each (null where the text is null).
     """
-    found = written(places(docs, size=size, minimiser=minimiser)).groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
+    found = written(places(docs, size=size, minimiser=minimiser)).select("doc_id", F.array("starts").alias("starts"), F.array("counts").alias("counts"))
     whole = packed(texts(docs, "doc_id", *carry, "text"))
     kinds = "".join(f"`{c}` {t}, " for c, t in whole.dtypes[1:-1])
-    rows = whole.join(found, "doc_id", "left").select("doc_id", "starts", "counts", *carry, "body")
+    rows = whole.join(found.hint("merge"), "doc_id", "left").select("doc_id", "starts", "counts", *carry, "body")
     return rows.mapInArrow(_cut(size, layout, len(carry)), f"doc_id long, {kinds}n_words long, n_removed long, kept string")
