@@ -188,6 +188,26 @@ def test_lines_are_brute_force(spark, small_run):
     assert got == want
 
 
+def test_lines_at_the_similarity_are_found(spark):
+    """Edits anywhere in a line, up to the similarity: what brute force joins is joined but for a hundredth, whatever the SimHash."""
+    rng = random.Random(3)
+    lines = []
+    for i in range(400):
+        x = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(4, 60)))
+        y = bytearray(x.encode())
+        for j in rng.sample([j for j, c in enumerate(y) if c != 32], len(y) // 10):
+            y[j] = 97 + (y[j] - 97 + rng.randrange(1, 26)) % 26
+        lines += [x, y.decode()]
+    assert all(line_dedup.similar(a.encode(), b.encode(), 0.9) for a, b in zip(lines[::2], lines[1::2], strict=True))
+    got = {r.doc_id: r.text for r in line_dedup.remove_lines(table(spark, lines), grams=24).collect()}
+    assert all(got[i] == lines[i] for i in range(0, 800, 2))
+    assert sum(got[i] == "" for i in range(1, 800, 2)) >= 396
+    sims = line_dedup.simhashes([x.encode() for x in lines])
+    assert (np.bitwise_count(sims[::2] ^ sims[1::2]) <= 3).mean() < 0.5
+    few = {r.doc_id: r.text for r in line_dedup.remove_lines(table(spark, lines), grams=24, small_run=1).collect()}
+    assert few == got
+
+
 def test_lines_edges(spark, empty):
     assert line_dedup.remove_lines(empty).count() == 0
     t = "one two three four\nfive six seven eight"
