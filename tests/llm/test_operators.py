@@ -208,6 +208,17 @@ def test_lines_at_the_similarity_are_found(spark):
     assert few == got
 
 
+def test_short_lines_go_once(spark, tmp_path):
+    """Copies of lines of one to three words, and of lines in scripts without blanks, in the query."""
+    from ammlytics.llm import queries
+
+    lines = ["All rights reserved", "这是一个没有空格的句子。", "one", "日本語の文です"]
+    texts = ["\n".join([*lines, "", f"{'abcdefgh'[i] * 12} stays"]) for i in range(3)] + ["All rights reserved!\n}\n}"]
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {0: (6, 0), 1: (6, 4), 2: (6, 4), 3: (3, 1)}
+
+
 def test_lines_edges(spark, empty):
     assert line_dedup.remove_lines(empty).count() == 0
     t = "one two three four\nfive six seven eight"
