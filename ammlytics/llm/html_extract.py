@@ -1,36 +1,37 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from few templates. Of each host up to ``SAMPLE`` pages are aligned by simple tree matching (the largest
-order-preserving matching of two DOM trees with equal labels): a node that has the same text in most pages is template, a place whose
-text varies is a content slot. A page's text is what stands in the article, main or else the whole body, without what tags, roles,
-classes and ids mark as boilerplate, and without the host's template nodes.
+Pages of one host come from few templates. Over all pages of a host the text of each place (the path of tags and classes from the root)
+is counted: a text that most of the pages with that place have there is template, a place whose text varies is a content slot. It is
+counted twice, over the whole host and over the host's pages of one layout (the same set of places), so that several templates of a host
+don't hide each other. A page's text is what stands in the article, main or else the whole body, without what tags, roles,
+classes and ids mark as boilerplate, and without the template nodes of its host and layout.
 
 A page is read by a forgiving tokenizer: unclosed elements end with their parents, a comment or script that never ends takes the
 rest, unknown end tags are ignored. Inside a block white space, line breaks included, becomes one blank; blocks are joined by "\\n".
 
-Rows. Null or empty html: empty text. Null url: no host, so no template. A host with fewer than ``LEAST`` different sampled pages has
-no template. Repeated pages and copies count once in a sample. Pages of any length are read whole.
+Rows. Null or empty html: empty text. Null url: no host, so no template. A place that fewer than ``LEAST`` different pages
+have is no template. Repeated pages and copies (the same text outside of marked boilerplate) count once. Pages of any length are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
-import json
+import math
 import re
 from urllib.parse import urlsplit
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ammlytics.llm._spark import texts, written
 
-SAMPLE, LEAST, MOST_NODES = 8, 4, 400
-#: Share of the aligned pages in which a node has to have the same text to be template.
+LEAST = 4
+#: Share of the pages with a place that have to have the same text there for it to be template.
 CONSTANT = 0.7
-#: Wrappers of all hosts are broadcast up to so many bytes, and joined by host beyond.
+#: Wrappers of all hosts are broadcast up to so many bytes, and joined by host and layout beyond.
 BROADCAST_BYTES = 16 << 20
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
@@ -196,8 +197,17 @@ def path(node: Node) -> str:
     return "/".join(reversed(out))
 
 
-def key(node: Node, text: str) -> str:
-    return hashlib.blake2b(f"{path(node)}\n{text}".encode("utf-8", "replace"), digest_size=8).hexdigest()
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def key(node: Node, text: str) -> int:
+    return _hash(f"{path(node)}\n{text}")
+
+
+def layout(blocks: list[tuple[Node, str]]) -> int:
+    """The set of places that have text."""
+    return _hash("\n".join(sorted({path(node) for node, _ in blocks if not node.skip})))
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
@@ -223,51 +233,16 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return best[m][n] + 1, pairs
 
 
-def _count(node: Node) -> int:
-    total, stack = 0, [node]
-    while stack:
-        x = stack.pop()
-        total += 1
-        stack += x.children
-    return total
-
-
-def induce(pages: list[str]) -> list[str]:
-    """Keys (path, text) of template nodes of one host's sampled pages."""
-    trees, seen = [], set()
-    for page in pages:
-        top, blocks = parse(page)
-        body = tuple(t for x, t in blocks if not x.skip)
-        if body not in seen and _count(top) <= MOST_NODES:
-            seen.add(body)
-            trees.append(top)
-    if len(trees) < LEAST:
-        return []
-    trees.sort(key=lambda t: (_count(t), id(t)))
-    reference = trees[len(trees) // 2]
-    equal: dict[int, int] = {}
-    varies: dict[int, int] = {}
-    nodes: dict[int, Node] = {}
-    for other in trees:
-        if other is not reference:
-            for a, b in match(reference, other)[1]:
-                if a.texts or b.texts:
-                    nodes[id(a)] = a
-                    same = a.texts == b.texts
-                    equal[id(a)] = equal.get(id(a), 0) + same
-                    varies[id(a)] = varies.get(id(a), 0) + (not same)
-    need = CONSTANT * (len(trees) - 1)
-    return sorted({key(nodes[i], t) for i, c in equal.items() if c >= need and c > varies[i] for t in nodes[i].texts})
-
-
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt figcaption".split())
 
 
 def extract(page: str | None, template: frozenset = frozenset()) -> str:
     """Main text of a page, given its host's template keys."""
-    if not page:
-        return ""
-    _, blocks = parse(page)
+    return chosen_text(parse(page)[1], template) if page else ""
+
+
+def chosen_text(blocks: list[tuple[Node, str]], template: frozenset = frozenset()) -> str:
+    """Main text of a page's blocks."""
     weight: dict[int, int] = {}
     open_ = 0
     for node, text in blocks:
@@ -295,55 +270,93 @@ def host(url: str | None) -> str | None:
         return None
 
 
-def _candidates(batches):
-    """Of a task: for each host and slot the page with the smallest hash."""
-    held: dict[tuple[str, int], tuple[int, str]] = {}
+#: Groups of a host: all its pages, and those of one layout.
+WHOLE = 0
+_SITE = "site long, grp long"
+
+
+def _facts(batches):
+    """Of each page with a host: hashes of host, text and layout, and its places and nodes (packed, once each)."""
+    schema = pa.schema([("site", pa.int64()), ("body", pa.int64()), ("grp", pa.int64()), ("nodes", pa.binary())])
     for batch in batches:
+        rows = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if (h := host(url)) and page:
-                rank = int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=7).digest(), "big")
-                slot = (h, rank % SAMPLE)
-                if slot not in held or rank < held[slot][0]:
-                    held[slot] = rank, page
-    rows = [(h, s, r, p) for (h, s), (r, p) in held.items()]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["host", "slot", "rank", "page"])
+                blocks = [x for x in parse(page)[1] if not x[0].skip]
+                nodes = sorted({(_hash(path(node)), key(node, text)) for node, text in blocks})
+                rows.append((_hash(h), _hash("\n".join(t for _, t in blocks)), layout(blocks), np.array(nodes, np.int64).tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _places(batches):
+    """Rows of (site, group, place, node) of each page for its host and for its layout; node is null once for each place."""
+    for batch in batches:
+        rows = []
+        for site, grp, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            nodes = np.frombuffer(packed, np.int64).reshape(-1, 2)
+            spots = np.unique(nodes[:, 0])
+            n = len(nodes) + len(spots)
+            one = (np.concatenate((nodes[:, 0], spots)), np.concatenate((nodes[:, 1], spots)), np.arange(n) >= len(nodes))
+            rows += [(np.full(n, site, np.int64), np.full(n, g, np.int64), *one) for g in (WHOLE, grp)]
+        if rows:
+            site, grp, place, node, none = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(site), pa.array(grp), pa.array(place), pa.array(node, mask=none)], names=["site", "grp", "place", "node"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Of pages(url, html): host, keys (JSON list of template keys) from at most SAMPLE pages a host."""
-    sample = texts(pages, "url", "html").mapInArrow(_candidates, "host string, slot int, rank long, page string")
-    best = sample.groupBy("host", "slot").agg(F.min_by("page", "rank").alias("page"))
-    return best.groupBy("host").applyInPandas(lambda rows: pd.DataFrame({"host": rows.host.iloc[:1], "keys": [json.dumps(induce(sorted(rows.page)))]}), "host string, keys string")
+    """Of pages(url, html): site and grp (hashes of host and layout, or WHOLE), keys (hashes of template nodes) over all pages."""
+    facts = texts(pages, "url", "html").mapInArrow(_facts, "site long, body long, grp long, nodes binary")
+    once = facts.groupBy("site", "body").agg(F.min(F.struct("grp", "nodes")).alias("x")).select("site", "x.grp", "x.nodes")
+    counts = written(once.mapInArrow(_places, f"{_SITE}, place long, node long").groupBy("site", "grp", "place", "node").agg(F.count("*").alias("n")))
+    of = counts.where("node is null").where(F.col("n") >= LEAST).select("site", "grp", "place", F.col("n").alias("pages"))
+    # a node of fewer pages can't be enough for LEAST
+    often = counts.where("node is not null").where(F.col("n") >= math.ceil(CONSTANT * LEAST - 1e-9))
+    same = often.join(of, ["site", "grp", "place"]).where(F.col("n") >= CONSTANT * F.col("pages") - 1e-9)
+    return same.groupBy("site", "grp").agg(F.array_sort(F.collect_list("node")).alias("keys"))
 
 
 def main_text(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Of pages(page_id, url, html): page_id, url, text."""
     base = texts(pages, "page_id", "url", "html")
-    known = written(wrappers(pages).where("keys <> '[]'"))
-    size = known.agg(F.sum(F.length("keys") + F.length("host"))).first()[0] or 0
+    known = written(wrappers(pages))
+    size = known.agg(F.sum(8 * F.size("keys") + 16)).first()[0] or 0
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     kinds = "page_id long, url string, text string"
 
     def out(batch, found):
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([extract(*x) for x in found], pa.string())], schema=schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], schema=schema)
+
+    def site(url):
+        return _hash(h) if (h := host(url)) else None
 
     if size <= broadcast_bytes:
-        table = pages.sparkSession.sparkContext.broadcast({r.host: frozenset(json.loads(r["keys"])) for r in known.collect()})
+        table = pages.sparkSession.sparkContext.broadcast({(r.site, r.grp): frozenset(r["keys"]) for r in known.collect()})
+        none = frozenset()
+
+        def text(url, page):
+            if not page:
+                return ""
+            blocks, s = parse(page)[1], site(url)
+            return chosen_text(blocks, none if s is None else table.value.get((s, WHOLE), none) | table.value.get((s, layout(blocks)), none))
 
         def direct(batches):
             for batch in batches:
-                yield out(batch, [(p, table.value.get(host(u), frozenset())) for u, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+                yield out(batch, [text(u, p) for u, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
 
         return base.mapInArrow(direct, kinds)
 
     def joined(batches):
         for batch in batches:
-            yield out(batch, [(p, frozenset(json.loads(k)) if k else frozenset()) for p, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)])
+            yield out(batch, [extract(p, frozenset(a or ()) | frozenset(b or ())) for p, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)])
 
     def named(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([host(u) for u in batch.column(1).to_pylist()], pa.string())], names=["page_id", "url", "html", "host"])
-
-    rows = base.mapInArrow(named, "page_id long, url string, html string, host string")
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "keys").mapInArrow(joined, kinds)
+            s = [site(u) for u in batch.column(1).to_pylist()]
+            g = [layout(parse(p)[1]) if p and x is not None else None for x, p in zip(s, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.int64()), pa.array(g, pa.int64())], names=["page_id", "url", "html", "site", "grp"])
+
+    rows = base.mapInArrow(named, f"page_id long, url string, html string, {_SITE}")
+    whole = known.where(F.col("grp") == WHOLE).select("site", F.col("keys").alias("all"))
+    rows = rows.join(whole, "site", "left").join(known, ["site", "grp"], "left")
+    return rows.select("page_id", "url", "html", "all", "keys").mapInArrow(joined, kinds)

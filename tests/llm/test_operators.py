@@ -404,6 +404,29 @@ def test_wrappers_find_the_template(spark, limit):
     assert got[98] == "no host" and got[99] == "Site of things" and got[97] == ""
 
 
+def texts_of(spark, rows, **kw):
+    return {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **kw).collect()}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_wrappers_of_all_pages(spark, limit):
+    """Two templates with the same places but for one, pages of many elements, and hosts of just LEAST pages."""
+    say = lambda i: " ".join(words(random.Random(i), 30))
+    rows = []
+    for i in range(40):
+        kind = i % 2
+        rows.append((i, f"https://two.example/{i}", f"<body><div class=top>Template {kind}</div><div class=c{kind}><p>{say(i)}</p></div></body>"))
+    for i in range(40, 45):
+        more = "".join(f"<div class=x><span>{say(1000 * i + j)}</span></div>" for j in range(300))
+        rows.append((i, f"https://long.example/{i}", f"<body><div class=top>Site of things</div><div class=c><p>{say(i)}</p></div>{more}</body>"))
+    for i in range(50, 70):
+        rows += [(4 * i + j, f"https://h{i}.example/{j}", f"<body><div class=top>Site {i}</div><div class=c><p>{say(4 * i + j)}</p></div></body>") for j in range(html_extract.LEAST)]
+    got = texts_of(spark, rows, broadcast_bytes=limit)
+    assert all(got[i] == say(i) for i in range(40))
+    assert all(got[i].split("\n")[0] == say(i) and len(got[i].split("\n")) == 301 for i in range(40, 45))
+    assert all(got[i] == say(i) for i in range(200, 280))
+
+
 def test_html_empty_table(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
