@@ -4,7 +4,8 @@ Pages of one host come from few templates. Over all pages of a host the text of
 is counted: a text that most of the pages with that place have there is template, a place whose text varies is a content slot. It is
 counted twice, over the whole host and over the host's pages of one layout (the same set of places), so that several templates of a host
 don't hide each other. A page's text is what stands in the article, main or else the whole body, without what tags, roles,
-classes and ids mark as boilerplate, and without the template nodes of its host and layout.
+classes and ids mark as boilerplate, and without the template nodes of its host and layout; prose inside an
+article or main has to be the same on more of the pages to be template.
 
 A page is read by a forgiving tokenizer: unclosed elements end with their parents, a comment or script that never ends takes the
 rest, unknown end tags are ignored. Inside a block white space, line breaks included, becomes one blank; blocks are joined by "\\n".
@@ -31,6 +32,8 @@ from ammlytics.llm._spark import texts, written
 LEAST = 4
 #: Share of the pages with a place that have to have the same text there for it to be template.
 CONSTANT = 0.7
+#: The same for prose (paragraphs, headings, list items, cells) inside an article or main.
+CONSTANT_PROSE = 0.9
 #: Wrappers of all hosts are broadcast up to so many bytes, and joined by host and layout beyond.
 BROADCAST_BYTES = 16 << 20
 
@@ -197,12 +200,25 @@ def path(node: Node) -> str:
     return "/".join(reversed(out))
 
 
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt figcaption".split())
+
+
+def strict(node: Node) -> bool:
+    """Is the node prose inside an article or main?"""
+    return node.root is not None and node.tag in _PROSE
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 def key(node: Node, text: str) -> int:
-    return _hash(f"{path(node)}\n{text}")
+    return _hash(f"{path(node)}\n{strict(node):d}\n{text}")
+
+
+def place(node: Node) -> int:
+    """A hash of the path; of prose inside an article or main an odd one."""
+    return _hash(path(node)) & -2 | strict(node)
 
 
 def layout(blocks: list[tuple[Node, str]]) -> int:
@@ -233,9 +249,6 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return best[m][n] + 1, pairs
 
 
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt figcaption".split())
-
-
 def extract(page: str | None, template: frozenset = frozenset()) -> str:
     """Main text of a page, given its host's template keys."""
     return chosen_text(parse(page)[1], template) if page else ""
@@ -257,7 +270,7 @@ def chosen_text(blocks: list[tuple[Node, str]], template: frozenset = frozenset(
     for node, text in blocks:
         if node.skip or (chosen is not None and id(node.root) != chosen):
             continue
-        if template and not (chosen is not None and node.tag in _PROSE) and key(node, text) in template:
+        if template and key(node, text) in template:
             continue
         out.append(text)
     return "\n".join(out)
@@ -283,7 +296,7 @@ def _facts(batches):
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if (h := host(url)) and page:
                 blocks = [x for x in parse(page)[1] if not x[0].skip]
-                nodes = sorted({(_hash(path(node)), key(node, text)) for node, text in blocks})
+                nodes = sorted({(place(node), key(node, text)) for node, text in blocks})
                 rows.append((_hash(h), _hash("\n".join(t for _, t in blocks)), layout(blocks), np.array(nodes, np.int64).tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -312,7 +325,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     of = counts.where("node is null").where(F.col("n") >= LEAST).select("site", "grp", "place", F.col("n").alias("pages"))
     # a node of fewer pages can't be enough for LEAST
     often = counts.where("node is not null").where(F.col("n") >= math.ceil(CONSTANT * LEAST - 1e-9))
-    same = often.join(of, ["site", "grp", "place"]).where(F.col("n") >= CONSTANT * F.col("pages") - 1e-9)
+    same = often.join(of, ["site", "grp", "place"]).where(F.col("n") >= F.when(F.expr("place & 1 = 1"), CONSTANT_PROSE).otherwise(CONSTANT) * F.col("pages") - 1e-9)
     return same.groupBy("site", "grp").agg(F.array_sort(F.collect_list("node")).alias("keys"))
 
 

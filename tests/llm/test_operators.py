@@ -427,6 +427,15 @@ def test_wrappers_of_all_pages(spark, limit):
     assert all(got[i] == say(i) for i in range(200, 280))
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_wrappers_inside_articles(spark, limit):
+    """A notice on every page goes from article and main, too; what three quarters of them have stays there."""
+    say = lambda i: " ".join(words(random.Random(i), 30))
+    rows = [(i, f"https://{tag}.example/{i}", f"<body><{tag}><h1>{say(i)}</h1><p>Read more on our site</p><p>{say(i + 100)}</p>{'<p>Well then</p>' if i % 4 else ''}<ul><li>Get the app</li></ul></{tag}></body>") for j, tag in enumerate(("article", "main")) for i in range(20 * j, 20 * j + 20)]
+    got = texts_of(spark, rows, broadcast_bytes=limit)
+    assert got == {i: "\n".join([say(i), say(i + 100), *["Well then"] * bool(i % 4)]) for i in range(40)}
+
+
 def test_html_empty_table(spark):
     assert html_extract.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
