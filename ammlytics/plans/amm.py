@@ -80,6 +80,12 @@ def _(t):
     return A.split_route(t.sql(_POOLS), 20000.0, "sell").select("token", "pool", F.round("part", 4).alias("part"), F.round("level", 8).alias("level"))
 
 
+for _side in ("buy", "sell"):  # over all pools
+    query(f"split_route_{_side}_all")(
+        lambda t, side=_side: A.split_route(t.sql(_POOLS.removesuffix(" WHERE id < 60")), 20000.0, side).select("token", "pool", F.round("part", 4).alias("part"), F.round("level", 8).alias("level"))
+    )
+
+
 _TICKS = "SELECT pool, tick, CAST(sum(d) AS BIGINT) AS net FROM (SELECT pool, tick_lower AS tick, dl AS d FROM liquidity UNION ALL SELECT pool, tick_upper, -dl FROM liquidity) GROUP BY 1, 2 HAVING sum(d) <> 0"
 
 
@@ -173,12 +179,22 @@ def _(t):
 
 @query("venue_verdicts", "SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'major_pair' WHEN bool_or(event_type = 'purchase') THEN 'major_cex' ELSE 'dex_only' END AS verdict FROM (SELECT user_id, event_type FROM events WHERE event_id % 40 = 0) GROUP BY 1")
 def _(t):
+    return verdicts(t.events.where("event_id % 40 = 0"))
+
+
+def verdicts(events):
     venue = F.when(F.col("event_type") == "purchase", "kraken").otherwise(F.col("event_type"))
-    x = t.events.where("event_id % 40 = 0").groupBy("user_id").agg(F.collect_set(venue).alias("venues"))
+    x = events.groupBy("user_id").agg(F.collect_set(venue).alias("venues"))
     base = F.when(F.col("user_id") % 10 == 0, "usdt").otherwise("coin")
     return x.select("user_id", C.venue_verdict(base, F.col("venues"), ("usdt",)).alias("verdict"))
 
 
+@query("venue_verdicts_all")
+def _(t):
+    """venue_verdicts over all events."""
+    return verdicts(t.events)
+
+
 @query("dex_venues", f"SELECT v, (v ILIKE '%swap%' OR v IN ('Raydium')  OR contains(lower(v), '_v2') OR contains(lower(v), '_v3')) AS dex FROM (SELECT DISTINCT {_VENUE} AS v FROM lineitem)")
 def _(t):
     v = t.lineitem.select(F.expr(_VENUE).alias("v")).distinct()

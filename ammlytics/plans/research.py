@@ -267,6 +267,23 @@ def _(t):
     return rounded(x.groupBy("decile").agg(F.count("*").alias("n"), F.median("fwd").alias("med")))
 
 
+@query("decile_medians_all")
+def _(t):
+    """decile_medians over all days: ranks within ranges of mom, so that no window holds all rows."""
+    x = panel(t).where("fwd is not null and mom is not null").select(P, "d", "mom", "fwd")
+    n = max(2, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = x.agg(F.percentile_approx("mom", [k / n for k in range(1, n)], 10_000).alias("cuts"))
+    x = x.join(F.broadcast(cuts)).withColumn("range", F.expr("size(filter(cuts, c -> c < mom))")).drop("cuts")  # cuts: one row
+    # a row for each range
+    sizes = x.groupBy("range").agg(F.count("*").alias("n"))
+    o = Window.partitionBy(F.lit(0))
+    before = sizes.select("range", (F.sum("n").over(o.orderBy("range")) - F.col("n")).alias("before"), F.sum("n").over(o).alias("total"))
+    x = x.join(F.broadcast(before), "range").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("mom", P, "d")) - 1)
+    # the first total % 10 deciles have one row more
+    x = x.withColumn("decile", F.expr("int(if(r < total % 10 * (total div 10 + 1), r div (total div 10 + 1), total % 10 + try_divide(r - total % 10 * (total div 10 + 1), total div 10))) + 1"))
+    return rounded(x.groupBy("decile").agg(F.count("*").alias("n"), F.median("fwd").alias("med")))
+
+
 @query("best_coin_per_day", "SELECT day, max(close) AS close, arg_max(pair_address, close) AS pair_address FROM bars GROUP BY 1")
 def _(t):
     return t.bars.groupBy("day").agg(F.max("close").alias("close"), F.max_by("pair_address", "close").alias("pair_address"))
