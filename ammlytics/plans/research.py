@@ -88,8 +88,18 @@ def _(t):
 
 @query("equity_curve", f"WITH {_IB}, r AS (SELECT pair_address, i, least(greatest(close / {_lag('close')} - 1, -0.9), 1) AS r FROM ib) SELECT pair_address, i, round(exp(sum(ln(1 + r)) OVER (PARTITION BY pair_address ORDER BY i)), 6) AS equity FROM r WHERE r IS NOT NULL AND i < 60")
 def _(t):
-    r = R.numbered(t.bars).select(P, "i", F.least(F.greatest(F.col("close") / F.lag("close").over(R.w()) - 1, F.lit(-0.9)), F.lit(1.0)).alias("r")).where("r is not null and i < 60")
-    return rounded(r.select(P, "i", F.exp(F.sum(F.log1p("r")).over(R.w())).alias("equity")))
+    return rounded(equity(t).where("i < 60"))
+
+
+def equity(t):
+    r = R.numbered(t.bars).select(P, "i", F.least(F.greatest(F.col("close") / F.lag("close").over(R.w()) - 1, F.lit(-0.9)), F.lit(1.0)).alias("r")).where("r is not null")
+    return r.select(P, "i", F.exp(F.sum(F.log1p("r")).over(R.w())).alias("equity"))
+
+
+@query("equity_curve_all")
+def _(t):
+    """equity_curve over all bars."""
+    return rounded(equity(t))
 
 
 @query("average_rank", "SELECT pair_address, day, CAST(rank() OVER (PARTITION BY day ORDER BY n) + (count(*) OVER (PARTITION BY day, n) - 1) / 2.0 AS DOUBLE) AS r, round((rank() OVER (PARTITION BY day ORDER BY n) + (count(*) OVER (PARTITION BY day, n) - 1) / 2.0) / count(*) OVER (PARTITION BY day), 6) AS pct FROM bars")
@@ -192,7 +202,7 @@ def _(t):
 @query("walk_forward")
 def _(t):
     """Best bracket in sample, traded out of sample, by pair and family."""
-    return R.walk_forward(ib(t).where("i < 600"), {"boll_rev": (20, 1.5), "donchian_bo": (20,)}, [(0.15, 0.1, 10), (0.3, 0.2, 20), (0.05, 0.05, 5)], is_len=240, oos_len=120)
+    return R.walk_forward(ib(t), {"boll_rev": (20, 1.5), "donchian_bo": (20,)}, [(0.15, 0.1, 10), (0.3, 0.2, 20), (0.05, 0.05, 5)], is_len=240, oos_len=120)
 
 
 # Nulls
@@ -201,6 +211,12 @@ def _(t):
     return R.shuffled(R.numbered(t.bars).where("i < 200").select(P, "i", "close"), "null", [P], ["close"]).select(P, "i", "close")
 
 
+@query("null_bar_shuffle_all")
+def _(t):
+    """null_bar_shuffle over all bars."""
+    return R.shuffled(R.numbered(t.bars).select(P, "i", "close"), "null", [P], ["close"]).select(P, "i", "close")
+
+
 @query("null_across_pairs", "WITH s AS (SELECT day, pair_address, close, row_number() OVER (PARTITION BY day ORDER BY pair_address) AS a, row_number() OVER (PARTITION BY day ORDER BY md5(concat_ws('|', 'x', CAST(day AS STRING), pair_address)), pair_address) AS b FROM bars) SELECT p.day, p.pair_address, q.close FROM s p JOIN s q ON q.day = p.day AND q.b = p.a")
 def _(t):
     return R.shuffled(t.bars.select("day", P, "close"), "x", ["day"], ["close"], place=P).select("day", P, "close")

@@ -157,7 +157,17 @@ _LP = "l AS (SELECT pair_address, i, close AS c, close AS mid, 0 AS moves, CAST(
 
 @query("lp_concentrated", f"WITH RECURSIVE {_IB}, {_LP} SELECT pair_address, CAST(max(moves) AS BIGINT) AS moves, round(arg_max(il, i), 6) AS il FROM l GROUP BY 1")
 def _(t):
-    a = R.numbered(t.bars).where("i < 300").groupBy(P).agg(F.array_sort(F.collect_list(F.struct("i", "close"))).alias("s"))
+    return concentrated(R.numbered(t.bars).where("i < 300"))
+
+
+@query("lp_concentrated_all")
+def _(t):
+    """lp_concentrated over all bars."""
+    return concentrated(R.numbered(t.bars))
+
+
+def concentrated(bars):
+    a = bars.groupBy(P).agg(F.array_sort(F.collect_list(F.struct("i", "close"))).alias("s"))
     fold = F.expr("""aggregate(slice(s, 2, size(s)), struct(s[0].close as mid, 0L as moves, 0D as il),
         (acc, x) -> if(x.close > acc.mid * 1.3D or x.close < acc.mid / 1.3D, struct(x.close as mid, acc.moves + 1L as moves, acc.il + 2D * sqrt(x.close / acc.mid) / (1D + x.close / acc.mid) - 1D as il), acc))""")
     return rounded(a.select(P, fold.alias("x")).select(P, "x.moves", "x.il"))
@@ -199,9 +209,19 @@ def _(t):
 
 @query("dense_panel", "SELECT d.day, p.pair_address, round(coalesce(b.volume, 0), 4) AS volume FROM (SELECT DISTINCT day FROM bars WHERE day < DATE '1995-03-01') d CROSS JOIN (SELECT DISTINCT pair_address FROM bars) p LEFT JOIN bars b ON b.day = d.day AND b.pair_address = p.pair_address")
 def _(t):
+    return dense(t, t.bars.where("day < date'1995-03-01'"))
+
+
+@query("dense_panel_all")
+def _(t):
+    """dense_panel over all days."""
+    return dense(t, t.bars)
+
+
+def dense(t, bars):
     # each day's row is unfolded to the known pairs (a bounded universe), not crossed with a table
     universe = F.broadcast(t.bars.agg(F.collect_set(P).alias("all")))
-    days = t.bars.where("day < date'1995-03-01'").select("day").distinct().join(universe).select("day", F.explode("all").alias(P))
+    days = bars.select("day").distinct().join(universe).select("day", F.explode("all").alias(P))
     return rounded(days.join(t.bars.select("day", P, "volume"), ["day", P], "left").select("day", P, F.coalesce("volume", F.lit(0.0)).alias("volume")), 4)
 
 

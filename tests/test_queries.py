@@ -37,6 +37,7 @@ def test_query(spark, sf_dir, duck, name):
 
 #: What keeps the SQL of a query to a part of its rows, for the query of the same name with _all.
 PARTS = {"split_route_buy": " WHERE id < 60", "split_route_sell": " WHERE id < 60", "venue_verdicts": " WHERE event_id % 40 = 0", "decile_medians": " AND d % 97 = 0"}
+PARTS |= {"null_bar_shuffle": " WHERE i < 200", "equity_curve": " AND i < 60", "lp_concentrated": " WHERE b.i < 300", "dense_panel": " WHERE day < DATE '1995-03-01'"}
 
 
 @pytest.mark.parametrize("name", sorted(PARTS))
@@ -46,6 +47,18 @@ def test_query_over_all_rows(spark, sf_dir, duck, name):
     assert canonical(got) == canonical(want) != canonical(duck.execute(ORACLES[name]).df())
 
 
+def test_walk_forward_walks_all_bars(spark):
+    from ammlytics.operators import research as R
+    from ammlytics.plans.research import ib
+    from ammlytics.sources.fixtures import Tables
+
+    sf_dir = "/root/testdata/sf0.01"  # more than 600 bars a pair
+    settings = {"boll_rev": (20, 1.5), "donchian_bo": (20,)}, [(0.15, 0.1, 10), (0.3, 0.2, 20), (0.05, 0.05, 5)]
+    whole = R.walk_forward(ib(Tables(spark, sf_dir)), *settings, is_len=240, oos_len=120).toPandas()
+    assert canonical(QUERIES["walk_forward"](spark, sf_dir).toPandas()) == canonical(whole)
+    assert ib(Tables(spark, sf_dir)).where("i >= 600").count()
+
+
 def test_queries_without_sql(spark, sf_dir):
     for name in set(QUERIES) - set(ORACLES):
         assert QUERIES[name](spark, sf_dir).count() >= 0
