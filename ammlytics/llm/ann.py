@@ -192,9 +192,10 @@ def nearest(table: DataFrame, queries: str, *, k: int = 5, trees: int = 4, visit
     seekers = entries.join(asking.select("key").distinct(), "key", "left_semi").select("key", "body")
     met = entries.select("key", "body").mapInArrow(place, kinds).unionByName(seekers.mapInArrow(walk, kinds))
     near = dealt(met, "tree", "leaf").sortWithinPartitions("tree", "leaf", "asks").mapInArrow(_compare(k + 1), "asker binary, key binary, score double")
-    # the best k + 1 entries of each query are enough: one may hold only the query itself
-    best = near.groupBy("asker", "key").agg(F.max("score").alias("score")).groupBy("asker").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "key")), asc=False), 1, k + 1 + 8).alias("best"))
-    flat = best.select("asker", F.explode("best").alias("b")).select("asker", F.col("b.key").alias("key"), F.col("b.score").alias("score"))
+    # the best k + 1 entries of each query, of equal ones those of the smallest vec_id, are enough: one may hold only the query itself
+    scored = near.groupBy("asker", "key").agg(F.max("score").alias("score")).join(entries.select("key", F.col("ids")[0].alias("least")), "key")
+    best = scored.groupBy("asker").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "least", "key"))), 1, k + 1).alias("best"))
+    flat = best.select("asker", F.explode("best").alias("b")).select("asker", F.col("b.key").alias("key"), (-F.col("b.far")).alias("score"))
     flat = flat.join(entries.select("key", "ids"), "key").select("asker", "score", F.explode("ids").alias("vec_id"))
     ranked = flat.groupBy("asker").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))
     ranked = ranked.select("asker", F.slice("near", 1, k + 1).alias("near"))

@@ -468,3 +468,11 @@ def test_neighbours(spark):
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0])], "vec_id long, embedding array<float>"), "vec_id % 50 = 0").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), "true").count() == 0
+
+
+def test_neighbours_tied(spark):
+    """Different vectors of the same cosine: the smallest vec_id come first."""
+    v = np.random.default_rng(5).normal(size=8)
+    rows = [(100 + i, (v * 2.0 ** ((i * 7) % 40 - 20)).tolist()) for i in range(40)] + [(0, v.tolist()), (1, (-v).tolist())]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id = 0").collect()
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank)] == [100, 101, 102, 103, 104]
