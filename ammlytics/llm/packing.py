@@ -3,7 +3,7 @@
 Documents become ids (with one end id each), are cut into pieces of at most ``size`` ids, and pieces are packed whole into
 sequences of at most ``size``. Each partition packs its pieces best-fit decreasing; dual feasible functions give a lower bound of
 its number of sequences. Sequences that are full, or whose count the bound certifies with nothing to gain from neighbours, stay;
-of each partition the least filled ones (all in which its gap may lie, at most ``give`` for each) go to the next round, where the
+of each partition the least filled ones (all in which its gap may lie, at most ``give`` for each missing in its bound) go to the next round, where the
 documents of several partitions meet and are packed again. What a round doesn't better stays as it was. Rounds end when one
 partition has seen what is left.
 
@@ -115,7 +115,7 @@ def _packed(size: int, give: int, round_: int, last: bool):
                 continue
             gap = len(free) - lower_bound(lengths, size)
             loose = np.array(free, np.int64)
-            rank = np.argsort(-loose, kind="stable")[: max(1, min(give, give * gap))]
+            rank = np.argsort(-loose, kind="stable")[: max(1, give * gap)]
             opened = np.zeros(len(free), bool)
             opened[rank[loose[rank] > 0]] = not last
             at = t.column_names.index

@@ -351,6 +351,20 @@ def test_packing(spark, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_partitions_pass_on_their_gap():
+    """Of a partition that is several sequences above its bound, ``give`` for each are exchanged."""
+    import pyarrow as pa
+
+    x = np.random.default_rng(4).integers(260, 480, 3000)
+    free = packing.best_fit_decreasing(x, 1000)[2]
+    gap = len(free) - packing.lower_bound(x, 1000)
+    want = min(8 * gap, int((np.array(free) > 0).sum()))
+    n = len(x)
+    batch = pa.RecordBatch.from_pydict({"part": np.zeros(n, np.int64), "length": x, "sequence_id": np.full(n, -1), "offset": np.zeros(n, np.int64)})
+    rows = pa.Table.from_batches(list(packing._packed(1000, 8, 0, False)([batch]))).to_pylist()
+    assert gap > 1 and len({r["sequence_id"] for r in rows if r["open"]}) == want > 8
+
+
 def test_bounds_certify():
     rng = np.random.default_rng(1)
     for _ in range(30):
