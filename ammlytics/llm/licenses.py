@@ -3,7 +3,8 @@
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. A phrase matches where its words stand
 consecutively, anywhere in the whole text. Where the words of an identifier tag (``SPDX-License-Identifier:``) match, the rest of the
 line in the original text is read as an expression: identifiers joined by AND, OR, WITH and parentheses (WITH binds closest,
-then AND, then OR), as far as it is well formed.
+then AND, then OR), as far as it is well formed. An identifier that is on no list here gets the label ``unknown``, one that begins with
+``LicenseRef-`` or ``DocumentRef-`` the label ``licenseref``. Time grows with the length of a text, whatever it holds.
 
 Rows. Null text is empty: no words, no matches, score 0. Rows are independent of each other; repeated rows give repeated results.
 """
@@ -45,18 +46,67 @@ NOTICES = {
     "cc0 1 0": "cc0",
     "public domain": "public-domain",
     "all rights reserved": "all-rights-reserved",
+    "gnu library general public license": "lgpl",
+    "gnu lesser general public license version 2 1": "lgpl-2.1",
+    "gnu lesser general public license version 3": "lgpl-3",
+    "gnu affero general public license version 3": "agpl-3",
+    "gnu free documentation license": "gfdl",
+    "mozilla public license": "mpl",
+    "eclipse public license version 2": "epl-2",
+    "apache license": "apache",
+    "apache software license": "apache",
+    "licensed under the apache license": "apache",
+    "released under the mit license": "mit",
+    "mit license": "mit",
+    "bsd license": "bsd",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "artistic license": "artistic",
+    "academic free license": "afl",
+    "open software license": "osl",
+    "common development and distribution license": "cddl",
+    "common public license": "cpl",
+    "european union public licence": "eupl",
+    "python software foundation license": "psf",
+    "the unlicense": "unlicense",
+    "this is free and unencumbered software released into the public domain": "unlicense",
+    "do what the fuck you want to public license": "wtfpl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "sil open font license": "ofl",
+    "microsoft public license": "ms-pl",
+    "open data commons": "odc",
+    "cc by nc sa": "cc-by-nc-sa",
+    "cc by nc nd": "cc-by-nc-nd",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons zero": "cc0",
 }
 TAGS = ("spdx license identifier",)
-#: Identifiers of expressions that have a label of their own here.
-ALIASES = {"apache-2.0": "apache-2", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "mpl-2.0": "mpl-2", "cc0-1.0": "cc0", "bsl-1.0": "bsl-1"}
-PERMISSIVE = frozenset({"mit", "apache-2", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "bsl-1", "cc0", "cc-by", "public-domain", "unlicense", "zlib"})
+# Identifiers of licences in expressions (lower case, without what says the version is a minimum) and their labels.
+ALIASES = {"apache-2.0": "apache-2", "gpl-2.0": "gpl-2", "gpl-3.0": "gpl-3", "lgpl-3.0": "lgpl-3", "agpl-3.0": "agpl-3", "mpl-2.0": "mpl-2", "epl-2.0": "epl-2", "cc0-1.0": "cc0", "bsl-1.0": "bsl-1"}
+KNOWN = frozenset(
+    """0bsd aal afl-1.1 afl-1.2 afl-2.0 afl-2.1 afl-3.0 agpl-1.0 agpl-3.0 apache-1.0 apache-1.1 apache-2.0 apsl-1.0 apsl-2.0 artistic-1.0 artistic-2.0 beerware
+    blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear bsd-3-clause-lbnl bsd-4-clause bsl-1.0 busl-1.1 bzip2-1.0.6
+    cc-by-1.0 cc-by-2.0 cc-by-2.5 cc-by-3.0 cc-by-4.0 cc-by-nc-2.0 cc-by-nc-2.5 cc-by-nc-3.0 cc-by-nc-4.0 cc-by-nc-nd-3.0 cc-by-nc-nd-4.0 cc-by-nc-sa-3.0
+    cc-by-nc-sa-4.0 cc-by-nd-3.0 cc-by-nd-4.0 cc-by-sa-2.0 cc-by-sa-2.5 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 cecill-b cecill-c
+    cpal-1.0 cpl-1.0 curl ecl-2.0 efl-2.0 elastic-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 fsfap ftl gfdl-1.1 gfdl-1.2 gfdl-1.3 gpl-1.0 gpl-2.0 gpl-3.0
+    hpnd icu ijg imagemagick intel ipl-1.0 isc json lgpl-2.0 lgpl-2.1 lgpl-3.0 libpng libtiff lppl-1.3c mit mit-0 mpl-1.0 mpl-1.1 mpl-2.0 mpl-2.0-no-copyleft-exception
+    ms-pl ms-rl mulanpsl-2.0 ncsa nposl-3.0 odbl-1.0 odc-by-1.0 ofl-1.0 ofl-1.1 openssl osl-1.0 osl-2.0 osl-2.1 osl-3.0 pddl-1.0 php-3.0 php-3.01 postgresql
+    psf-2.0 python-2.0 qpl-1.0 ruby sleepycat sspl-1.0 unicode-3.0 unicode-dfs-2016 unlicense upl-1.0 vim w3c wtfpl x11 xnet zlib zpl-2.0 zpl-2.1""".split()
+)
+PERMISSIVE = frozenset(
+    """mit mit-0 apache apache-1.1 apache-2 bsd 0bsd bsd-1-clause bsd-2-clause bsd-2-clause-patent bsd-3-clause bsd-3-clause-clear isc bsl-1 cc0 cc-by cc-by-3.0 cc-by-4.0
+    public-domain unlicense zlib libpng curl icu ncsa postgresql psf-2.0 python-2.0 unicode-3.0 unicode-dfs-2016 upl-1.0 wtfpl x11 blueoak-1.0.0""".split()
+)
+UNKNOWN, REFERENCE = "unknown", "licenseref"
 #: How sure a kind of evidence is.
 WEIGHT = {"base": 0.9, "tag": 0.95, "notice": 0.7}
 
 _SEPARATORS = np.zeros(256, bool)
 _SEPARATORS[list(range(0x00, 0x30)) + list(range(0x3A, 0x41)) + list(range(0x5B, 0x61)) + list(range(0x7B, 0x80))] = True
 _FOLD = bytes(32 if _SEPARATORS[b] else (b + 32 if 65 <= b <= 90 else b) for b in range(256))
-_TAG = re.compile(r"spdx-license-identifier\s*:", re.I)
+_TAG = re.compile(rb"(?<![0-9A-Za-z\x80-\xff])spdx-license-identifier\s*:", re.I)
 _TOKEN = re.compile(r"\s*(?:(\()|(\))|([A-Za-z0-9][A-Za-z0-9.+\-]*))")
 _BINDS = {"OR": 1, "AND": 2, "WITH": 3}
 
@@ -65,22 +115,24 @@ def parse(line: str) -> list[str]:
     """The longest well-formed expression at the start of line, in reverse Polish notation ([] if there is none)."""
     out: list[str] = []
     stack: list[str] = []
-    best: list[str] = []
-    at, operand = 0, True
+    done, rest = 0, []  # the best expression so far: out[:done] and these operators
+    at, depth, operand = 0, 0, True
     while m := _TOKEN.match(line, at):
         at = m.end()
         if m[1]:
             if not operand:
                 break
             stack.append("(")
+            depth += 1
             continue
         word = m[3] and m[3].upper()
         if m[2]:
-            if operand or "(" not in stack:
+            if operand or not depth:
                 break
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
+            depth -= 1
         elif word in _BINDS:
             if operand:
                 break
@@ -94,9 +146,19 @@ def parse(line: str) -> list[str]:
                 break
             out.append(m[3].lower().rstrip(".") or m[3].lower())
             operand = False
-        if "(" not in stack:
-            best = out + stack[::-1]
-    return best
+        if not depth:  # at most one operator of each kind waits here
+            done, rest = len(out), stack[::-1]
+    return out[:done] + rest
+
+
+def label(identifier: str) -> str:
+    """Label of an identifier of an expression."""
+    x = identifier.removesuffix("-or-later").removesuffix("-only").rstrip("+")
+    if x in ALIASES:
+        return ALIASES[x]
+    if x.startswith(("licenseref-", "documentref-")):
+        return REFERENCE
+    return x if x in KNOWN else UNKNOWN
 
 
 def evaluate(rpn: list[str], allowed: frozenset = PERMISSIVE) -> bool:
@@ -107,20 +169,32 @@ def evaluate(rpn: list[str], allowed: frozenset = PERMISSIVE) -> bool:
             b, a = stack.pop(), stack.pop()
             stack.append(a if x == "WITH" else a and b if x == "AND" else a or b)
         else:
-            stack.append(ALIASES.get(x, x) in allowed)
+            stack.append(label(x) in allowed)
     return stack[-1] if stack else False
 
 
 def identifiers(rpn: list[str]) -> list[str]:
     """Licence labels of an expression; what follows WITH is an exception, not a licence."""
-    stack: list[list[str]] = []
+    names: list[str] = []
+    spans: list[tuple[int, int]] = []  # each part of an expression is a run of its operands
+    except_ = [0]
     for x in rpn:
         if x in _BINDS:
-            b, a = stack.pop(), stack.pop()
-            stack.append(a if x == "WITH" else a + b)
+            (b, end), (a, _) = spans.pop(), spans.pop()
+            spans.append((a, end))
+            if x == "WITH":
+                except_[b] += 1
+                except_[end] -= 1
         else:
-            stack.append([ALIASES.get(x, x.rstrip("+") or x)])
-    return stack[-1] if stack else []
+            spans.append((len(names), len(names) + 1))
+            names.append(x)
+            except_.append(0)
+    inside, found = 0, []
+    for name, step in zip(names, except_, strict=False):
+        inside += step
+        if not inside:
+            found.append(label(name))
+    return found
 
 
 @cache
@@ -140,21 +214,29 @@ def scan(text: str | bytes | None) -> tuple[int, list[tuple[str, str, int, int]]
     words = [x for x in words if x] if b"" in words else words
     joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
     matches, expressions, tagged, permitted = [], [], False, None
-    for end, (kind, label, size, count) in _automaton().iter(joined):
+    blanks = place = 0  # matches come in order of their ends, so blanks are counted once
+    for end, (kind, label_, _, count) in _automaton().iter(joined):
+        blanks += joined.count(" ", place, end + 1)
+        place = end + 1
         if kind == "tag":
             tagged = True
         else:
-            matches.append((label, kind, joined.count(" ", 0, end + 1 - size + 1) - 1, count))
+            matches.append((label_, kind, blanks - 1 - count, count))
     if tagged:
-        whole = raw.decode("utf-8", "replace")
-        for m in _TAG.finditer(whole):
-            stop = whole.find("\n", m.end())
-            rpn = parse(whole[m.end() : stop if stop >= 0 else len(whole)])
+        before = place = 0
+        stop = -1
+        for m in _TAG.finditer(raw):
+            before += len(raw[place : m.start()].translate(_FOLD).split())
+            place = m.start()
+            if m.end() > stop:
+                stop = raw.find(b"\n", m.end())
+                stop = stop if stop >= 0 else len(raw)
+            following = _TAG.search(raw, m.end(), stop)  # a line may hold several tags: each one's expression ends before the next
+            rpn = parse(raw[m.end() : following.start() if following else stop].decode("utf-8", "replace"))
             if rpn:
                 expressions.append(" ".join(rpn))
                 permitted = evaluate(rpn) and permitted is not False
-                first = len(whole[: m.start()].encode().translate(_FOLD).split())
-                matches += [(x, "tag", first, 3) for x in dict.fromkeys(identifiers(rpn))]
+                matches += [(x, "tag", before, 3) for x in dict.fromkeys(identifiers(rpn))]
     return len(words), matches, expressions, permitted
 
 
