@@ -62,8 +62,8 @@ class PairTable:
         return found
 
 
-def merge_one(symbols: list[int], table: PairTable, skip=None) -> list[int]:
-    """One word by an agenda (heap) of candidate merges, best rank first, leftmost among equals. skip(start, middle, end, into) drops one."""
+def merge_one(symbols: list[int], table: PairTable, skip=None, made=None) -> list[int]:
+    """One word by an agenda (heap) of candidate merges, best rank first, leftmost among equals. skip(start, middle, end, into) drops one, made is told of each merge."""
     n = len(symbols)
     sym, left, right, end = list(symbols), list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
     heap: list[tuple] = []
@@ -79,6 +79,8 @@ def merge_one(symbols: list[int], table: PairTable, skip=None) -> list[int]:
         _, i, j, stop, into, a, b = heapq.heappop(heap)
         if sym[i] != a or sym[j] != b or right[i] != j or end[j] != stop:
             continue
+        if made:
+            made(i, j, stop, into)
         sym[i], sym[j], end[i] = into, -1, stop
         right[i] = right[j]
         if right[j] < n:
@@ -93,12 +95,13 @@ def merge_one(symbols: list[int], table: PairTable, skip=None) -> list[int]:
     return out
 
 
-def merge_many(symbols: np.ndarray, first: np.ndarray, table: PairTable, dropped=None) -> tuple[np.ndarray, np.ndarray]:
+def merge_many(symbols: np.ndarray, first: np.ndarray, table: PairTable, dropped=None, made=None) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all words, flat, and their offsets. symbols[first[i]:first[i+1]] is word i.
 
     dropped(rows, start, middle, end, into) -> bool array tells which candidate merges are never made; it has to depend on nothing
-    but its arguments, so that the order of work doesn't matter.
+    but its arguments, so that the order of work doesn't matter. made(rows, start, middle, end, into) is told of the merges that are made.
     """
+    spans = dropped is not None or made is not None
     lengths = np.diff(first)
     out_len = lengths.copy()
     done: list[tuple[np.ndarray, np.ndarray]] = []
@@ -107,7 +110,7 @@ def merge_many(symbols: np.ndarray, first: np.ndarray, table: PairTable, dropped
         skip = None
         if dropped is not None:
             skip = lambda s, m, e, into, i=i: bool(dropped(np.array([i]), np.array([s]), np.array([m]), np.array([e]), np.array([into]))[0])
-        tokens = merge_one(symbols[first[i] : first[i + 1]].tolist(), table, skip)
+        tokens = merge_one(symbols[first[i] : first[i + 1]].tolist(), table, skip, made and (lambda s, m, e, into, i=i: made(np.array([i]), np.array([s]), np.array([m]), np.array([e]), np.array([into]))))
         single.append((i, tokens))
         out_len[i] = len(tokens)
 
@@ -131,14 +134,14 @@ def merge_many(symbols: np.ndarray, first: np.ndarray, table: PairTable, dropped
         rows = by_length[edges[size] : edges[size + 1]]
         if len(rows):
             sym = symbols[first[rows][:, None] + np.arange(size)].astype(np.int32)
-            ends = np.broadcast_to(np.arange(1, size + 1, dtype=np.int32), sym.shape) if dropped is not None else None
+            ends = np.broadcast_to(np.arange(1, size + 1, dtype=np.int32), sym.shape) if spans else None
             rank = np.empty((len(rows), size - 1), np.int32)
             for p in range(size - 1):
                 rank[:, p] = ranks(rows, sym, ends, np.full(len(rows), p))
             if carry is not None:
                 rows = np.concatenate((carry[0], rows))
                 sym, rank = np.concatenate((carry[1], sym)), np.concatenate((carry[2], rank))
-                ends = np.concatenate((carry[3], ends)) if dropped is not None else None
+                ends = np.concatenate((carry[3], ends)) if spans else None
         elif carry is not None:
             rows, sym, rank, ends = carry
         else:
@@ -154,7 +157,10 @@ def merge_many(symbols: np.ndarray, first: np.ndarray, table: PairTable, dropped
         if not len(rows):
             carry = None
             continue
-        sym[i, best] = table.into[table.slot(sym[i, best], sym[i, best + 1])]
+        into = table.into[table.slot(sym[i, best], sym[i, best + 1])]
+        if made is not None:
+            made(rows, np.where(best > 0, ends[i, best - 1], 0), ends[i, best], ends[i, best + 1], into)
+        sym[i, best] = into
         keep = np.ones(sym.shape, bool)
         keep[i, best + 1] = False
         sym = sym[keep].reshape(len(rows), size - 1)

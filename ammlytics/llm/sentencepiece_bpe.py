@@ -2,14 +2,15 @@
 
 A piece model of merge (BPE) type is read from its file. Text becomes pieces as the model says: a blank becomes the mark U+2581, one more
 mark stands in front, characters without a piece of their own become bytes. Candidate merges are taken from an agenda, best score first,
-leftmost among equals. With ``dropout`` p, a candidate is skipped when a keyed hash of (seed, variant, its word, its span, the piece it would
-make) falls below p: the same text, seed and variant always give the same segmentation, other seeds or variants give others, and
-all decode to the same text.
+leftmost among equals. With ``dropout`` p, a candidate is skipped when a keyed hash of (seed, doc_id, place of the word in its document, span
+in the word, the piece it would make) falls below p: the same document and seed always give the same segmentation, each occurrence of a
+word its own, and all decode to the same text.
 
-Merges never cross from a character to a following mark (no piece of such a model does), so words are segmented for themselves, each
-distinct one once for a chunk of texts and variant, all words of one length together.
+Merges never cross from a character to a following mark (no piece of such a model does), so words are segmented for themselves, all words
+of one length together. Each distinct word of a chunk is segmented once without dropout. Where an occurrence skips none of the merges
+made there, its agenda would run the same way, so it takes that segmentation; only the other occurrences are run again with their keys.
 
-Rows. Null text is empty: no ids. Decoding gives the text back exactly. Repeated rows give repeated results. A text of any length is
+Rows. Null text is empty: no ids. Decoding gives the text back exactly. Repeated rows (same doc_id and text) give repeated results. A text of any length is
 encoded whole.
 """
 
@@ -70,8 +71,8 @@ class Pieces:
             raw[i] = bytes([b])
         return raw
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, dropout: float, seed: int, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all documents, flat, and each document's offset. variants: one number for each document."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray, dropout: float, seed: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, flat, and each document's offset. docs: a number for each document, which keys its dropout."""
         points, at = A.code_points(data, offsets)
         full = np.flatnonzero(np.diff(at) > 0)
         x = np.insert(points, at[:-1][full], 32)  # a mark before each document that has text
@@ -94,25 +95,49 @@ class Pieces:
         sums = np.zeros(n + 1, U64)
         np.cumsum(A.mix(x.astype(U64)) * A.powers(A.BASE, n), out=sums[1:], dtype=U64)
         word = A.mix((sums[begin + size] - sums[begin]) * A.powers(A.BASE_INV, n + 1)[begin])
-        owner = np.searchsorted(at, begin, side="right") - 1
-        key = A.mix(word ^ (A.mix(variants.astype(U64) + U64(seed % 2**63) * U64(0x9E3779B97F4A7C15))[owner] if dropout else U64(0)))
-        _, pick, which = np.unique(key, return_index=True, return_inverse=True)
-        first = np.concatenate(([0], np.cumsum(size[pick])))
-        source = np.repeat(begin[pick] - first[:-1], size[pick]) + np.arange(first[-1])
-        dropped = None
+        _, pick, which = np.unique(word, return_index=True, return_inverse=True)
+        made: list[tuple] = []
+        flat, off = self._merged(ids, x, begin[pick], size[pick], None, (lambda *m: made.append(m)) if dropout else None)
         if dropout:
-            keys, least = key[pick], U64(min(int(dropout * 2**64), 2**64 - 1))
-
-            def dropped(rows, begin_, middle, end, into):
-                h = A.mix(keys[rows] + begin_.astype(U64) * U64(0x9E3779B97F4A7C15))
-                return A.mix(h ^ (middle.astype(U64) << U64(40)) ^ (end.astype(U64) << U64(17)) ^ (into.astype(U64) * U64(0xC2B2AE3D27D4EB4F))) < least
-
-        flat, off = merge_many(np.where(ids[source] < 0, 0xFFFF, ids[source]), first, self.table, dropped)
-        if (ids[source] < 0).any():
-            flat, off = self._bytes(flat, off, x[source], first)
+            least = U64(min(int(dropout * 2**64), 2**64 - 1))
+            owner = np.searchsorted(at, begin, side="right") - 1
+            key = A.mix(A.mix(docs.astype(U64) + U64(seed % 2**63) * U64(0x9E3779B97F4A7C15))[owner] + (begin - at[owner]).astype(U64))
+            changed = np.flatnonzero(self._hit(key, which, made, len(pick), least))
+            if len(changed):
+                again = key[changed]
+                other, place = self._merged(ids, x, begin[changed], size[changed], lambda rows, *span: A.mix(again[rows] ^ _span(*span)) < least, None)
+                flat, off = np.concatenate((flat, other)), np.concatenate((off, place[1:] + off[-1]))
+                which = which.copy()
+                which[changed] = len(pick) + np.arange(len(changed))
         out, place = expand(flat, off, which)
         return out, place[np.searchsorted(begin, at)]
 
+    def _merged(self, ids, points, begin, size, dropped, made):
+        """Segmentation of the words at the given places: ids, flat, and each word's offset."""
+        first = np.concatenate(([0], np.cumsum(size)))
+        source = np.repeat(begin - first[:-1], size) + np.arange(first[-1])
+        mine = ids[source]
+        flat, off = merge_many(np.where(mine < 0, 0xFFFF, mine), first, self.table, dropped, made)
+        return self._bytes(flat, off, points[source], first) if (mine < 0).any() else (flat, off)
+
+    @staticmethod
+    def _hit(key: np.ndarray, which: np.ndarray, made: list[tuple], words: int, least) -> np.ndarray:
+        """Does an occurrence (its key, its word) skip one of the merges made for its word?"""
+        hit = np.zeros(len(key), bool)
+        if not made:
+            return hit
+        rows, *spans = (np.concatenate(x) for x in zip(*made, strict=True))
+        order = np.argsort(rows, kind="stable")
+        spans = _span(*spans)[order]
+        edge = np.searchsorted(rows[order], np.arange(words + 1))
+        count = np.diff(edge)[which]
+        for n in range(int(count.max())):
+            live = np.flatnonzero((count > n) & ~hit)
+            if not len(live):
+                break
+            hit[live] = A.mix(key[live] ^ spans[edge[which[live]] + n]) < least
+        return hit
+
     def _bytes(self, flat, off, points, first):
         """The place holder 0xFFFF replaced by the bytes of its character: the characters without a piece, in order."""
         missing = points[self.char[points] < 0]
@@ -133,17 +158,22 @@ class Pieces:
         return out[1:] if out[:1] == " " else out
 
 
+def _span(start: np.ndarray, middle: np.ndarray, end: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """A hash of a candidate merge: its places in the word and the piece that it makes."""
+    return A.mix(A.mix(start.astype(U64) << U64(42) | middle.astype(U64) << U64(21) | end.astype(U64)) + into.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+
+
 @cache
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _variant(ids: pa.Array, variants: int) -> np.ndarray:
-    return A.mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(U64)) % U64(max(1, variants))
+def _numbers(ids: pa.Array) -> np.ndarray:
+    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
 
 
-def encode(docs: DataFrame, *, path: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 16) -> DataFrame:
-    """Of docs(doc_id, text): doc_id, ids (array<int>). The variant of a document is a hash of doc_id modulo ``variants`` (null: 0)."""
+def encode(docs: DataFrame, *, path: str | None = None, dropout: float = 0.1, seed: int = 1) -> DataFrame:
+    """Of docs(doc_id, text): doc_id, ids (array<int>). A null doc_id counts as 0 in the keys."""
     path = path or model_path()
 
     def run(batches):
@@ -151,7 +181,7 @@ def encode(docs: DataFrame, *, path: str | None = None, dropout: float = 0.1, se
         schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
         for ids, data, offsets in A.chunks(batches, 2, 1 << 20):
             ids = ids.cast(pa.int64())
-            flat, at = model.encode(data, offsets, dropout, seed, _variant(ids, variants))
+            flat, at = model.encode(data, offsets, dropout, seed, _numbers(ids))
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat.astype(np.int32)))], schema=schema)
 
     return texts(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -170,7 +200,7 @@ def decode(encoded: DataFrame, *, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, *, path: str | None = None, dropout: float = 0.1, seed: int = 1, variants: int = 16) -> DataFrame:
+def round_trip(docs: DataFrame, *, path: str | None = None, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """Of docs(doc_id, text), encoded and decoded again in one pass: doc_id, n_pieces, ids_crc32 (unsigned 32-bit little-endian ids), lossless."""
     path = path or model_path()
 
@@ -179,7 +209,7 @@ def round_trip(docs: DataFrame, *, path: str | None = None, dropout: float = 0.1
         schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())])
         for ids, data, offsets in A.chunks(batches, 2, 1 << 20):
             ids = ids.cast(pa.int64())
-            flat, at = model.encode(data, offsets, dropout, seed, _variant(ids, variants))
+            flat, at = model.encode(data, offsets, dropout, seed, _numbers(ids))
             raw, packed, edge, tokens = data.tobytes(), flat.astype("<u4").tobytes(), at.tolist(), flat.tolist()
             same = [model.decode(tokens[a:b]).encode() == raw[x:y] for a, b, x, y in zip(edge[:-1], edge[1:], offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
