@@ -136,12 +136,12 @@ def word(data: Column, i: int) -> Column:
 
 
 def hex_double(digits: Column, signed: bool = False) -> Column:
-    """A 64-digit hex word as a double, folded from limbs of 12 digits; signed: two's complement."""
+    """A 64-digit hex word as a double, folded from limbs of 16 digits; signed: two's complement."""
 
     def fold(x: Column) -> Column:
         out = F.lit(0.0)
-        for start, size in ((1, 4), *((5 + 12 * k, 12) for k in range(5))):
-            out = out * float(16**size) + F.conv(F.substring(x, start, size), 16, 10).cast("double")
+        for start in (1, 17, 33, 49):
+            out = out * float(16**16) + F.conv(F.substring(x, start, 16), 16, 10).cast("double")
         return out
 
     if not signed:

@@ -131,7 +131,24 @@ def signal(b: DataFrame, family: str, *params) -> DataFrame:
 # Simulation -------------------------------------------------------------------------------------------------------------------
 
 
-def simulate(b: DataFrame, tp: float, sl: float, hold: int, *, keys: tuple[str, ...] = (PAIR,), rule: str = "sl_first", time_exit_gap: bool = True, entry_at: str = "close") -> DataFrame:
+def _trades(a: DataFrame, keys: list[str], tp: str, sl: str, hold: str, entry: str, rule: str, gap: int) -> DataFrame:
+    """Trades of arrays: a(keys, s: ordered bars, n) with target, stop and hold as SQL (literals or columns) and the entry condition of bar s[k]."""
+    # candidate exits: position in the array, not bar number, so that slices of a series work as well
+    hit_expr = f"""transform(sequence(0, n - 1), k -> if({entry} and s[k].close > 0 and k < n - 1,
+        struct(k as k, array_min(filter(sequence(k + 1, least(k + {hold}, n - 1)), j -> s[j].low <= s[k].close * (1D - {sl}) or s[j].high >= s[k].close * (1D + {tp}))) as hit), null))"""
+    x = a.withColumn("c", F.expr(f"filter({hit_expr}, e -> e is not null)"))
+    fold = F.expr(f"""aggregate(c, struct(0 as free, cast(array() as array<struct<k: int, hit: int>>) as kept),
+        (acc, e) -> if(e.k < acc.free, acc, struct(if(e.hit is null, least(e.k + {hold}, n - 1) + {gap}, e.hit + 1) as free, array_append(acc.kept, e) as kept))).kept""")
+    t = x.withColumn("e", F.explode(fold)).withColumns({"a": F.expr("s[e.k]"), "z": F.expr(f"s[coalesce(e.hit, least(e.k + {hold}, n - 1))]")})
+    stop = F.expr(f"e.hit is not null and z.low <= a.close * (1D - {sl})")
+    target = F.expr(f"e.hit is not null and z.high >= a.close * (1D + {tp})")
+    both = F.expr({"sl_first": f"-{sl}", "tp_first": tp, "split": f"({tp} - {sl}) / 2"}[rule])
+    ret = F.when(stop & target, both).when(stop, F.expr(f"-{sl}")).when(target, F.expr(tp)).otherwise(F.expr("z.close / a.close - 1"))
+    how = F.when(stop & target, "both").when(stop, "sl").when(target, "tp").otherwise("time")
+    return t.select(*keys, F.col("a.i").alias("i"), F.col("z.i").alias("j"), ret.cast("double").alias("ret"), how.alias("how"))
+
+
+def simulate(b: DataFrame, tp: float, sl: float, hold: int, *, keys: tuple[str, ...] = (PAIR,), rule: str = "sl_first", time_exit_gap: bool = True) -> DataFrame:
     """Long trades, one position at a time: keys, i (entry), j (exit bar), ret before cost, how.
 
     From the bar after entry the stop (low <= price (1 - sl)) or the target (high >= price (1 + tp)) ends a trade at exactly -sl or tp;
@@ -142,20 +159,17 @@ def simulate(b: DataFrame, tp: float, sl: float, hold: int, *, keys: tuple[str,
     """
     bars = F.array_sort(F.collect_list(F.struct("i", "entry", "high", "low", "close")))
     a = b.groupBy(*keys).agg(bars.alias("s")).withColumn("n", F.size("s"))
-    # candidate exits: position in the array, not bar number, so that slices of a series work as well
-    hit_expr = f"""transform(sequence(0, n - 1), k -> if(s[k].entry and s[k].close > 0 and k < n - 1,
-        struct(k as k, array_min(filter(sequence(k + 1, least(k + {hold}, n - 1)), j -> s[j].low <= s[k].close * {1 - sl!r}D or s[j].high >= s[k].close * {1 + tp!r}D)) as hit), null))"""
-    x = a.withColumn("c", F.expr(f"filter({hit_expr}, e -> e is not null)"))
-    gap = 2 if time_exit_gap else 1
-    fold = F.expr(f"""aggregate(c, struct(0 as free, cast(array() as array<struct<k: int, hit: int>>) as kept),
-        (acc, e) -> if(e.k < acc.free, acc, struct(if(e.hit is null, least(e.k + {hold}, n - 1) + {gap}, e.hit + 1) as free, array_append(acc.kept, e) as kept))).kept""")
-    t = x.withColumn("e", F.explode(fold)).select(*keys, "e.k", "e.hit", F.expr("s[e.k]").alias("a"), F.expr(f"s[coalesce(e.hit, least(e.k + {hold}, n - 1))]").alias("z"))
-    stop = F.col("hit").isNotNull() & (F.col("z.low") <= F.col("a.close") * (1 - sl))
-    target = F.col("hit").isNotNull() & (F.col("z.high") >= F.col("a.close") * (1 + tp))
-    both = {"sl_first": -sl, "tp_first": tp, "split": (tp - sl) / 2}[rule]
-    ret = F.when(stop & target, F.lit(both)).when(stop, F.lit(-sl)).when(target, F.lit(tp)).otherwise(F.col("z.close") / F.col("a.close") - 1)
-    how = F.when(stop & target, "both").when(stop, "sl").when(target, "tp").otherwise("time")
-    return t.select(*keys, F.col("a.i").alias("i"), F.col("z.i").alias("j"), ret.cast("double").alias("ret"), how.alias("how"))
+    return _trades(a, list(keys), f"{tp!r}D", f"{sl!r}D", str(hold), "s[k].entry", rule, 2 if time_exit_gap else 1)
+
+
+def simulate_close_stop(b: DataFrame, stop: float, hold: int, keys: tuple[str, ...] = (PAIR,)) -> DataFrame:
+    """Long trades from close to close: the first close at or below price (1 - stop) ends a trade there, else the close ``hold`` bars on or the last; the next entry from the bar after."""
+    a = b.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "entry", "close"))).alias("s")).withColumn("n", F.size("s"))
+    end = f"""coalesce(array_min(filter(sequence(k + 1, least(k + {hold}, n - 1)), j -> s[j].close <= s[k].close * (1D - {stop!r}D))), least(k + {hold}, n - 1))"""
+    c = F.expr(f"filter(transform(sequence(0, n - 1), k -> if(s[k].entry and s[k].close > 0 and k < n - 1, struct(k as k, {end} as z), null)), e -> e is not null)")
+    fold = F.expr("aggregate(c, struct(0 as free, cast(array() as array<struct<k: int, z: int>>) as kept), (acc, e) -> if(e.k < acc.free, acc, struct(e.z + 1 as free, array_append(acc.kept, e) as kept))).kept")
+    t = a.withColumn("c", c).withColumn("e", F.explode(fold)).select(*keys, F.expr("s[e.k]").alias("a"), F.expr("s[e.z]").alias("z"))
+    return t.select(*keys, F.col("a.i").alias("i"), F.col("z.i").alias("j"), (F.col("z.close") / F.col("a.close") - 1).alias("ret"))
 
 
 def close_to_close(b: DataFrame, hold: int, keys: tuple[str, ...] = (PAIR,)) -> DataFrame:
@@ -185,27 +199,78 @@ def windows(b: DataFrame, is_len: int, oos_len: int) -> DataFrame:
     return n.select(PAIR, F.explode(F.sequence(F.lit(0), (F.col("n") - is_len - oos_len).cast("int"), F.lit(oos_len))).alias("start"))
 
 
+def with_signals(b: DataFrame, signals: dict[str, tuple]) -> DataFrame:
+    """b of base_columns with ``entries``: a boolean for each family, in order."""
+    plain = [f for f in signals if f in FAMILIES]
+    x = b.withColumns({f"_raw_{f}": FAMILIES[f](*signals[f]) for f in plain})
+    x = x.withColumns({f"_in_{f}": shifted(F.col(f"_raw_{f}")) for f in plain})
+    for f in signals:
+        if f not in FAMILIES:
+            x = signal(x, f, *signals[f]).withColumnRenamed("entry", f"_in_{f}")
+    return x.withColumn("entries", F.array(*[F.col(f"_in_{f}") for f in signals])).drop(*[f"_raw_{f}" for f in signals], *[f"_in_{f}" for f in signals])
+
+
+def window_trades(b: DataFrame, signals: dict[str, tuple], brackets: list[tuple[float, float, int]], *, is_len: int, oos_len: int) -> DataFrame:
+    """Trades (pair, start, part, family, draw, i, j, ret, how) of every family and bracket in the in-sample and out-of-sample part of every walk-forward window.
+
+    A window's bars are one array, made once and shared by all families and brackets.
+    """
+    x = with_signals(b, signals).select(PAIR, "i", "high", "low", "close", "entries").join(windows(b, is_len, oos_len), PAIR)
+    cut = F.col("i") - F.col("start")
+    x = x.where(cut.between(0, is_len + oos_len - 1)).withColumn("part", F.when(cut < is_len, "is").otherwise("oos"))
+    a = x.groupBy(PAIR, "start", "part").agg(F.array_sort(F.collect_list(F.struct("i", "high", "low", "close", "entries"))).alias("s")).withColumn("n", F.size("s"))
+    grid = [F.struct(F.lit(f).alias("family"), F.lit(n).alias("f"), F.lit(d).alias("draw"), F.lit(float(tp)).alias("tp"), F.lit(float(sl)).alias("sl"), F.lit(hold).alias("hold")) for n, f in enumerate(signals) for d, (tp, sl, hold) in enumerate(brackets)]
+    a = a.withColumn("g", F.explode(F.array(*grid))).select("*", "g.family", "g.f", "g.draw", "g.tp", "g.sl", "g.hold").drop("g")
+    return _trades(a, [PAIR, "start", "part", "family", "draw"], "tp", "sl", "hold", "s[k].entries[f]", "sl_first", 2)
+
+
+def best_in_sample(trades: DataFrame, cost: float, least_is: int, most_draws: int | None = None) -> DataFrame:
+    """Of each pair, family and window the draw with the best profit factor in sample (to nine digits), the first of equal ones; only the first ``most_draws``."""
+    rows = trades.where("part = 'is'") if most_draws is None else trades.where((F.col("part") == "is") & (F.col("draw") < most_draws))
+    ranked = score(rows, [PAIR, "family", "start", "draw"], cost).where(F.col("n") >= least_is)
+    return ranked.withColumn("r", F.row_number().over(Window.partitionBy(PAIR, "family", "start").orderBy(F.desc(F.round("pf", 9)), "draw"))).where("r = 1").select(PAIR, "family", "start", "draw")
+
+
 def walk_forward(b: DataFrame, signals: dict[str, tuple], brackets: list[tuple[float, float, int]], *, is_len: int, oos_len: int, least_is: int = 5, least_oos: int = 4, cost: float = 0.0) -> DataFrame:
     """Of each pair and family: the bracket that is best in sample (profit factor, first of equal ones) is traded out of sample; pooled.
 
     Signals use the whole series, trades stay in their window. b: frame of base_columns. cost: a round trip's fraction.
     """
-    parts = []
-    for family, params in signals.items():
-        s = signal(b, family, *params).select(PAIR, "i", "high", "low", "close", "entry")
-        x = s.join(windows(b, is_len, oos_len), PAIR)
-        cut = F.col("i") - F.col("start")
-        x = x.where(cut.between(0, is_len + oos_len - 1)).withColumn("part", F.when(cut < is_len, "is").otherwise("oos"))
-        for k, (tp, sl, hold) in enumerate(brackets):
-            t = simulate(x, tp, sl, hold, keys=(PAIR, "start", "part"))
-            parts.append(t.withColumns({"family": F.lit(family), "draw": F.lit(k)}))
-    trades = parts[0]
-    for p in parts[1:]:
-        trades = trades.unionByName(p)
-    ranked = score(trades.where("part = 'is'"), [PAIR, "family", "start", "draw"], cost).where(F.col("n") >= least_is)
-    best = ranked.withColumn("r", F.row_number().over(Window.partitionBy(PAIR, "family", "start").orderBy(F.desc("pf"), "draw"))).where("r = 1").select(PAIR, "family", "start", "draw")
+    trades = window_trades(b, signals, brackets, is_len=is_len, oos_len=oos_len)
+    best = best_in_sample(trades, cost, least_is)
     out = score(trades.where("part = 'oos'").join(best, [PAIR, "family", "start", "draw"]), [PAIR, "family"], cost).where(F.col("n") >= least_oos)
-    return out.withColumn("pass", (F.col("pf") > 1) & (F.col("net") > 0))
+    return out.withColumn("pass", (F.round("pf", 9) > 1) & (F.round("net", 9) > 0))
+
+
+def noise_sweep(b: DataFrame, null: DataFrame, signals: dict[str, tuple], brackets: list[tuple[float, float, int]], draws: list[int], *, is_len: int, oos_len: int, least_is: int = 5, cost: float = 0.0) -> DataFrame:
+    """What picking the best of ever more draws in sample gives in and out of sample, for the bars and for a null of them: (series, draws, windows, is_net, oos_net, oos_n)."""
+    out = None
+    for name, frame in (("real", b), ("null", null)):
+        trades = window_trades(frame, signals, brackets, is_len=is_len, oos_len=oos_len)
+        for n in draws:
+            chosen = trades.join(best_in_sample(trades, cost, least_is, n), [PAIR, "family", "start", "draw"])
+            net = F.col("ret") - cost
+            part = lambda p, x: F.coalesce(F.sum(F.when(F.col("part") == p, x)), F.lit(0.0))
+            one = chosen.agg(F.count_distinct(PAIR, "family", "start").alias("windows"), part("is", net).alias("is_net"), part("oos", net).alias("oos_net"), F.count_if(F.col("part") == "oos").alias("oos_n"))
+            one = one.select(F.lit(name).alias("series"), F.lit(n).alias("draws"), "windows", "is_net", "oos_net", "oos_n")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def archetype(b: DataFrame, name: str, n: int, threshold: float) -> DataFrame:
+    """b(pair, i, close, volume) with the boolean entry of an archetype; everything is known one bar before: momentum, breakout, reversion, volsurge."""
+    x = b.withColumns({"c1": F.lag("close").over(w()), "v1": F.lag(F.coalesce("volume", F.lit(0.0))).over(w())})
+    if name == "momentum":
+        hit = F.col("c1") / F.lag("c1", n).over(w()) - 1 > threshold
+    elif name == "breakout":
+        hit = F.col("c1") >= rolling(F.max, F.col("c1"), w(), n)
+    elif name == "reversion":
+        hit = F.try_divide(F.col("c1") - rolling(F.avg, F.col("c1"), w(), n), F.nullif(rolling(F.stddev_samp, F.col("c1"), w(), n), F.lit(0.0))) < -threshold
+    elif name == "volsurge":
+        hit = (F.col("v1") > threshold * rolling(F.avg, F.col("v1"), w(), n)) & (F.col("c1") / F.lag("c1").over(w()) - 1 > 0)
+    else:
+        raise ValueError(name)
+    return x.withColumn("entry", F.coalesce(hit, F.lit(False))).drop("c1", "v1")
 
 
 # Nulls ------------------------------------------------------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from ammlytics.plans import amm, market, research, studies
+from ammlytics.plans import amm, chain, evaluation, market, providers, research, studies
 from ammlytics.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "amm", "market", "research", "studies"]
+__all__ = ["ORACLES", "QUERIES", "amm", "chain", "evaluation", "market", "providers", "research", "studies"]

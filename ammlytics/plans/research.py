@@ -199,12 +199,6 @@ def _(t):
     return rounded(R.close_to_close(R.signal(ib(t), "donchian_bo"), 5))
 
 
-@query("walk_forward")
-def _(t):
-    """Best bracket in sample, traded out of sample, by pair and family."""
-    return R.walk_forward(ib(t), {"boll_rev": (20, 1.5), "donchian_bo": (20,)}, [(0.15, 0.1, 10), (0.3, 0.2, 20), (0.05, 0.05, 5)], is_len=240, oos_len=120)
-
-
 # Nulls
 @query("null_bar_shuffle", f"WITH {_IB}, s AS (SELECT pair_address, i, close, row_number() OVER (PARTITION BY pair_address ORDER BY md5(concat_ws('|', 'null', pair_address, CAST(i AS STRING))), i) - 1 AS k FROM ib WHERE i < 200) SELECT a.pair_address, a.i, b.close FROM s a JOIN s b ON b.pair_address = a.pair_address AND b.k = a.i")
 def _(t):
