@@ -94,40 +94,56 @@ def sandwich_candidates(trades: DataFrame) -> DataFrame:
     return hit.groupBy("pair_address", "block_number", "attacker", "front", "back").agg(F.count("*").alias("victims"))
 
 
+def sandwich_attacks(trades: DataFrame) -> DataFrame:
+    """Attacks (pair, block, attacker, front, back: places in the block): each buy with its maker's nearest later sell that no earlier attack used; if no other maker buys between, the buy is no attack and uses nothing.
+
+    Earlier buys use a maker's sells in order and without gaps, so the nearest free sell is known by two counts: the sells before the buy, and
+    the last one used. One fold over a maker's buys in a block, no search.
+    """
+    t = _placed(trades).where("maker is not null and s is not null")
+    mine = Window.partitionBy("pair_address", "block_number", "maker").orderBy("pos")
+    t = t.withColumns({"own": F.count_if(F.col("s") == "buy").over(mine), "sold": F.count_if(F.col("s") == "sell").over(mine)})
+    row = F.struct("pos", "buys", "own", "sold")
+    a = t.groupBy("pair_address", "block_number", "maker").agg(F.array_sort(F.collect_list(F.when(F.col("s") == "buy", row))).alias("b"), F.array_sort(F.collect_list(F.when(F.col("s") == "sell", row))).alias("z")).where("size(b) > 0 and size(z) > 0")
+    fold = F.expr("""aggregate(b, struct(0L as next, cast(array() as array<struct<front: int, back: int>>) as found),
+        (acc, x) -> if(greatest(x.sold, acc.next) < size(z) and z[int(greatest(x.sold, acc.next))].buys - x.buys > z[int(greatest(x.sold, acc.next))].own - x.own,
+            struct(greatest(x.sold, acc.next) + 1L as next, array_append(acc.found, struct(x.pos as front, z[int(greatest(x.sold, acc.next))].pos as back)) as found), acc)).found""")
+    return a.select("pair_address", "block_number", F.col("maker").alias("attacker"), F.inline(fold))
+
+
+def _placed(trades: DataFrame) -> DataFrame:
+    """Trades with their place in the block, side (what doesn't begin with b sells; null stays) and the buys up to there."""
+    block = Window.partitionBy("pair_address", "block_number").orderBy("log_index", "maker")
+    side = F.when(F.lower("side").startswith("b"), "buy").when(F.col("side").isNotNull(), "sell")
+    t = trades.where("block_number is not null and log_index is not null").select("pair_address", "block_number", "log_index", "maker", "price_usd", side.alias("s"))
+    return t.withColumns({"pos": F.row_number().over(block), "buys": F.count_if(F.col("s") == "buy").over(block)})
+
+
 def detect_sandwiches(trades: DataFrame, *, once: bool = True) -> DataFrame:
-    """Attacks by block: each buy takes the nearest unused later sell of its maker with another maker's buy between; a victim counts once.
+    """Attacks by block of at least three trades: number, victims, their mean extra price over the block's first price, trades.
 
-    Greedy use of sells depends on order, so each (pair, block), one block's trades, is walked in pandas. once=False counts a victim for
-    every attack around it.
+    A victim is another maker's buy inside an attack: how many attacks are open at a place is a running sum of their ends, less those of
+    the buyer's own. once=False counts a victim for every attack around it.
     """
-    cols = ["pair_address", "block_number", "log_index", "maker", "side", "price_usd"]
-
-    def walk(block: pd.DataFrame) -> pd.DataFrame:
-        rows = block.sort_values("log_index").reset_index(drop=True)
-        makers, sides = rows.maker.tolist(), [s if s is None or s != s else ("buy" if str(s).lower().startswith("b") else "sell") for s in rows.side]
-        prices = rows.price_usd.tolist()
-        used, flagged, attacks, victims, extra = set(), set(), 0, 0, 0.0
-        first = next((p for p in prices if p == p and p), None)
-        for i, (m, s) in enumerate(zip(makers, sides, strict=True)):
-            if s != "buy" or m is None:
-                continue
-            for j in range(i + 2, len(rows)):
-                if j in used or sides[j] != "sell" or makers[j] != m:
-                    continue
-                between = [k for k in range(i + 1, j) if sides[k] == "buy" and makers[k] not in (m, None) and not (once and k in flagged)]
-                if between:
-                    used.add(j)
-                    flagged.update(between)
-                    attacks += 1
-                    victims += len(between)
-                    if first:
-                        extra += sum(max(0.0, (prices[k] - first) / first) for k in between if prices[k] == prices[k] and prices[k] is not None)
-                    break
-        return pd.DataFrame({"pair_address": rows.pair_address[:1], "block_number": rows.block_number[:1], "attacks": [attacks], "victims": [victims], "extra": [extra], "trades": [len(rows)]})
-
-    t = trades.where("block_number is not null and log_index is not null").select(*cols)
-    out = t.groupBy("pair_address", "block_number").applyInPandas(walk, "pair_address string, block_number long, attacks long, victims long, extra double, trades long")
-    return out.where("trades >= 3")
+    t = _placed(trades)
+    ends = sandwich_attacks(trades).select("pair_address", "block_number", F.explode(F.array(F.struct(F.col("front").alias("pos"), F.lit(1).alias("d"), F.lit(1).alias("a")), F.struct(F.col("back").alias("pos"), F.lit(-1).alias("d"), F.lit(0).alias("a")))).alias("e"))
+    ends = ends.groupBy("pair_address", "block_number", "e.pos").agg(F.sum("e.d").alias("d"), F.sum("e.a").alias("a"))
+    block, mine = (Window.partitionBy("pair_address", "block_number", *m).orderBy("pos") for m in ((), ("maker",)))
+    x = t.join(ends, ["pair_address", "block_number", "pos"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    own = F.when(F.col("maker").isNotNull(), F.sum("d").over(mine)).otherwise(0)
+    open_ = F.sum("d").over(block) - own
+    x = x.withColumns({"hits": F.when(F.col("s") == "buy", F.least(open_, F.lit(1)) if once else open_).otherwise(0), "pre": F.first(F.when(F.col("price_usd") > 0, F.col("price_usd")), ignorenulls=True).over(block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    over = F.when((F.col("price_usd") > 0) & (F.col("hits") > 0), F.greatest(F.lit(0.0), F.col("price_usd") / F.col("pre") - 1))
+    g = x.groupBy("pair_address", "block_number").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("attacks"), F.sum("hits").alias("victims"), F.sum(over * F.col("hits")).alias("extra_sum"), F.sum(F.when(over.isNotNull(), F.col("hits"))).alias("priced"), F.count("*").alias("trades")).where("trades >= 3")
+    return g.select("pair_address", "block_number", "attacks", "victims", F.coalesce(F.col("extra_sum") / F.col("priced"), F.lit(0.0)).alias("extra"), F.coalesce("priced", F.lit(0)).alias("priced"), "trades")
+
+
+def sandwich_table(trades: DataFrame, least: int = 10) -> DataFrame:
+    """Per pair with enough trades: attacks, victims (once for every attack around them), their share of trades and mean extra price in basis points."""
+    n = trades.where("block_number is not null and log_index is not null").groupBy("pair_address").agg(F.count("*").alias("n_trades"), F.count_distinct("block_number").alias("n_blocks")).where(F.col("n_trades") >= least)
+    g = detect_sandwiches(trades, once=False).groupBy("pair_address").agg(F.sum("attacks").alias("attacks"), F.sum("victims").alias("victims"), F.sum(F.col("extra") * F.col("priced")).alias("e"), F.sum("priced").alias("p"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return n.join(g, "pair_address", "left").select("pair_address", "n_trades", "n_blocks", zero("attacks").alias("attacks"), zero("victims").alias("victims"), (zero("victims") / F.col("n_trades")).alias("victim_rate"), F.coalesce(F.try_divide("e", F.nullif("p", F.lit(0))) * 1e4, F.lit(0.0)).alias("mean_extra_bp"))
 
 
 def word(data: Column, i: int) -> Column:

@@ -39,8 +39,8 @@ def top_tokens(trades: DataFrame, chain: str | None = None, since: int | None =
 ORDERS = ("volume_usd", "n_trades", "liquidity_usd", "last_price", "n_buys", "n_sells", "age_days", "holder_count")
 
 
-def screener(trades: DataFrame, universe: DataFrame | None = None, holders: DataFrame | None = None, *, chain: str | None = None, dex: str | None = None, min_volume: float | None = None, min_liquidity: float | None = None, order_by: str = "volume_usd", descending: bool = True, limit: int = 100) -> DataFrame:
-    """A row for each pair: activity, last price and liquidity, pool age, latest holder snapshot; filtered, ordered (nulls last), limited.
+def screener(trades: DataFrame, universe: DataFrame | None = None, holders: DataFrame | None = None, *, chain: str | None = None, dex: str | None = None, min_volume: float | None = None, min_liquidity: float | None = None, order_by: str = "volume_usd", descending: bool = True, limit: int | None = 100) -> DataFrame:
+    """A row for each pair: activity, last price and liquidity, pool age, latest holder snapshot; filtered, ordered (nulls last), limited (None: all, unordered).
 
     Both joins meet a side that is aggregated to one row a key first, so no trade row is multiplied.
     """
@@ -76,6 +76,8 @@ def screener(trades: DataFrame, universe: DataFrame | None = None, holders: Data
             out = out.where(F.col(column) >= least)
     if dex is not None:
         out = out.where(F.col("dex") == dex)
+    if limit is None:
+        return out
     key = F.col(order_by if order_by in ORDERS else "volume_usd")
     return out.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "chain", "pair_address").limit(limit)
 

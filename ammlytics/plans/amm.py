@@ -63,27 +63,21 @@ def _(t):
     return rounded(x.select("pool", "size", C.round_trip_cost(F.col("size").cast("double"), F.col("r"), F.lit(30.0), F.lit(0.2)).alias("cost")), 8)
 
 
-_POOLS = "SELECT token, pool || '-' || id AS pool, 1 + (id % 50) / 1000.0 AS mid, reserve_usd / 2 AS depth, fee_bps FROM pools WHERE id < 60"
+_POOLS = "SELECT token, pool || '-' || id AS pool, 1 + (id % 50) / 1000.0 AS mid, reserve_usd / 2 AS depth, fee_bps FROM pools"
 _ROUTE = """WITH p AS ({pools}), x AS (SELECT *, {b} AS b FROM p), y AS (SELECT *, sum(depth) OVER o AS r, sum(depth / b) OVER o AS q FROM x WINDOW o AS (PARTITION BY token ORDER BY b {dir}, pool)),
 z AS (SELECT *, {level} AS lv FROM y), f AS (SELECT token, arg_max(lv, r) AS level FROM z WHERE lv {cmp} b GROUP BY 1)
 SELECT token, pool, round(greatest({part}, 0), 4) AS part, round(f.level, 8) AS level FROM z JOIN f USING (token)"""
 
 
-@query("split_route_buy", _ROUTE.format(pools=_POOLS, b="mid / (1 - fee_bps / 10000.0)", dir="ASC", level="(20000 + r) / q", cmp=">", part="depth * (f.level / b - 1)"))
-def _(t):
-    p = t.sql(_POOLS)
-    return A.split_route(p, 20000.0).select("token", "pool", F.round("part", 4).alias("part"), F.round("level", 8).alias("level"))
-
-
-@query("split_route_sell", _ROUTE.format(pools=_POOLS, b="mid * (1 - fee_bps / 10000.0)", dir="DESC", level="(r - 20000) / q", cmp="<", part="depth * (1 - f.level / b)"))
-def _(t):
-    return A.split_route(t.sql(_POOLS), 20000.0, "sell").select("token", "pool", F.round("part", 4).alias("part"), F.round("level", 8).alias("level"))
+def _route(side):
+    return lambda t: A.split_route(t.sql(_POOLS), 20000.0, side).select("token", "pool", F.round("part", 4).alias("part"), F.round("level", 8).alias("level"))
 
 
-for _side in ("buy", "sell"):  # over all pools
-    query(f"split_route_{_side}_all")(
-        lambda t, side=_side: A.split_route(t.sql(_POOLS.removesuffix(" WHERE id < 60")), 20000.0, side).select("token", "pool", F.round("part", 4).alias("part"), F.round("level", 8).alias("level"))
-    )
+_BUY = _ROUTE.format(pools=_POOLS, b="mid / (1 - fee_bps / 10000.0)", dir="ASC", level="(20000 + r) / q", cmp=">", part="depth * (f.level / b - 1)")
+_SELL = _ROUTE.format(pools=_POOLS, b="mid * (1 - fee_bps / 10000.0)", dir="DESC", level="(r - 20000) / q", cmp="<", part="depth * (1 - f.level / b)")
+for _side, _sql in (("buy", _BUY), ("sell", _SELL)):
+    for _name in (f"split_route_{_side}", f"split_route_{_side}_all"):  # two names of one query
+        query(_name, _sql)(_route(_side))
 
 
 _TICKS = "SELECT pool, tick, CAST(sum(d) AS BIGINT) AS net FROM (SELECT pool, tick_lower AS tick, dl AS d FROM liquidity UNION ALL SELECT pool, tick_upper, -dl FROM liquidity) GROUP BY 1, 2 HAVING sum(d) <> 0"
@@ -124,16 +118,34 @@ def _(t):
     return A.sandwich_candidates(t.trades)
 
 
-@query("sandwiches")
+# The rule in SQL: a walk over each maker's buys in a block, then the victims of all attacks
+_ATTACKS = """x AS (SELECT *, row_number() OVER (PARTITION BY pair_address, block_number ORDER BY log_index, maker) AS pos FROM trades), b AS (SELECT pair_address, block_number, maker, pos, row_number() OVER (PARTITION BY pair_address, block_number, maker ORDER BY pos) AS k FROM x WHERE side = 'buy' AND maker IS NOT NULL),
+z AS (SELECT pair_address, block_number, maker, pos AS s FROM x WHERE side = 'sell' AND maker IS NOT NULL), pb AS (SELECT pair_address, block_number, pos, sum(CASE WHEN side = 'buy' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_address, block_number ORDER BY pos) AS nb, sum(CASE WHEN side = 'buy' THEN 1 ELSE 0 END) OVER (PARTITION BY pair_address, block_number, maker ORDER BY pos) AS ob FROM x),
+w AS (SELECT pair_address, block_number, maker, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS front, CAST(0 AS BIGINT) AS back, CAST(0 AS BIGINT) AS last FROM b WHERE k = 1 UNION ALL
+ SELECT pair_address, block_number, maker, k, pos, j, CASE WHEN hit THEN j ELSE last END FROM (SELECT n.*, coalesce(q.nb - p.nb > q.ob - p.ob, false) AS hit FROM (SELECT w.pair_address, w.block_number, w.maker, b.k, b.pos, w.last, min(z.s) AS j FROM w JOIN b ON b.pair_address = w.pair_address AND b.block_number = w.block_number AND b.maker = w.maker AND b.k = w.k + 1 LEFT JOIN z ON z.pair_address = w.pair_address AND z.block_number = w.block_number AND z.maker = w.maker AND z.s > greatest(b.pos, w.last) GROUP BY ALL) n
+  LEFT JOIN pb p ON p.pair_address = n.pair_address AND p.block_number = n.block_number AND p.pos = n.pos LEFT JOIN pb q ON q.pair_address = n.pair_address AND q.block_number = n.block_number AND q.pos = n.j)),
+att AS (SELECT pair_address, block_number, maker, front, back FROM w WHERE k > 0 AND back IS NOT NULL AND last = back AND back > front), first AS (SELECT pair_address, block_number, arg_min(price_usd, pos) FILTER (WHERE price_usd > 0) AS pre, count(*) AS trades FROM x GROUP BY 1, 2 HAVING count(*) >= 3),
+v AS (SELECT v.pair_address, v.block_number, v.pos, v.price_usd, count(*) AS around FROM att JOIN x v ON v.pair_address = att.pair_address AND v.block_number = att.block_number AND v.side = 'buy' AND v.maker IS DISTINCT FROM att.maker AND v.pos > att.front AND v.pos < att.back GROUP BY ALL)"""
+_BY_BLOCK = f"WITH RECURSIVE {_ATTACKS}, n AS (SELECT pair_address, block_number, count(*) AS attacks FROM att GROUP BY 1, 2), c AS (SELECT pair_address, block_number, CAST(sum({{0}}) AS BIGINT) AS victims, sum({{0}} * greatest(0, price_usd / pre - 1)) FILTER (WHERE price_usd > 0) AS e, CAST(sum({{0}}) FILTER (WHERE price_usd > 0) AS BIGINT) AS priced FROM v JOIN first USING (pair_address, block_number) GROUP BY 1, 2)"
+_SANDWICHES = _BY_BLOCK + " SELECT pair_address, block_number, coalesce(attacks, 0) AS attacks, coalesce(victims, 0) AS victims, round(coalesce(e / priced, 0), 6) AS extra, coalesce(priced, 0) AS priced, trades FROM first LEFT JOIN n USING (pair_address, block_number) LEFT JOIN c USING (pair_address, block_number)"
+
+
+@query("sandwiches", _SANDWICHES.format("1"))
 def _(t):
-    """Greedy detection in each block."""
-    return A.detect_sandwiches(t.trades)
+    """Attacks and victims in each block."""
+    return rounded(A.detect_sandwiches(t.trades))
 
 
-@query("sandwiches_recounted")
+@query("sandwiches_recounted", _SANDWICHES.format("around"))
 def _(t):
     """The same, a victim counting for every attack around it."""
-    return A.detect_sandwiches(t.trades, once=False)
+    return rounded(A.detect_sandwiches(t.trades, once=False))
+
+
+@query("sandwich_table", _BY_BLOCK.format("around") + ", p AS (SELECT pair_address, count(*) AS n_trades, count(DISTINCT block_number) AS n_blocks FROM x GROUP BY 1 HAVING count(*) >= 10), a AS (SELECT pair_address, sum(attacks) AS attacks FROM n JOIN first USING (pair_address, block_number) GROUP BY 1), s AS (SELECT pair_address, sum(victims) AS victims, sum(e) AS e, sum(priced) AS priced FROM c GROUP BY 1) SELECT pair_address, n_trades, n_blocks, CAST(coalesce(attacks, 0) AS BIGINT) AS attacks, CAST(coalesce(victims, 0) AS BIGINT) AS victims, round(coalesce(victims, 0) / CAST(n_trades AS DOUBLE), 6) AS victim_rate, round(coalesce(e / nullif(priced, 0) * 10000, 0), 4) AS mean_extra_bp FROM p LEFT JOIN a USING (pair_address) LEFT JOIN s USING (pair_address)")
+def _(t):
+    x = A.sandwich_table(t.trades)
+    return x.select("pair_address", "n_trades", "n_blocks", "attacks", "victims", F.round("victim_rate", 6).alias("victim_rate"), F.round("mean_extra_bp", 4).alias("mean_extra_bp"))
 
 
 @query("mev_pad", "SELECT dex, round(greatest(0.001, coalesce(0.02 * count(*) FILTER (WHERE side = 'buy') / CAST(count(*) AS DOUBLE), 0)), 8) AS pad FROM trades GROUP BY 1")
@@ -177,22 +189,18 @@ def _(t):
     return t.pool_universe.select("pair_address", C.coin_side(F.col("token0"), F.col("token1"), ("t0", "t1", "q0")).alias("coin"))
 
 
-@query("venue_verdicts", "SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'major_pair' WHEN bool_or(event_type = 'purchase') THEN 'major_cex' ELSE 'dex_only' END AS verdict FROM (SELECT user_id, event_type FROM events WHERE event_id % 40 = 0) GROUP BY 1")
-def _(t):
-    return verdicts(t.events.where("event_id % 40 = 0"))
+_VERDICTS = "SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'major_pair' WHEN bool_or(event_type = 'purchase') THEN 'major_cex' ELSE 'dex_only' END AS verdict FROM events GROUP BY 1"
 
 
-def verdicts(events):
+def verdicts(t):
     venue = F.when(F.col("event_type") == "purchase", "kraken").otherwise(F.col("event_type"))
-    x = events.groupBy("user_id").agg(F.collect_set(venue).alias("venues"))
+    x = t.events.groupBy("user_id").agg(F.collect_set(venue).alias("venues"))
     base = F.when(F.col("user_id") % 10 == 0, "usdt").otherwise("coin")
     return x.select("user_id", C.venue_verdict(base, F.col("venues"), ("usdt",)).alias("verdict"))
 
 
-@query("venue_verdicts_all")
-def _(t):
-    """venue_verdicts over all events."""
-    return verdicts(t.events)
+for _name in ("venue_verdicts", "venue_verdicts_all"):  # two names of one query
+    query(_name, _VERDICTS)(verdicts)
 
 
 @query("dex_venues", f"SELECT v, (v ILIKE '%swap%' OR v IN ('Raydium')  OR contains(lower(v), '_v2') OR contains(lower(v), '_v3')) AS dex FROM (SELECT DISTINCT {_VENUE} AS v FROM lineitem)")

@@ -40,7 +40,7 @@ def _(t):
 
 @query("screener_text", f"WITH a AS ({_SCREEN}) SELECT chain, pair_address, dex, round(buy_usd, 6) AS buy_usd, round(sell_usd, 6) AS sell_usd, round(100 * buy_usd / nullif(buy_usd + sell_usd, 0)) AS buy_share FROM a WHERE contains(lower(concat_ws(' ', pair_address, dex, chain)), 'ool1')")
 def _(t):
-    return rounded(M.text_screen(M.screener(t.trades, limit=1_000_000), "OOL1").select("chain", "pair_address", "dex", "buy_usd", "sell_usd", "buy_share"))
+    return rounded(M.text_screen(M.screener(t.trades, limit=None), "OOL1").select("chain", "pair_address", "dex", "buy_usd", "sell_usd", "buy_share"))
 
 
 @query("top_tokens", "SELECT chain, pair_address, round(sum(coalesce(amount_usd, 0)), 6) AS volume_usd, round(coalesce(sum(amount_usd) FILTER (WHERE side = 'buy'), 0), 6) AS buy_usd, round(coalesce(sum(amount_usd) FILTER (WHERE side = 'sell'), 0), 6) AS sell_usd, count(*) AS n_trades FROM trades WHERE chain = 'bsc' AND sec >= 1704500000 GROUP BY 1, 2 ORDER BY volume_usd DESC, pair_address LIMIT 25")

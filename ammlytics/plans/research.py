@@ -86,20 +86,16 @@ def _(t):
     return rounded(s.select(P, "i", F.try_divide(F.col("x") - rolling(F.avg, F.col("x"), R.w(), 20), F.nullif(rolling(F.stddev_samp, F.col("x"), R.w(), 20), F.lit(0.0))).alias("z")))
 
 
-@query("equity_curve", f"WITH {_IB}, r AS (SELECT pair_address, i, least(greatest(close / {_lag('close')} - 1, -0.9), 1) AS r FROM ib) SELECT pair_address, i, round(exp(sum(ln(1 + r)) OVER (PARTITION BY pair_address ORDER BY i)), 6) AS equity FROM r WHERE r IS NOT NULL AND i < 60")
-def _(t):
-    return rounded(equity(t).where("i < 60"))
+_EQUITY = f"WITH {_IB}, r AS (SELECT pair_address, i, least(greatest(close / {_lag('close')} - 1, -0.9), 1) AS r FROM ib) SELECT pair_address, i, round(exp(sum(ln(1 + r)) OVER (PARTITION BY pair_address ORDER BY i)), 6) AS equity FROM r WHERE r IS NOT NULL"
 
 
 def equity(t):
     r = R.numbered(t.bars).select(P, "i", F.least(F.greatest(F.col("close") / F.lag("close").over(R.w()) - 1, F.lit(-0.9)), F.lit(1.0)).alias("r")).where("r is not null")
-    return r.select(P, "i", F.exp(F.sum(F.log1p("r")).over(R.w())).alias("equity"))
+    return rounded(r.select(P, "i", F.exp(F.sum(F.log1p("r")).over(R.w())).alias("equity")))
 
 
-@query("equity_curve_all")
-def _(t):
-    """equity_curve over all bars."""
-    return rounded(equity(t))
+for _name in ("equity_curve", "equity_curve_all"):  # two names of one query
+    query(_name, _EQUITY)(equity)
 
 
 @query("average_rank", "SELECT pair_address, day, CAST(rank() OVER (PARTITION BY day ORDER BY n) + (count(*) OVER (PARTITION BY day, n) - 1) / 2.0 AS DOUBLE) AS r, round((rank() OVER (PARTITION BY day ORDER BY n) + (count(*) OVER (PARTITION BY day, n) - 1) / 2.0) / count(*) OVER (PARTITION BY day), 6) AS pct FROM bars")
@@ -200,15 +196,9 @@ def _(t):
 
 
 # Nulls
-@query("null_bar_shuffle", f"WITH {_IB}, s AS (SELECT pair_address, i, close, row_number() OVER (PARTITION BY pair_address ORDER BY md5(concat_ws('|', 'null', pair_address, CAST(i AS STRING))), i) - 1 AS k FROM ib WHERE i < 200) SELECT a.pair_address, a.i, b.close FROM s a JOIN s b ON b.pair_address = a.pair_address AND b.k = a.i")
-def _(t):
-    return R.shuffled(R.numbered(t.bars).where("i < 200").select(P, "i", "close"), "null", [P], ["close"]).select(P, "i", "close")
-
-
-@query("null_bar_shuffle_all")
-def _(t):
-    """null_bar_shuffle over all bars."""
-    return R.shuffled(R.numbered(t.bars).select(P, "i", "close"), "null", [P], ["close"]).select(P, "i", "close")
+_BAR_SHUFFLE = f"WITH {_IB}, s AS (SELECT pair_address, i, close, row_number() OVER (PARTITION BY pair_address ORDER BY md5(concat_ws('|', 'null', pair_address, CAST(i AS STRING))), i) - 1 AS k FROM ib) SELECT a.pair_address, a.i, b.close FROM s a JOIN s b ON b.pair_address = a.pair_address AND b.k = a.i"
+for _name in ("null_bar_shuffle", "null_bar_shuffle_all"):  # two names of one query
+    query(_name, _BAR_SHUFFLE)(lambda t: R.shuffled(R.numbered(t.bars).select(P, "i", "close"), "null", [P], ["close"]).select(P, "i", "close"))
 
 
 @query("null_across_pairs", "WITH s AS (SELECT day, pair_address, close, row_number() OVER (PARTITION BY day ORDER BY pair_address) AS a, row_number() OVER (PARTITION BY day ORDER BY md5(concat_ws('|', 'x', CAST(day AS STRING), pair_address)), pair_address) AS b FROM bars) SELECT p.day, p.pair_address, q.close FROM s p JOIN s q ON q.day = p.day AND q.b = p.a")
@@ -270,16 +260,11 @@ def _(t):
     return c.agg(F.count("*").alias("dates"), F.round(F.avg("ic"), 6).alias("ic"), F.round(F.avg("ic") / F.stddev_pop("ic") * F.sqrt(F.count("*")), 4).alias("t"), F.round(F.avg((F.col("ic") > 1e-9).cast("double")), 6).alias("win"))
 
 
-@query("decile_medians", f"WITH {_PANEL}, a AS (SELECT fwd, ntile(10) OVER (ORDER BY mom, pair_address, d) AS decile FROM g WHERE mom IS NOT NULL AND fwd IS NOT NULL AND d % 97 = 0) SELECT decile, count(*) AS n, round(median(fwd), 6) AS med FROM a GROUP BY 1")
-def _(t):
-    # one ordered window over the chosen rebalance dates only
-    x = panel(t).where("fwd is not null and mom is not null and d % 97 = 0").withColumn("decile", F.ntile(10).over(Window.partitionBy(F.lit(0)).orderBy("mom", P, "d")))
-    return rounded(x.groupBy("decile").agg(F.count("*").alias("n"), F.median("fwd").alias("med")))
+_DECILES = f"WITH {_PANEL}, a AS (SELECT fwd, ntile(10) OVER (ORDER BY mom, pair_address, d) AS decile FROM g WHERE mom IS NOT NULL AND fwd IS NOT NULL) SELECT decile, count(*) AS n, round(median(fwd), 6) AS med FROM a GROUP BY 1"
 
 
-@query("decile_medians_all")
-def _(t):
-    """decile_medians over all days: ranks within ranges of mom, so that no window holds all rows."""
+def decile_medians(t):
+    """Ranks within ranges of mom, so that no window holds all rows."""
     x = panel(t).where("fwd is not null and mom is not null").select(P, "d", "mom", "fwd")
     n = max(2, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = x.agg(F.percentile_approx("mom", [k / n for k in range(1, n)], 10_000).alias("cuts"))
@@ -294,6 +279,10 @@ def _(t):
     return rounded(x.groupBy("decile").agg(F.count("*").alias("n"), F.median("fwd").alias("med")))
 
 
+for _name in ("decile_medians", "decile_medians_all"):  # two names of one query
+    query(_name, _DECILES)(decile_medians)
+
+
 @query("best_coin_per_day", "SELECT day, max(close) AS close, arg_max(pair_address, close) AS pair_address FROM bars GROUP BY 1")
 def _(t):
     return t.bars.groupBy("day").agg(F.max("close").alias("close"), F.max_by("pair_address", "close").alias("pair_address"))

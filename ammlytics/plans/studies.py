@@ -152,18 +152,10 @@ def _(t):
 
 
 # Liquidity providing in a band: re-centred when the price leaves it (a fold over each pair's ordered closes)
-_LP = "l AS (SELECT pair_address, i, close AS c, close AS mid, 0 AS moves, CAST(0 AS DOUBLE) AS il FROM ib WHERE i = 0 UNION ALL SELECT b.pair_address, b.i, b.close, CASE WHEN b.close > l.mid * 1.3 OR b.close < l.mid / 1.3 THEN b.close ELSE l.mid END, l.moves + CASE WHEN b.close > l.mid * 1.3 OR b.close < l.mid / 1.3 THEN 1 ELSE 0 END, l.il + CASE WHEN b.close > l.mid * 1.3 OR b.close < l.mid / 1.3 THEN 2 * sqrt(b.close / l.mid) / (1 + b.close / l.mid) - 1 ELSE 0 END FROM l JOIN ib b ON b.pair_address = l.pair_address AND b.i = l.i + 1 WHERE b.i < 300)"
+_LP = "l AS (SELECT pair_address, i, close AS c, close AS mid, 0 AS moves, CAST(0 AS DOUBLE) AS il FROM ib WHERE i = 0 UNION ALL SELECT b.pair_address, b.i, b.close, CASE WHEN b.close > l.mid * 1.3 OR b.close < l.mid / 1.3 THEN b.close ELSE l.mid END, l.moves + CASE WHEN b.close > l.mid * 1.3 OR b.close < l.mid / 1.3 THEN 1 ELSE 0 END, l.il + CASE WHEN b.close > l.mid * 1.3 OR b.close < l.mid / 1.3 THEN 2 * sqrt(b.close / l.mid) / (1 + b.close / l.mid) - 1 ELSE 0 END FROM l JOIN ib b ON b.pair_address = l.pair_address AND b.i = l.i + 1)"
 
 
-@query("lp_concentrated", f"WITH RECURSIVE {_IB}, {_LP} SELECT pair_address, CAST(max(moves) AS BIGINT) AS moves, round(arg_max(il, i), 6) AS il FROM l GROUP BY 1")
-def _(t):
-    return concentrated(R.numbered(t.bars).where("i < 300"))
-
-
-@query("lp_concentrated_all")
-def _(t):
-    """lp_concentrated over all bars."""
-    return concentrated(R.numbered(t.bars))
+_CONCENTRATED = f"WITH RECURSIVE {_IB}, {_LP} SELECT pair_address, CAST(max(moves) AS BIGINT) AS moves, round(arg_max(il, i), 6) AS il FROM l GROUP BY 1"
 
 
 def concentrated(bars):
@@ -173,6 +165,10 @@ def concentrated(bars):
     return rounded(a.select(P, fold.alias("x")).select(P, "x.moves", "x.il"))
 
 
+for _name in ("lp_concentrated", "lp_concentrated_all"):  # two names of one query
+    query(_name, _CONCENTRATED)(lambda t: concentrated(R.numbered(t.bars)))
+
+
 @query("lp_random_null", "WITH y AS (SELECT pair_address, sum(volume) AS v FROM bars GROUP BY 1), s AS (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', 'lp', CAST(k AS STRING), pair_address)), pair_address) AS r FROM y, range(0, 25) t(k)) SELECT k, round(sum(v), 2) AS v FROM s WHERE r <= 5 GROUP BY 1")
 def _(t):
     y = t.bars.groupBy(P).agg(F.sum("volume").alias("v"))
@@ -207,29 +203,25 @@ def _(t):
     return rounded(g.selectExpr(P, "stack(2, 'open', o, 'close', c) as (field, v)"))
 
 
-@query("dense_panel", "SELECT d.day, p.pair_address, round(coalesce(b.volume, 0), 4) AS volume FROM (SELECT DISTINCT day FROM bars WHERE day < DATE '1995-03-01') d CROSS JOIN (SELECT DISTINCT pair_address FROM bars) p LEFT JOIN bars b ON b.day = d.day AND b.pair_address = p.pair_address")
-def _(t):
-    return dense(t, t.bars.where("day < date'1995-03-01'"))
+_DENSE = "SELECT d.day, p.pair_address, round(coalesce(b.volume, 0), 4) AS volume FROM (SELECT DISTINCT day FROM bars) d CROSS JOIN (SELECT DISTINCT pair_address FROM bars) p LEFT JOIN bars b ON b.day = d.day AND b.pair_address = p.pair_address"
 
 
-@query("dense_panel_all")
-def _(t):
-    """dense_panel over all days."""
-    return dense(t, t.bars)
+def dense(t):
+    # a pair's row is unfolded to the days of the calendar (one array of at most a few thousand days), not crossed with a table
+    edge = t.bars.agg(F.array_sort(F.collect_set("day")).alias("days"))  # one row
+    grid = t.bars.select(P).distinct().join(F.broadcast(edge)).select(P, F.explode("days").alias("day"))
+    return rounded(grid.join(t.bars.select("day", P, "volume"), ["day", P], "left").select("day", P, F.coalesce("volume", F.lit(0.0)).alias("volume")), 4)
 
 
-def dense(t, bars):
-    # each day's row is unfolded to the known pairs (a bounded universe), not crossed with a table
-    universe = F.broadcast(t.bars.agg(F.collect_set(P).alias("all")))
-    days = bars.select("day").distinct().join(universe).select("day", F.explode("all").alias(P))
-    return rounded(days.join(t.bars.select("day", P, "volume"), ["day", P], "left").select("day", P, F.coalesce("volume", F.lit(0.0)).alias("volume")), 4)
+for _name in ("dense_panel", "dense_panel_all"):  # two names of one query
+    query(_name, _DENSE)(dense)
 
 
-@query("interval_weights", "WITH w AS (SELECT pair_address, date_trunc('month', day) AS s, date_trunc('month', day) + INTERVAL 1 MONTH AS e, count(*) AS wt FROM bars GROUP BY ALL) SELECT b.pair_address, b.day, w.wt FROM bars b JOIN w ON w.pair_address = b.pair_address AND b.day >= w.s AND b.day < w.e WHERE b.day < DATE '1995-06-01'")
+@query("interval_weights", "WITH w AS (SELECT pair_address, date_trunc('month', day) AS s, date_trunc('month', day) + INTERVAL 1 MONTH AS e, count(*) AS wt FROM bars GROUP BY ALL) SELECT b.pair_address, b.day, w.wt FROM bars b JOIN w ON w.pair_address = b.pair_address AND b.day >= w.s AND b.day < w.e")
 def _(t):
     month = F.trunc("day", "month")
     w = t.bars.groupBy(F.col(P).alias("wp"), month.alias("s")).agg(F.count("*").alias("wt")).withColumn("e", F.add_months("s", 1))
-    b = t.bars.where("day < date'1995-06-01'").select(P, "day")
+    b = t.bars.select(P, "day")
     return b.join(w, (F.col(P) == F.col("wp")) & (F.col("s") == month) & (F.col("day") < F.col("e"))).select(P, "day", "wt")
 
 
