@@ -1,4 +1,4 @@
-"""Portfolio weights that need a fixed point: equal risk contributions of a period's streams."""
+"""Portfolio weights of equal risk contribution."""
 
 from __future__ import annotations
 
@@ -7,17 +7,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def equal_risk(cov: np.ndarray, rounds: int = 200, tolerance: float = 1e-8) -> np.ndarray:
-    """Weights in proportion to 1 / (cov w), repeated until they stand still."""
-    w = np.full(len(cov), 1.0 / len(cov))
-    for _ in range(rounds):
-        new = 1 / np.maximum(cov @ w, 1e-18)
-        new = np.sqrt(w * new / new.sum())
-        new /= new.sum()
-        if np.abs(new - w).max() < tolerance:
-            return new
-        w = new
-    return w
+def equal_risk(cov: np.ndarray, sweeps: int = 500, tolerance: float = 1e-12) -> np.ndarray:
+    """Weights (summing to 1) under which every stream adds the same share of variance.
+
+    They are the scaled minimum of y' C y / 2 - sum(log y) / n: setting the derivative in one coordinate to zero gives a quadratic, whose
+    positive root is taken in turn for each coordinate until nothing moves. A stream without variance gets the smallest positive one.
+    """
+    n = len(cov)
+    c = np.array(cov, float).reshape(n, n)
+    own = np.diag(c).copy()
+    least = own[own > 0].min() if (own > 0).any() else 1.0
+    own = np.where(own > 0, own, least)
+    c[np.diag_indices(n)] = own
+    y = 1 / np.sqrt(own * n)
+    for _ in range(sweeps):
+        moved = 0.0
+        for i in range(n):
+            others = c[i] @ y - own[i] * y[i]
+            root = (-others + np.sqrt(others * others + 4 * own[i] / n)) / (2 * own[i])
+            moved = max(moved, abs(root - y[i]) / root)
+            y[i] = root
+        if moved < tolerance:
+            break
+    return y / y.sum()
 
 
 def equal_risk_weights(returns: DataFrame, period: str, stream: str, date: str, value: str, least: int = 4) -> DataFrame:

@@ -277,17 +277,7 @@ def _(t):
 @query("equal_risk_weights")
 def _(t):
     """Weights of equal risk contribution of the pairs, year by year (fixed point, a year in a task)."""
-    r = daily_returns(t).withColumn("year", F.year("day"))
-
-    def solve(frame):
-        import numpy as np
-        import pandas as pd
-
-        m = frame.pivot_table(index="day", columns=P, values="r").fillna(0.0)
-        cov = np.cov(m.to_numpy().T).reshape(len(m.columns), -1) if len(m) > 1 else np.eye(len(m.columns))
-        return pd.DataFrame({"year": frame.year.iloc[0], P: m.columns, "weight": portfolio.equal_risk(cov)})
-
-    return r.groupBy("year").applyInPandas(solve, "year int, pair_address string, weight double")
+    return portfolio.equal_risk_weights(daily_returns(t).withColumn("year", F.year("day")), "year", P, "day", "r")
 
 
 @query("fee_tier_yield", "WITH y AS (SELECT p.fee_bps, b.pair_address, sum(b.volume) * p.fee_bps / 10000.0 / max(m.reserve_usd) AS yld FROM bars b JOIN meta m USING (pair_address) JOIN (SELECT pool AS pair_address, min(fee_bps) + max(id) % 3 * 5 AS fee_bps FROM pools GROUP BY 1) p USING (pair_address) GROUP BY p.fee_bps, b.pair_address) SELECT fee_bps, count(*) AS n, round(avg(yld), 6) AS mean, round(median(yld), 6) AS median FROM y GROUP BY 1")

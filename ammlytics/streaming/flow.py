@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,28 @@ def ingest(stream: DataFrame, target: str, checkpoint: str, keys: list[str], *,
     else:
         rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
     return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def collect_bounded(stream: DataFrame, target: str, checkpoint: str, *, most: int, seconds: float, skip: Column | None = None) -> int:
+    """Appends at most ``most`` rows of a stream (those for which skip holds aren't counted) and stops there, or after so many seconds; returns how many came."""
+    have = 0
+
+    def take(batch: DataFrame, _: int) -> None:
+        nonlocal have
+        rows = batch if skip is None else batch.where(~F.coalesce(skip, F.lit(False)))
+        if have < most:
+            rows = rows.limit(most - have).persist()
+            try:
+                rows.write.mode("append").parquet(target)
+                have += rows.count()
+            finally:
+                rows.unpersist()
+
+    running = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
+    try:
+        until = time.monotonic() + seconds
+        while have < most and time.monotonic() < until and not running.awaitTermination(1):
+            pass
+    finally:
+        running.stop()
+    return have

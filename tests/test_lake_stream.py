@@ -51,3 +51,23 @@ def test_ingest_resumes_without_duplicates(spark, tmp_path):
         spark.createDataFrame(part, "k long, v string").write.mode("append").parquet(source)
         flow.ingest(spark.readStream.schema("k long, v string").parquet(source), target, mark, ["k"]).awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_reports_and_frames(spark, tmp_path):
+    rows = spark.createDataFrame([("bsc", "p", 1, 2.0), ("bsc", "q", 1, 3.0)], "chain string, pair_address string, ts long, close double")
+    for kind in ("csv", "json", "parquet"):
+        lake.write_report(rows, f"{tmp_path}/{kind}", kind)
+        reader = spark.read.option("header", True) if kind == "csv" else spark.read
+        assert reader.format(kind).load(f"{tmp_path}/{kind}").count() == 2
+    lake.write_frames(rows, str(tmp_path), "1h")
+    lake.write_frames(rows.where("pair_address = 'q'").withColumn("close", F.lit(9.0)), str(tmp_path), "1h")
+    assert sorted((r.pair_address, r.close) for r in spark.read.parquet(f"{tmp_path}/frames").collect()) == [("p", 2.0), ("q", 9.0)]
+
+
+def test_bounded_collection(spark, tmp_path):
+    spark.createDataFrame([(i, "migrate" if i % 5 == 0 else "create") for i in range(30)], "k int, kind string").coalesce(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k int, kind string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    assert flow.collect_bounded(stream, f"{tmp_path}/out", f"{tmp_path}/check", most=7, seconds=60, skip=F.col("kind") == "migrate") == 7
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 7 and got.where("kind = 'migrate'").count() == 0
+    assert flow.collect_bounded(stream, f"{tmp_path}/out2", f"{tmp_path}/check2", most=1000, seconds=8) == 30
