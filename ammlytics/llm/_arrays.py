@@ -92,6 +92,15 @@ def chunks(batches, columns: int = 2, size: int = CHUNK_BYTES) -> Iterator[tuple
     release()
 
 
+def grouped(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key that occurs, in order, with its places."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    edge = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        yield int(keys[a]), order[a:b]
+
+
 def ids_of(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).to_numpy(zero_copy_only=False).astype(np.int64)
 

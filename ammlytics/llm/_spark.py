@@ -21,9 +21,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or on a single machine, where that is unset, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ammlytics-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -48,6 +50,16 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_count(spark: SparkSession, elements: float, most: int) -> int:
+    """Buckets for so many elements of about ``most`` each: the partitions of a shuffle, or more where they would hold too much."""
+    return max(parts(spark), -(-int(elements) // most))
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: what numbers of buckets follow."""
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def dealt(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
     """df hash-partitioned by keys, rows of a key together; partitions stay as they are (no coalescing)."""
     return df.repartition(n or parts(df.sparkSession), *keys)
