@@ -1,25 +1,32 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from few templates. Over all pages of a host the text of each place (the path of tags and classes from the root)
-is counted: a text that most of the pages with that place have there is template, a place whose text varies is a content slot. It is
-counted twice, over the whole host and over the host's pages of one layout (the same set of places), so that several templates of a host
-don't hide each other. A page's text is what stands in the article, main or else the whole body, without what tags, roles,
-classes and ids mark as boilerplate, and without the template nodes of its host and layout; prose inside an
-article or main has to be the same on more of the pages to be template.
+Pages of one host come from few templates. The trees of a host's pages are aligned by simple tree matching with a reference tree: that of the
+host's most frequent layout (the set of places, paths of tags and classes, that have text), and that of the page's own layout, so that
+several templates of a host don't hide each other. Over all pages aligned, each reference node is constant where most pages have the
+same text in the node matched with it, and a slot where they vary: constant nodes are template, slots are content. What matches nothing is
+content too.
+
+A page's text is what stands in the article, main or else the whole body, without what tags, roles, classes and ids mark as boilerplate,
+and without the template; prose inside an article or main has to be the same on nearly all pages aligned to be template.
 
 A page is read by a forgiving tokenizer: unclosed elements end with their parents, a comment or script that never ends takes the
-rest, unknown end tags are ignored. Inside a block white space, line breaks included, becomes one blank; blocks are joined by "\\n".
+rest, unknown end tags are ignored, a quote in a tag that isn't closed before the next tag counts as a character. Inside a block white
+space, line breaks included, becomes one blank; blocks are joined by "\\n". Time grows with the length of a page.
 
-Rows. Null or empty html: empty text. Null url: no host, so no template. A place that fewer than ``LEAST`` different pages
-have is no template. Repeated pages and copies (the same text outside of marked boilerplate) count once. Pages of any length are read whole.
+Rows. Null or empty html: empty text. Null url: no host, so no template. A node matched by fewer than ``LEAST`` different pages
+is no template, nor is one more than DEPTH levels down. Repeated pages and copies (the same text outside of marked boilerplate) count
+once. Pages of any length are read whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import json
 import math
 import re
+import zlib
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -30,14 +37,18 @@ from pyspark.sql import functions as F
 from ammlytics.llm._spark import texts, written
 
 LEAST = 4
-#: Share of the pages with a place that have to have the same text there for it to be template.
+#: Share of the pages with a node that have to have the same text there for it to be template.
 CONSTANT = 0.7
-#: The same for prose (paragraphs, headings, list items, cells) inside an article or main.
+#: The same for prose (paragraphs, headings, list items, cells) inside an article or main, of all pages aligned, with the node or without.
 CONSTANT_PROSE = 0.9
 #: Wrappers of all hosts are broadcast up to so many bytes, and joined by host and layout beyond.
 BROADCAST_BYTES = 16 << 20
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+#: Levels of a tree that are aligned.
+DEPTH = 250
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)", re.S)
+_EDGE = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object video audio canvas".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,12 +76,15 @@ _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("children", "label", "parent", "root", "skip", "tag", "texts")
+    """An element; at: a hash of its path."""
+
+    __slots__ = ("at", "children", "label", "parent", "root", "skip", "tag")
 
     def __init__(self, tag, label, parent, skip, root):
         self.tag, self.label, self.parent, self.skip, self.root = tag, label, parent, skip, root
         self.children: list[Node] = []
-        self.texts: list[str] = []
+        x = ((parent.at if parent is not None else 0) ^ zlib.crc32(label.encode("utf-8", "replace"))) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019
+        self.at = (x ^ x >> 29) & 0x7FFFFFFFFFFFFFFF
 
 
 def _marked(tag: str, attrs: dict, in_article: bool) -> bool:
@@ -92,8 +106,32 @@ def _marked(tag: str, attrs: dict, in_article: bool) -> bool:
     return False
 
 
+class _Quotes:
+    """Where a tag ends, quotes in it taken as a browser takes them; a quote is looked for beyond the last one of its kind once only."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in "\"'"}
+
+    def end(self, i: int) -> int:
+        page, n = self.page, len(self.page)
+        while m := _EDGE.search(page, i):
+            j, c = m.start(), m[0]
+            if c == ">":
+                return j + 1
+            if page[i:j].rstrip().endswith("="):
+                k = page.find(c, j + 1) if j < self.last[c] else -1
+                if k < 0 or (k + 1 < n and page[k + 1] not in " \t\n\r\f/>"):  # never closed, or by another tag's quote
+                    stop = page.find(">", j)
+                    return stop + 1 if stop >= 0 else n
+                i = k + 1
+            else:
+                i = j + 1
+        return n
+
+
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The DOM tree, and all blocks of text with the node that each begins in."""
+    quotes, opened = _Quotes(page), Counter()
     top = Node("#", "#", None, False, None)
     at, blocks = top, []
     buffer: list[str] = []
@@ -119,6 +157,22 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 holder = at
             buffer.append(text)
 
+    def leave_at(node):
+        """Closes node and what is open in it."""
+        nonlocal at
+        while at is not node:
+            opened[at.tag] -= 1
+            at = at.parent
+        opened[at.tag] -= 1
+        at = at.parent
+        return at
+
+    def leave(tag):
+        node = at
+        while node.tag != tag:
+            node = node.parent
+        leave_at(node)
+
     n = len(page)
     while place < n:
         m = _TOKEN.search(page, place)
@@ -133,25 +187,24 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 add(page[m.start() + 9 : place - 3])
             continue
         tag = m[2].lower()
+        place = quotes.end(place)
+        inner = page[m.end() : place - 1] if page[place - 1] == ">" else page[m.end() : place]
         if m[1]:
-            node = at
-            while node is not top and node.tag != tag:
-                node = node.parent
-            if node is top:
+            if not opened[tag]:
                 if tag == "p":
                     flush()
                 continue
             if tag not in _INLINE:
                 flush()
-            at = node.parent
+            leave(tag)
             continue
         if tag == "br" or tag == "wbr":
             if buffer and tag == "br":
                 buffer.append(" ")
             continue
         attrs = {}
-        if m[3]:
-            for a in _ATTR.finditer(m[3]):
+        if inner:
+            for a in _ATTR.finditer(inner):
                 attrs.setdefault(a[1].lower(), entities.unescape(a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""))
         inline = tag in _INLINE
         if not inline:
@@ -159,17 +212,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if tag in _ENDS:
                 ends, stop = _ENDS[tag]
                 node = at
-                while node is not top and node.tag not in stop:
+                while node is not top and node.tag not in stop and any(opened[e] for e in ends):
                     if node.tag in ends:
-                        at = node.parent
+                        node = leave_at(node)
                         if tag != "tr":
                             break
-                    node = node.parent
-            else:
+                    else:
+                        node = node.parent
+            elif opened["p"]:
                 node = at  # a block ends an open paragraph
                 while node is not top and (node.tag in _INLINE or node.tag == "p"):
                     if node.tag == "p":
-                        at = node.parent
+                        leave_at(node)
                         break
                     node = node.parent
         root = at.root
@@ -179,27 +233,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if root is None and not node.skip:
                 node.root = node
         at.children.append(node)
-        if tag in _VOID or m[0].endswith("/>") and tag not in _RAW:
+        if tag in _VOID or inner.endswith("/") and tag not in _RAW:
             continue
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, place)
             place = end.end() if end else n
             continue
         at = node
+        opened[tag] += 1
     flush()
-    for node, text in blocks:
-        node.texts.append(text)
     return top, blocks
 
 
-def path(node: Node) -> str:
-    out = []
-    while node is not None:
-        out.append(node.label)
-        node = node.parent
-    return "/".join(reversed(out))
-
-
 _PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt figcaption".split())
 
 
@@ -212,49 +257,152 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def key(node: Node, text: str) -> int:
-    return _hash(f"{path(node)}\n{strict(node):d}\n{text}")
+def layout(blocks: list[tuple[Node, str]]) -> int:
+    """The set of places that have text."""
+    return _hash(" ".join(map(str, sorted({node.at for node, _ in blocks if not node.skip}))))
+
+
+class Tree:
+    """Blocks of a tree that aren't marked, in preorder: label, children, size."""
+
+    def __init__(self, labels: list[str], parents: list[int]):
+        self.labels, self.kids, self.size = labels, [[] for _ in labels], [1] * len(labels)
+        for i, p in enumerate(parents):
+            if p >= 0:
+                self.kids[p].append(i)
+        for i in range(len(labels) - 1, 0, -1):
+            self.size[parents[i]] += self.size[i]
+
+    def shapes(self, numbers: dict[tuple, int]) -> list[int]:
+        """A number for the structure of each subtree; equal ones have equal numbers."""
+        shape = [0] * len(self.labels)
+        for i in range(len(shape) - 1, -1, -1):
+            shape[i] = numbers.setdefault((self.labels[i], *(shape[k] for k in self.kids[i])), len(numbers))
+        return shape
+
+    @classmethod
+    def of(cls, top: Node) -> tuple[Tree, dict[int, int]]:
+        """The tree, and each element's (by id) place in it: its own or that of the block around it."""
+        labels, parents, place = ["#"], [-1], {id(top): 0}
+        stack = [(k, 0, 1) for k in reversed(top.children)]
+        while stack:
+            node, parent, depth = stack.pop()
+            if node.skip or depth > DEPTH:
+                continue
+            if node.tag in _INLINE:
+                place[id(node)] = parent
+            else:
+                place[id(node)] = len(labels)
+                labels.append(node.label), parents.append(parent)
+            mine = place[id(node)]
+            stack += [(k, mine, depth + 1) for k in reversed(node.children)]
+        return cls(labels, parents), place
+
+    def packed(self) -> str:
+        parents = [-1] * len(self.labels)
+        for i, kids in enumerate(self.kids):
+            for k in kids:
+                parents[k] = i
+        return json.dumps([self.labels, parents])
+
+    @classmethod
+    def unpacked(cls, text: str) -> Tree:
+        return cls(*json.loads(text))
+
+
+def match(a: Tree | Node, b: Tree | Node) -> tuple[int, dict[int, int]]:
+    """Simple tree matching: size of the largest matching that keeps labels, order and parents, and the node of a for each matched node of b."""
+    a, b = (Tree.of(x)[0] if isinstance(x, Node) else x for x in (a, b))
+    memo: dict[tuple[int, int], int] = {}
+    numbers: dict[tuple, int] = {}
+    shape_a, shape_b = a.shapes(numbers), b.shapes(numbers)
+
+    def weight(i: int, j: int) -> int:
+        if a.labels[i] != b.labels[j]:
+            return 0
+        if shape_a[i] == shape_b[j]:
+            return a.size[i]
+        key = shape_a[i], shape_b[j]
+        if key not in memo:
+            memo[key] = 1 + align(a.kids[i], b.kids[j])[0]
+        return memo[key]
+
+    def align(x: list[int], y: list[int]) -> tuple[int, list[tuple[int, int]]]:
+        """Children in order: equal ends first, dynamic programming between them."""
+        lo = 0
+        while lo < min(len(x), len(y)) and shape_a[x[lo]] == shape_b[y[lo]]:
+            lo += 1
+        hi = 0
+        while hi < min(len(x), len(y)) - lo and shape_a[x[-1 - hi]] == shape_b[y[-1 - hi]]:
+            hi += 1
+        pairs = [*zip(x[:lo], y[:lo], strict=True), *zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)]
+        total = sum(a.size[i] for i, _ in pairs)
+        x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+        if not x or not y:
+            return total, pairs
+        # one weight for each pair of different subtrees
+        xs, xi = np.unique([shape_a[i] for i in x], return_inverse=True)
+        ys, yi = np.unique([shape_b[j] for j in y], return_inverse=True)
+        of_x, of_y = dict(zip(xi.tolist(), x, strict=True)), dict(zip(yi.tolist(), y, strict=True))
+        w = np.array([[weight(of_x[i], of_y[j]) for j in range(len(ys))] for i in range(len(xs))])[:, yi]
+        best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+        for i in range(len(x)):
+            row = w[xi[i]]
+            best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(row > 0, best[i, :-1] + row, 0)))
+        i, j = len(x), len(y)
+        while i and j:
+            if best[i, j] == best[i - 1, j]:
+                i -= 1
+            elif best[i, j] == best[i, j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((x[i], y[j]))
+        return total + int(best[-1, -1]), pairs
+
+    found: dict[int, int] = {}
+    if a.labels[0] != b.labels[0]:
+        return 0, found
+    todo = [(0, 0)]
+    while todo:
+        i, j = todo.pop()
+        found[j] = i
+        if shape_a[i] == shape_b[j]:
+            todo += zip(a.kids[i], b.kids[j], strict=True)
+        else:
+            todo += align(a.kids[i], b.kids[j])[1]
+    return len(found), found
 
 
-def place(node: Node) -> int:
-    """A hash of the path; of prose inside an article or main an odd one."""
-    return _hash(path(node)) & -2 | strict(node)
+def aligned(top: Node, blocks: list[tuple[Node, str]], reference: Tree) -> list[tuple[int, int] | None]:
+    """For each block the reference node that it is matched with (doubled, odd for prose inside an article or main) and a hash of its text; None where there is none."""
+    tree, place = Tree.of(top)
+    _, found = match(reference, tree)
+    out: list[tuple[int, int] | None] = []
+    for node, text in blocks:
+        at = found.get(place.get(id(node), -1)) if not node.skip else None
+        out.append(None if at is None else (2 * at + strict(node), _hash(text)))
+    return out
 
 
-def layout(blocks: list[tuple[Node, str]]) -> int:
-    """The set of places that have text."""
-    return _hash("\n".join(sorted({path(node) for node, _ in blocks if not node.skip})))
-
-
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size and pairs of the largest matching that keeps labels, order and ancestry."""
-    if a.label != b.label:
-        return 0, []
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    inner = [[None] * n for _ in range(m)]
-    for i in range(m):
-        for j in range(n):
-            inner[i][j] = match(a.children[i], b.children[j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + inner[i][j][0])
-    pairs, i, j = [(a, b)], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs += inner[i - 1][j - 1][1]
-            i, j = i - 1, j - 1
-    return best[m][n] + 1, pairs
+def extract(page: str | None, wrappers: list[tuple[Tree, frozenset]] = ()) -> str:
+    """Main text of a page, given its wrappers: reference trees and their template, pairs of node and text."""
+    if not page:
+        return ""
+    top, blocks = parse(page)
+    return chosen_text(blocks, gone(top, blocks, wrappers))
 
 
-def extract(page: str | None, template: frozenset = frozenset()) -> str:
-    """Main text of a page, given its host's template keys."""
-    return chosen_text(parse(page)[1], template) if page else ""
+def gone(top: Node, blocks: list[tuple[Node, str]], wrappers) -> set[int]:
+    """Numbers of the blocks that are template."""
+    out: set[int] = set()
+    for reference, template in wrappers:
+        if template:
+            out |= {n for n, x in enumerate(aligned(top, blocks, reference)) if x in template}
+    return out
 
 
-def chosen_text(blocks: list[tuple[Node, str]], template: frozenset = frozenset()) -> str:
+def chosen_text(blocks: list[tuple[Node, str]], template: set[int] = frozenset()) -> str:
     """Main text of a page's blocks."""
     weight: dict[int, int] = {}
     open_ = 0
@@ -266,14 +414,7 @@ def chosen_text(blocks: list[tuple[Node, str]], template: frozenset = frozenset(
     chosen = max(weight, key=weight.get) if weight else None
     if chosen is not None and weight[chosen] * 5 < open_:
         chosen = None
-    out = []
-    for node, text in blocks:
-        if node.skip or (chosen is not None and id(node.root) != chosen):
-            continue
-        if template and key(node, text) in template:
-            continue
-        out.append(text)
-    return "\n".join(out)
+    return "\n".join(text for n, (node, text) in enumerate(blocks) if not node.skip and (chosen is None or id(node.root) == chosen) and n not in template)
 
 
 def host(url: str | None) -> str | None:
@@ -283,93 +424,163 @@ def host(url: str | None) -> str | None:
         return None
 
 
-#: Groups of a host: all its pages, and those of one layout.
+#: Groups of a host's pages: all of them, aligned with the tree of its most frequent layout, and those of one layout.
 WHOLE = 0
 _SITE = "site long, grp long"
 
 
-def _facts(batches):
-    """Of each page with a host: hashes of host, text and layout, and its places and nodes (packed, once each)."""
-    schema = pa.schema([("site", pa.int64()), ("body", pa.int64()), ("grp", pa.int64()), ("nodes", pa.binary())])
+def _layouts(batches):
+    """Of each page with a host: hashes of host, text and layout; the tree of the page with the least hash of each layout of a task."""
+    schema = pa.schema([("site", pa.int64()), ("body", pa.int64()), ("grp", pa.int64()), ("tree", pa.string())])
+    least: dict[tuple[int, int], int] = {}
     for batch in batches:
         rows = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if (h := host(url)) and page:
-                blocks = [x for x in parse(page)[1] if not x[0].skip]
-                nodes = sorted({(place(node), key(node, text)) for node, text in blocks})
-                rows.append((_hash(h), _hash("\n".join(t for _, t in blocks)), layout(blocks), np.array(nodes, np.int64).tobytes()))
+                top, blocks = parse(page)
+                site, body, grp = _hash(h), _body(blocks), layout(blocks)
+                new = body < least.get((site, grp), 1 << 63)
+                if new:
+                    least[site, grp] = body
+                rows.append((site, body, grp, Tree.of(top)[0].packed() if new else None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
+def _body(blocks: list[tuple[Node, str]]) -> int:
+    return _hash("\n".join(text for node, text in blocks if not node.skip))
+
+
+def references(pages: DataFrame) -> DataFrame:
+    """Of pages(url, html): site, grp, tree: a reference tree for each layout of LEAST different pages or more, and WHOLE for the most frequent one of a host."""
+    facts = written(texts(pages, "url", "html").mapInArrow(_layouts, "site long, body long, grp long, tree string"))
+    once = facts.groupBy("site", "grp", "body").agg(F.lit(1).alias("one")).groupBy("site", "grp").agg(F.count("*").alias("n"))
+    trees = facts.where("tree is not null").groupBy("site", "grp").agg(F.min_by("tree", "body").alias("tree"))
+    known = written(once.join(trees, ["site", "grp"]))
+    enough = known.groupBy("site").agg(F.sum("n").alias("pages")).where(F.col("pages") >= LEAST).select("site")
+    main = known.join(enough, "site").groupBy("site").agg(F.max_by("tree", F.struct("n", "grp")).alias("tree")).select("site", F.lit(WHOLE).cast("long").alias("grp"), "tree")
+    return main.unionByName(known.where(F.col("n") >= LEAST).select("site", "grp", "tree"))
+
+
+def _nodes(find):
+    """Of each page with a host and a reference: site, hash of its text, and for each group the matched nodes and hashes of their texts (packed, once each)."""
+    schema = pa.schema([("site", pa.int64()), ("body", pa.int64()), ("grp", pa.int64()), ("nodes", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for url, page, *given in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if (h := host(url)) and page:
+                    top, blocks = parse(page)
+                    site = _hash(h)
+                    for grp, tree in find(site, blocks, *given):
+                        nodes = sorted({x for x in aligned(top, blocks, tree) if x is not None})
+                        rows.append((site, _body(blocks), grp, np.array(nodes, np.int64).tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _places(batches):
-    """Rows of (site, group, place, node) of each page for its host and for its layout; node is null once for each place."""
+    """Rows of (site, group, node, text) of each page; the text is null once for each node and once, with node -1, for the page."""
     for batch in batches:
         rows = []
         for site, grp, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             nodes = np.frombuffer(packed, np.int64).reshape(-1, 2)
-            spots = np.unique(nodes[:, 0])
+            spots = np.append(np.unique(nodes[:, 0]), -1)
             n = len(nodes) + len(spots)
-            one = (np.concatenate((nodes[:, 0], spots)), np.concatenate((nodes[:, 1], spots)), np.arange(n) >= len(nodes))
-            rows += [(np.full(n, site, np.int64), np.full(n, g, np.int64), *one) for g in (WHOLE, grp)]
+            rows.append((np.full(n, site, np.int64), np.full(n, grp, np.int64), np.concatenate((nodes[:, 0], spots)), np.concatenate((nodes[:, 1], spots)), np.arange(n) >= len(nodes)))
         if rows:
-            site, grp, place, node, none = (np.concatenate(x) for x in zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(site), pa.array(grp), pa.array(place), pa.array(node, mask=none)], names=["site", "grp", "place", "node"])
+            site, grp, node, text, none = (np.concatenate(x) for x in zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(site), pa.array(grp), pa.array(node), pa.array(text, mask=none)], names=["site", "grp", "node", "text"])
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """Of pages(url, html): site and grp (hashes of host and layout, or WHOLE), keys (hashes of template nodes) over all pages."""
-    facts = texts(pages, "url", "html").mapInArrow(_facts, "site long, body long, grp long, nodes binary")
-    once = facts.groupBy("site", "body").agg(F.min(F.struct("grp", "nodes")).alias("x")).select("site", "x.grp", "x.nodes")
-    counts = written(once.mapInArrow(_places, f"{_SITE}, place long, node long").groupBy("site", "grp", "place", "node").agg(F.count("*").alias("n")))
-    of = counts.where("node is null").where(F.col("n") >= LEAST).select("site", "grp", "place", F.col("n").alias("pages"))
-    # a node of fewer pages can't be enough for LEAST
-    often = counts.where("node is not null").where(F.col("n") >= math.ceil(CONSTANT * LEAST - 1e-9))
-    same = often.join(of, ["site", "grp", "place"]).where(F.col("n") >= F.when(F.expr("place & 1 = 1"), CONSTANT_PROSE).otherwise(CONSTANT) * F.col("pages") - 1e-9)
-    return same.groupBy("site", "grp").agg(F.array_sort(F.collect_list("node")).alias("keys"))
+def wrappers(nodes: DataFrame) -> DataFrame:
+    """Of aligned pages(site, body, grp, nodes): site, grp, keys (flat pairs of node and text that are template), counted over all different pages."""
+    once = nodes.groupBy("site", "grp", "body").agg(F.min("nodes").alias("nodes")).select("site", "grp", "nodes")
+    counts = written(once.mapInArrow(_places, f"{_SITE}, node long, text long").groupBy("site", "grp", "node", "text").agg(F.count("*").alias("n")))
+    of = counts.where("text is null and node >= 0").where(F.col("n") >= LEAST).select("site", "grp", "node", F.col("n").alias("pages"))
+    whole = counts.where("node = -1").select("site", "grp", F.col("n").alias("whole"))
+    # a text of fewer pages can't be enough for LEAST
+    often = counts.where("text is not null").where(F.col("n") >= math.ceil(CONSTANT * LEAST - 1e-9))
+    same = often.join(of, ["site", "grp", "node"]).join(whole, ["site", "grp"]).where(F.col("n") >= F.when(F.expr("node & 1 = 1"), CONSTANT_PROSE * F.col("whole")).otherwise(CONSTANT * F.col("pages")) - 1e-9)
+    return same.groupBy("site", "grp").agg(F.flatten(F.array_sort(F.collect_list(F.array("node", "text")))).alias("keys"))
+
+
+def _template(keys) -> frozenset:
+    return frozenset(zip(keys[::2], keys[1::2], strict=True)) if keys else frozenset()
 
 
 def main_text(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Of pages(page_id, url, html): page_id, url, text."""
     base = texts(pages, "page_id", "url", "html")
-    known = written(wrappers(pages))
-    size = known.agg(F.sum(8 * F.size("keys") + 16)).first()[0] or 0
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    kinds = "page_id long, url string, text string"
+    trees = written(references(pages))
+    if (trees.agg(F.sum(F.octet_length("tree") + 16)).first()[0] or 0) > broadcast_bytes:
+        return _joined(base, trees)
+    known = pages.sparkSession.sparkContext.broadcast({(r.site, r.grp): r.tree for r in trees.collect()})
+    made: dict[tuple[int, int], Tree] = {}
+
+    def tree(key):
+        if key not in made:
+            if len(made) > 2000:
+                made.clear()
+            made[key] = Tree.unpacked(known.value[key])
+        return made[key]
+
+    def find(site, blocks):
+        return [(grp, tree((site, grp))) for grp in (WHOLE, layout(blocks)) if (site, grp) in known.value]
+
+    found = written(wrappers(texts(pages, "url", "html").mapInArrow(_nodes(find), f"site long, body long, grp long, nodes binary")))
+    if (found.agg(F.sum(8 * F.size("keys") + 16)).first()[0] or 0) > broadcast_bytes:
+        return _joined(base, trees)
+    table = pages.sparkSession.sparkContext.broadcast({(r.site, r.grp): _template(r["keys"]) for r in found.collect()})
+
+    def text(url, page):
+        if not page:
+            return ""
+        top, blocks = parse(page)
+        h = host(url)
+        return chosen_text(blocks, gone(top, blocks, [(tree((s, g)), table.value[s, g]) for s in [_hash(h)] for g in (WHOLE, layout(blocks)) if (s, g) in table.value]) if h else frozenset())
+
+    def direct(batches):
+        for batch in batches:
+            yield _out(batch, [text(u, p) for u, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
 
-    def out(batch, found):
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], schema=schema)
+    return base.mapInArrow(direct, _OUT)
 
-    def site(url):
-        return _hash(h) if (h := host(url)) else None
 
-    if size <= broadcast_bytes:
-        table = pages.sparkSession.sparkContext.broadcast({(r.site, r.grp): frozenset(r["keys"]) for r in known.collect()})
-        none = frozenset()
+_OUT = "page_id long, url string, text string"
 
-        def text(url, page):
-            if not page:
-                return ""
-            blocks, s = parse(page)[1], site(url)
-            return chosen_text(blocks, none if s is None else table.value.get((s, WHOLE), none) | table.value.get((s, layout(blocks)), none))
 
-        def direct(batches):
-            for batch in batches:
-                yield out(batch, [text(u, p) for u, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)])
+def _out(batch, found):
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], names=["page_id", "url", "text"])
 
-        return base.mapInArrow(direct, kinds)
 
-    def joined(batches):
-        for batch in batches:
-            yield out(batch, [extract(p, frozenset(a or ()) | frozenset(b or ())) for p, a, b in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)])
+def _joined(base: DataFrame, trees: DataFrame) -> DataFrame:
+    """The same with references and templates joined to the pages by host and layout."""
 
     def named(batches):
         for batch in batches:
-            s = [site(u) for u in batch.column(1).to_pylist()]
+            s = [_hash(h) if (h := host(u)) else None for u in batch.column(1).to_pylist()]
             g = [layout(parse(p)[1]) if p and x is not None else None for x, p in zip(s, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.int64()), pa.array(g, pa.int64())], names=["page_id", "url", "html", "site", "grp"])
 
     rows = base.mapInArrow(named, f"page_id long, url string, html string, {_SITE}")
-    whole = known.where(F.col("grp") == WHOLE).select("site", F.col("keys").alias("all"))
-    rows = rows.join(whole, "site", "left").join(known, ["site", "grp"], "left")
-    return rows.select("page_id", "url", "html", "all", "keys").mapInArrow(joined, kinds)
+
+    def given(df, of, value):
+        whole = of.where(F.col("grp") == WHOLE).select("site", F.col(value).alias(f"{value}_all"))
+        return df.join(whole, "site", "left").join(of.select("site", "grp", value), ["site", "grp"], "left")
+
+    def find(site, blocks, all_, own):
+        return [(g, Tree.unpacked(x)) for g, x in ((WHOLE, all_), (layout(blocks), own)) if x]
+
+    with_trees = given(rows, trees, "tree")
+    found = written(wrappers(with_trees.select("url", "html", "tree_all", "tree").mapInArrow(_nodes(find), "site long, body long, grp long, nodes binary")))
+
+    def joined(batches):
+        for batch in batches:
+            yield _out(batch, [extract(p, [(Tree.unpacked(t), _template(k)) for t, k in ((a, ka), (b, kb)) if t and k]) for p, a, b, ka, kb in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True)])
+
+    whole = given(with_trees, found, "keys")
+    return whole.select("page_id", "url", "html", "tree_all", "tree", "keys_all", "keys").mapInArrow(joined, _OUT)
