@@ -31,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ammlytics.llm import _arrays as A
-from ammlytics.llm._spark import dealt, packed, parts, texts, unpacked, written
+from ammlytics.llm._spark import bucket_count, dealt, packed, text_bytes, texts, unpacked, written
 
 U64 = np.uint64
 #: Super-k-mers and bytes of strings that a task holds before it sends them, and text that it works on at a time: these bound its memory.
 FLUSH, FLUSH_BYTES, CHUNK_BYTES = 1_000_000, 24 << 20, 1 << 20
+#: Bytes of text that a bucket stands for, about, however large the table is.
+BUCKET_BYTES = 40 << 20
 _PLACES = "doc_id long, starts binary, counts binary"
 _PLACES_SCHEMA = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary()), ("counts", pa.binary())])
 
@@ -130,14 +132,14 @@ def _minimisers(size: int, m: int, buckets: int):
             ids, starts, mins, b1 = ids[o1], starts[o1], mins[o1], b1[o1]
             o2 = np.argsort(b2, kind="stable")
             often, b2 = often[o2], b2[o2]
-            e1, e2 = (np.searchsorted(b, np.arange(buckets + 1)) for b in (b1, b2))
-            e3 = np.linspace(0, len(own_ids), buckets + 1).astype(np.int64)
+            present = np.unique(np.concatenate((b1, b2)))
+            e1, e2 = (np.stack([np.searchsorted(b, present), np.searchsorted(b, present, side="right")], 1) for b in (b1, b2))
+            e3 = np.linspace(0, len(own_ids), len(present) + 1).astype(np.int64)
             rows = [[], [], [], [], [], [], []]
-            for b in range(buckets):
-                (i, j), (k, n), (p, q) = e1[b : b + 2], e2[b : b + 2], e3[b : b + 2]
-                if i < j or k < n or p < q:
-                    for row, v in zip(rows, (b, mins[i:j].tobytes(), ids[i:j].tobytes(), starts[i:j].astype(np.uint32).tobytes(), often[k:n].tobytes(), own_ids[p:q].tobytes(), own_starts[p:q].astype(np.uint32).tobytes()), strict=True):
-                        row.append(v)
+            for x, b in enumerate(present.tolist()):
+                (i, j), (k, n), (p, q) = e1[x], e2[x], e3[x : x + 2]
+                for row, v in zip(rows, (b, mins[i:j].tobytes(), ids[i:j].tobytes(), starts[i:j].astype(np.uint32).tobytes(), often[k:n].tobytes(), own_ids[p:q].tobytes(), own_starts[p:q].astype(np.uint32).tobytes()), strict=True):
+                    row.append(v)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(rows, schema, strict=True)], schema=schema)
 
         for ids, data, offsets in A.chunks(batches, 2, CHUNK_BYTES):
@@ -373,14 +375,14 @@ def _cut(size: int, layout: bool, carry: int):
 def places(docs: DataFrame, *, size: int = 20, minimiser: int = 8) -> DataFrame:
     """Of docs(doc_id, text): doc_id, starts, counts (packed 32-bit runs of windows that start elsewhere earlier), a row for each document that has any."""
     base = texts(docs, "doc_id", "text").where("doc_id is not null")
-    buckets = parts(docs.sparkSession)
+    buckets = bucket_count(docs.sparkSession, text_bytes(base), BUCKET_BYTES)
     sent = base.mapInArrow(_minimisers(size, minimiser, buckets), "bucket int, once binary, ids binary, starts binary, often binary, own_ids binary, own_starts binary")
     kinds = "dest int, ids binary, starts binary, counts binary"
-    shared = dealt(sent, "bucket").mapInArrow(_shared_minimisers(buckets), kinds)
-    wanted = dealt(shared, "dest").mapInArrow(_gathered, _PLACES)
+    shared = dealt(sent, "bucket", n=buckets).mapInArrow(_shared_minimisers(buckets), kinds)
+    wanted = dealt(shared, "dest", n=buckets).mapInArrow(_gathered, _PLACES)
     strings = packed(base).join(wanted.hint("merge"), "doc_id").select("doc_id", F.array("starts").alias("pieces"), "body").mapInArrow(_strings(size, minimiser, buckets), f"bucket int, body binary, ids binary, starts_ binary, mins binary, {_PLACES}")
-    judged = dealt(strings, "bucket").mapInArrow(_judge(size, buckets), kinds)
-    return dealt(judged, "dest").mapInArrow(_gathered, _PLACES)
+    judged = dealt(strings, "bucket", n=buckets).mapInArrow(_judge(size, buckets), kinds)
+    return dealt(judged, "dest", n=buckets).mapInArrow(_gathered, _PLACES)
 
 
 def remove_repeats(docs: DataFrame, *, size: int = 20, minimiser: int = 8, layout: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
