@@ -5,7 +5,7 @@ sequences of at most ``size``. Each partition packs its pieces best-fit decreasi
 its number of sequences. Sequences that are full, or whose count the bound certifies with nothing to gain from neighbours, stay;
 of each partition the least filled ones (all in which its gap may lie, at most ``give`` for each missing in its bound) go to the next round, where the
 documents of several partitions meet and are packed again. What a round doesn't better stays as it was. Rounds end when one
-partition has seen what is left.
+partition has seen what is left, when nothing is left, or when a round saves less than ``least_gain`` of its sequences.
 
 Rows. Null or empty text: a document of the end id only. Repeated rows are packed each for itself. A null doc_id is carried
 through. An empty table gives an empty result. Very long texts give many pieces, dealt by (doc_id, piece).
@@ -134,21 +134,23 @@ def pack(docs: DataFrame, *, path: str | None = None, size: int = 2048, end_id:
     return pack_pieces(pieces, size=size, partition_pieces=partition_pieces, give=give)
 
 
-def pack_pieces(pieces: DataFrame, *, size: int = 2048, partition_pieces: int = 50_000, give: int = 64) -> DataFrame:
-    """Packs rows of pieces(doc_id, piece, length, ...) and adds sequence_id and offset."""
+def pack_pieces(pieces: DataFrame, *, size: int = 2048, partition_pieces: int = 50_000, give: int = 64, least_gain: float = 0.0005) -> DataFrame:
+    """Packs rows of pieces(doc_id, piece, length, ...) and adds sequence_id and offset. A task never holds more than about partition_pieces."""
     columns = pieces.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes) + ", sequence_id long, `offset` long, open boolean"
     left = pieces.withColumns({"sequence_id": F.lit(-1).cast("long"), "offset": F.lit(0).cast("long")})
     out, round_ = None, 0
     while True:
         n = max(1, -(-left.count() // partition_pieces))
-        dealt_out = left.select(F.expr(f"pmod(xxhash64(doc_id, piece, {round_}), {n})").alias("part"), *columns, "sequence_id", "offset") if not round_ else left.select(F.expr(f"pmod(xxhash64(sequence_id, {round_}), {n})").alias("part"), *columns, "sequence_id", "offset")
+        key = "doc_id, piece" if not round_ else "sequence_id"
+        dealt_out = left.select(F.expr(f"pmod(xxhash64({key}, {round_}), {n})").alias("part"), *columns, "sequence_id", "offset")
         done = written(dealt(dealt_out, "part", n=n).mapInArrow(_packed(size, give, round_, n == 1), schema))
+        # a sequence has one piece at its start, so sequences are counted without a shuffle
+        begun = F.col("offset") == 0
+        was, now, open_ = (left.where(begun).count() if round_ else None), *done.agg(F.count_if(begun), F.count_if("open")).first()
+        if n == 1 or not open_ or (was is not None and was - now < least_gain * was):
+            return done.drop("open") if out is None else out.unionByName(done.drop("open"))
         closed = done.where("not open").drop("open")
         out = closed if out is None else out.unionByName(closed)
-        if n == 1:
-            return out
         left = done.where("open").drop("open")
-        # fewer partitions each time, so that documents of several meet; one at the end
-        partition_pieces = partition_pieces * 2 if left.count() * 2 > done.count() else partition_pieces
         round_ += 1
