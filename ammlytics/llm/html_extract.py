@@ -263,15 +263,18 @@ def layout(blocks: list[tuple[Node, str]]) -> int:
 
 
 class Tree:
-    """Blocks of a tree that aren't marked, in preorder: label, children, size."""
+    """Blocks of a tree that aren't marked, in preorder: label, children, size, and a hash of all text inside (0: none)."""
 
-    def __init__(self, labels: list[str], parents: list[int]):
-        self.labels, self.kids, self.size = labels, [[] for _ in labels], [1] * len(labels)
+    def __init__(self, labels: list[str], parents: list[int], own: list[int]):
+        self.labels, self.parents, self.own = labels, parents, own
+        self.kids, self.size, self.text = [[] for _ in labels], [1] * len(labels), list(own)
         for i, p in enumerate(parents):
             if p >= 0:
                 self.kids[p].append(i)
         for i in range(len(labels) - 1, 0, -1):
             self.size[parents[i]] += self.size[i]
+            if self.text[i]:
+                self.text[parents[i]] = (self.text[parents[i]] * 31 + self.text[i]) % 0x7FFFFFFF or 1
 
     def shapes(self, numbers: dict[tuple, int]) -> list[int]:
         """A number for the structure of each subtree; equal ones have equal numbers."""
@@ -281,7 +284,7 @@ class Tree:
         return shape
 
     @classmethod
-    def of(cls, top: Node) -> tuple[Tree, dict[int, int]]:
+    def of(cls, top: Node, blocks: list[tuple[Node, str]] = ()) -> tuple[Tree, dict[int, int]]:
         """The tree, and each element's (by id) place in it: its own or that of the block around it."""
         labels, parents, place = ["#"], [-1], {id(top): 0}
         stack = [(k, 0, 1) for k in reversed(top.children)]
@@ -296,22 +299,28 @@ class Tree:
                 labels.append(node.label), parents.append(parent)
             mine = place[id(node)]
             stack += [(k, mine, depth + 1) for k in reversed(node.children)]
-        return cls(labels, parents), place
+        own = [0] * len(labels)
+        for node, text in blocks:
+            if (at := place.get(id(node))) is not None and not node.skip:
+                own[at] = (own[at] * 31 + zlib.crc32(text.encode("utf-8", "replace"))) % 0x7FFFFFFF or 1
+        return cls(labels, parents, own), place
 
     def packed(self) -> str:
-        parents = [-1] * len(self.labels)
-        for i, kids in enumerate(self.kids):
-            for k in kids:
-                parents[k] = i
-        return json.dumps([self.labels, parents])
+        return json.dumps([self.labels, self.parents, self.own])
 
     @classmethod
     def unpacked(cls, text: str) -> Tree:
         return cls(*json.loads(text))
 
 
+#: Weight of a matched node; an equal text weighs 1, so it only decides between matchings of one size.
+NODE = 1 << 20
+#: Pairs of children from which on equal structure at both ends is matched at once.
+LONG_LISTS = 250_000
+
+
 def match(a: Tree | Node, b: Tree | Node) -> tuple[int, dict[int, int]]:
-    """Simple tree matching: size of the largest matching that keeps labels, order and parents, and the node of a for each matched node of b."""
+    """Simple tree matching: size of the largest matching that keeps labels, order and parents, and the node of a for each matched node of b; of equally large ones one with more equal texts."""
     a, b = (Tree.of(x)[0] if isinstance(x, Node) else x for x in (a, b))
     memo: dict[tuple[int, int], int] = {}
     numbers: dict[tuple, int] = {}
@@ -321,33 +330,40 @@ def match(a: Tree | Node, b: Tree | Node) -> tuple[int, dict[int, int]]:
         if a.labels[i] != b.labels[j]:
             return 0
         if shape_a[i] == shape_b[j]:
-            return a.size[i]
+            return a.size[i] * NODE
         key = shape_a[i], shape_b[j]
         if key not in memo:
-            memo[key] = 1 + align(a.kids[i], b.kids[j])[0]
+            memo[key] = NODE + align(a.kids[i], b.kids[j])[0]
         return memo[key]
 
     def align(x: list[int], y: list[int]) -> tuple[int, list[tuple[int, int]]]:
-        """Children in order: equal ends first, dynamic programming between them."""
-        lo = 0
-        while lo < min(len(x), len(y)) and shape_a[x[lo]] == shape_b[y[lo]]:
-            lo += 1
-        hi = 0
-        while hi < min(len(x), len(y)) - lo and shape_a[x[-1 - hi]] == shape_b[y[-1 - hi]]:
-            hi += 1
-        pairs = [*zip(x[:lo], y[:lo], strict=True), *zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)]
-        total = sum(a.size[i] for i, _ in pairs)
-        x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+        """Children in order: equal ends first (of long lists those of equal structure, too), dynamic programming between them."""
+        pairs: list[tuple[int, int]] = []
+        for same in (lambda i, j: shape_a[i] == shape_b[j] and a.text[i] == b.text[j], lambda i, j: shape_a[i] == shape_b[j]):
+            lo = 0
+            while lo < min(len(x), len(y)) and same(x[lo], y[lo]):
+                lo += 1
+            hi = 0
+            while hi < min(len(x), len(y)) - lo and same(x[-1 - hi], y[-1 - hi]):
+                hi += 1
+            pairs += [*zip(x[:lo], y[:lo], strict=True), *zip(x[len(x) - hi :], y[len(y) - hi :], strict=True)]
+            x, y = x[lo : len(x) - hi], y[lo : len(y) - hi]
+            if len(x) * len(y) < LONG_LISTS:
+                break
+        total = sum(a.size[i] * NODE + (a.text[i] == b.text[j] != 0) for i, j in pairs)
         if not x or not y:
             return total, pairs
         # one weight for each pair of different subtrees
         xs, xi = np.unique([shape_a[i] for i in x], return_inverse=True)
         ys, yi = np.unique([shape_b[j] for j in y], return_inverse=True)
         of_x, of_y = dict(zip(xi.tolist(), x, strict=True)), dict(zip(yi.tolist(), y, strict=True))
-        w = np.array([[weight(of_x[i], of_y[j]) for j in range(len(ys))] for i in range(len(xs))])[:, yi]
-        best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+        w = np.array([[weight(of_x[i], of_y[j]) for j in range(len(ys))] for i in range(len(xs))], np.int64)[:, yi]
+        text = np.array([b.text[j] for j in y])
+        best = np.zeros((len(x) + 1, len(y) + 1), np.int64)
         for i in range(len(x)):
             row = w[xi[i]]
+            if t := a.text[x[i]]:
+                row = row + ((text == t) & (row > 0))
             best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(row > 0, best[i, :-1] + row, 0)))
         i, j = len(x), len(y)
         while i and j:
@@ -376,7 +392,7 @@ def match(a: Tree | Node, b: Tree | Node) -> tuple[int, dict[int, int]]:
 
 def aligned(top: Node, blocks: list[tuple[Node, str]], reference: Tree) -> list[tuple[int, int] | None]:
     """For each block the reference node that it is matched with (doubled, odd for prose inside an article or main) and a hash of its text; None where there is none."""
-    tree, place = Tree.of(top)
+    tree, place = Tree.of(top, blocks)
     _, found = match(reference, tree)
     out: list[tuple[int, int] | None] = []
     for node, text in blocks:
@@ -442,7 +458,7 @@ def _layouts(batches):
                 new = body < least.get((site, grp), 1 << 63)
                 if new:
                     least[site, grp] = body
-                rows.append((site, body, grp, Tree.of(top)[0].packed() if new else None))
+                rows.append((site, body, grp, Tree.of(top, blocks)[0].packed() if new else None))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
