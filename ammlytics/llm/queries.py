@@ -21,7 +21,7 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove_lines(_table(spark, sf_dir, "documents"), grams=24, least_words=1)
+    found = line_dedup.remove_lines(_table(spark, sf_dir, "documents"), grams=6, wide=20, least_words=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
