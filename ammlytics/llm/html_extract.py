@@ -353,6 +353,20 @@ def match(a: Tree | Node, b: Tree | Node) -> tuple[int, dict[int, int]]:
         total = sum(a.size[i] * NODE + (a.text[i] == b.text[j] != 0) for i, j in pairs)
         if not x or not y:
             return total, pairs
+        kinds = {shape_a[i] for i in x} | {shape_b[j] for j in y}
+        if len(kinds) == 1 and not {a.text[i] for i in x} & {b.text[j] for j in y} - {0}:  # as paragraphs of different texts: the first ones match
+            n = min(len(x), len(y))
+            return total + n * a.size[x[0]] * NODE, [*pairs, *zip(x[:n], y[:n], strict=True)]
+        if len(x) * len(y) <= 900:
+            table = [[0] * (len(y) + 1)]
+            for i in x:
+                last, row, t = table[-1], [0], a.text[i]
+                for n, j in enumerate(y):
+                    v = weight(i, j)
+                    v = last[n] + v + (t == b.text[j] != 0) if v else 0
+                    row.append(max(last[n + 1], row[n], v))
+                table.append(row)
+            return total + table[-1][-1], [*pairs, *traced(table, x, y)]
         # one weight for each pair of different subtrees
         xs, xi = np.unique([shape_a[i] for i in x], return_inverse=True)
         ys, yi = np.unique([shape_b[j] for j in y], return_inverse=True)
@@ -365,16 +379,18 @@ def match(a: Tree | Node, b: Tree | Node) -> tuple[int, dict[int, int]]:
             if t := a.text[x[i]]:
                 row = row + ((text == t) & (row > 0))
             best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(row > 0, best[i, :-1] + row, 0)))
+        return total + int(best[-1, -1]), [*pairs, *traced(best, x, y)]
+
+    def traced(best, x, y):
         i, j = len(x), len(y)
         while i and j:
-            if best[i, j] == best[i - 1, j]:
+            if best[i][j] == best[i - 1][j]:
                 i -= 1
-            elif best[i, j] == best[i, j - 1]:
+            elif best[i][j] == best[i][j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                pairs.append((x[i], y[j]))
-        return total + int(best[-1, -1]), pairs
+                yield x[i], y[j]
 
     found: dict[int, int] = {}
     if a.labels[0] != b.labels[0]:
@@ -390,9 +406,9 @@ def match(a: Tree | Node, b: Tree | Node) -> tuple[int, dict[int, int]]:
     return len(found), found
 
 
-def aligned(top: Node, blocks: list[tuple[Node, str]], reference: Tree) -> list[tuple[int, int] | None]:
+def aligned(top: Node, blocks: list[tuple[Node, str]], reference: Tree, made: tuple | None = None) -> list[tuple[int, int] | None]:
     """For each block the reference node that it is matched with (doubled, odd for prose inside an article or main) and a hash of its text; None where there is none."""
-    tree, place = Tree.of(top, blocks)
+    tree, place = made or Tree.of(top, blocks)
     _, found = match(reference, tree)
     out: list[tuple[int, int] | None] = []
     for node, text in blocks:
@@ -412,9 +428,14 @@ def extract(page: str | None, wrappers: list[tuple[Tree, frozenset]] = ()) -> st
 def gone(top: Node, blocks: list[tuple[Node, str]], wrappers) -> set[int]:
     """Numbers of the blocks that are template."""
     out: set[int] = set()
+    done: dict[int, list] = {}
+    made = None
     for reference, template in wrappers:
         if template:
-            out |= {n for n, x in enumerate(aligned(top, blocks, reference)) if x in template}
+            made = made or Tree.of(top, blocks)
+            if id(reference) not in done:
+                done[id(reference)] = aligned(top, blocks, reference, made)
+            out |= {n for n, x in enumerate(done[id(reference)]) if x in template}
     return out
 
 
@@ -488,10 +509,12 @@ def _nodes(find):
             for url, page, *given in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if (h := host(url)) and page:
                     top, blocks = parse(page)
-                    site = _hash(h)
+                    site, done = _hash(h), {}
+                    made, body = Tree.of(top, blocks), _body(blocks)
                     for grp, tree in find(site, blocks, *given):
-                        nodes = sorted({x for x in aligned(top, blocks, tree) if x is not None})
-                        rows.append((site, _body(blocks), grp, np.array(nodes, np.int64).tobytes()))
+                        if id(tree) not in done:  # the page's layout may be the host's most frequent one
+                            done[id(tree)] = np.array(sorted({x for x in aligned(top, blocks, tree, made) if x is not None}), np.int64).tobytes()
+                        rows.append((site, body, grp, done[id(tree)]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -535,14 +558,15 @@ def main_text(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> Da
     if (trees.agg(F.sum(F.octet_length("tree") + 16)).first()[0] or 0) > broadcast_bytes:
         return _joined(base, trees)
     known = pages.sparkSession.sparkContext.broadcast({(r.site, r.grp): r.tree for r in trees.collect()})
-    made: dict[tuple[int, int], Tree] = {}
+    made: dict[str, Tree] = {}
 
     def tree(key):
-        if key not in made:
+        text = known.value[key]
+        if text not in made:
             if len(made) > 2000:
                 made.clear()
-            made[key] = Tree.unpacked(known.value[key])
-        return made[key]
+            made[text] = Tree.unpacked(text)
+        return made[text]
 
     def find(site, blocks):
         return [(grp, tree((site, grp))) for grp in (WHOLE, layout(blocks)) if (site, grp) in known.value]
