@@ -187,7 +187,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                 add(page[m.start() + 9 : place - 3])
             continue
         tag = m[2].lower()
-        place = quotes.end(place)
+        place = place + 1 if page.startswith(">", place) else quotes.end(place)
         inner = page[m.end() : place - 1] if page[place - 1] == ">" else page[m.end() : place]
         if m[1]:
             if not opened[tag]:
