@@ -101,7 +101,7 @@ class Pieces:
         if dropout:
             least = U64(min(int(dropout * 2**64), 2**64 - 1))
             owner = np.searchsorted(at, begin, side="right") - 1
-            key = A.mix(A.mix(docs.astype(U64) + U64(seed % 2**63) * U64(0x9E3779B97F4A7C15))[owner] + (begin - at[owner]).astype(U64))
+            key = A.mix(A.mix(docs.astype(U64) + U64(seed * 0x9E3779B97F4A7C15 % 2**64))[owner] + (begin - at[owner]).astype(U64))
             changed = np.flatnonzero(self._hit(key, which, made, len(pick), least))
             if len(changed):
                 again = key[changed]
