@@ -36,7 +36,15 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ammlytics-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a written table whose successor is written."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -65,12 +73,16 @@ def dealt(df: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
     return df.repartition(n or parts(df.sparkSession), *keys)
 
 
-def texts(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only, in order; ids as long, text as string. Other columns, whatever their names, are not read."""
-    spark = docs.sparkSession
+def limited(spark: SparkSession) -> None:
+    """Ships the package to the workers and bounds the rows of an Arrow batch."""
     ship(spark)
     if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def texts(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns only, in order; ids as long, text as string. Other columns, whatever their names, are not read."""
+    limited(docs.sparkSession)
     kind = {"doc_id": "long", "page_id": "long", "vec_id": "long", "n_chars": "long"}
     return docs.select(*[F.col(f"`{c}`").cast(kind.get(c, "string")).alias(c) for c in columns])
 
