@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ammlytics.llm import ann, html_extract, language_id, licenses, line_dedup, ngram_join, packing, sentencepiece_bpe, sharding, substring_dedup, vector_codes, winnowing
+from ammlytics.llm import ann, collocations, html_extract, language_id, licenses, line_dedup, ngram_join, packing, sentencepiece_bpe, sharding, substring_dedup, vector_codes, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,12 +63,16 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard_documents(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_winnowing": op1_winnowing, "op2_licenses": op2_licenses, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece, "op9_html_text": op9_html_text, "op10_neighbours": op10_neighbours, "op5_ngram_join": op5_ngram_join, "op11_vector_codes": op11_vector_codes, "op13_sharding": op13_sharding}
+QUERIES = {"op1_winnowing": op1_winnowing, "op2_licenses": op2_licenses, "op3_line_dedup": op3_line_dedup, "op4_language_id": op4_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_packing": op7_packing, "op8_sentencepiece": op8_sentencepiece, "op9_html_text": op9_html_text, "op10_neighbours": op10_neighbours, "op5_ngram_join": op5_ngram_join, "op11_vector_codes": op11_vector_codes, "op12_collocations": op12_collocations, "op13_sharding": op13_sharding}
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
@@ -97,5 +101,6 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n,
 FROM d LEFT JOIN k USING (doc_id)
 """,
     "op11_vector_codes": vector_codes.oracle_sql(),
+    "op12_collocations": collocations.oracle_sql(),
     "op13_sharding": sharding.oracle_sql(),
 }
