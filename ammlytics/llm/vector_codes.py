@@ -37,6 +37,8 @@ SCALE = 4096
 NONE = 65535
 #: Integers below this in absolute value stay in 64 bits, squared distances included; larger ones are handled as Python ints.
 SMALL = 2**24
+#: What whole numbers are computed in, by how they are stored: with two bytes, all sums are exact as doubles.
+_COMPUTED = {"int16": np.float64, "int32": np.int64, "text": object}
 _STATE = "vec_id long, label string, body binary, codes binary, upper binary, lower binary, sums array<decimal(38,0)>"
 
 
@@ -86,9 +88,12 @@ def _stored(distances: np.ndarray, step: int, up: bool) -> np.ndarray:
 
 
 def squared(x: np.ndarray, entry: np.ndarray) -> np.ndarray:
-    """Squared distances of rows to an entry."""
+    """Squared distances of rows to an entry, or to one each, as whole numbers."""
+    if not x.shape[1]:
+        return np.zeros(len(x), np.int64)
     apart = x - entry
-    return (apart * apart).sum(axis=1) if x.shape[1] else np.zeros(len(x), np.int64)
+    total = (apart * apart).sum(axis=1)
+    return total.astype(np.int64) if total.dtype == np.float64 else total
 
 
 class Movement(NamedTuple):
@@ -103,13 +108,13 @@ def movements(books: Codebooks, before: Codebooks | None) -> list[Movement]:
     out = []
     for p, part in enumerate(books.entries):
         new = np.array(part, object)
-        new = new.astype(object if books.kind == "text" else np.int64).reshape(len(part), books.cuts[p + 1] - books.cuts[p])
+        new = new.astype(_COMPUTED[books.kind]).reshape(len(part), books.cuts[p + 1] - books.cuts[p])
         between = np.stack([_stored(_roots(squared(new, entry), False), books.step, False) for entry in new])
         moved = np.zeros(len(part), np.int64)
         if before is not None:
             old = np.array(before.entries[p], object).reshape(new.shape)
-            apart = squared(new.astype(object), old) if new.shape[1] else np.zeros(len(part), np.int64)
-            moved = _stored(_roots(np.array(apart.tolist(), object), True), books.step, True)
+            apart = squared(new, old.astype(_COMPUTED[books.kind]))
+            moved = _stored(_roots(apart, True), books.step, True)
         out.append(Movement(new, between, moved))
     return out
 
@@ -119,38 +124,29 @@ def reassigned(x: np.ndarray, at: np.ndarray, upper: np.ndarray, lower: np.ndarr
     at = at.astype(np.int64)
     upper = np.where(upper >= NONE, NONE, np.minimum(upper.astype(np.int64) + move.moved[at], NONE))
     lower = np.maximum(lower.astype(np.int64) - move.moved[None, :], 0)
-    n, k = lower.shape
-    best = np.zeros(n, x.dtype)  # the exact squared distance to the current entry, where known
-    known = np.zeros(n, bool)
-    took = 0
-
-    def farther(rows: np.ndarray, c: int) -> np.ndarray:
-        sure = upper[rows] < NONE
-        return sure & ((upper[rows] < lower[rows, c]) | (2 * upper[rows] < move.between[at[rows], c]))
-
-    for c in range(k):
-        rows = np.flatnonzero(at != c)
-        rows = rows[~farther(rows, c)]
-        fresh = rows[~known[rows]]
-        if len(fresh):
-            for a in np.unique(at[fresh]).tolist():
-                mine = fresh[at[fresh] == a]
-                best[mine] = squared(x[mine], move.entries[a])
-                lower[mine, a] = _stored(_roots(best[mine], False), step, False)
-            upper[fresh] = _stored(_roots(best[fresh], True), step, True)
-            known[fresh] = True
-            took += len(fresh)
-            rows = rows[~farther(rows, c)]
-        if not len(rows):
-            continue
-        found = squared(x[rows], move.entries[c])
-        took += len(rows)
-        lower[rows, c] = _stored(_roots(found, False), step, False)
-        nearer = ((found < best[rows]) | ((found == best[rows]) & (c < at[rows]))).astype(bool)
-        won = rows[nearer]
-        at[won], best[won] = c, found[nearer]
-        upper[won] = _stored(_roots(found[nearer], True), step, True)
-    return at, upper, lower, took
+    k = lower.shape[1]
+
+    def open_to(rows: np.ndarray) -> np.ndarray:
+        """Which entries but the current one may be as near, for certain pruned ones apart."""
+        mine, bound = at[rows], upper[rows, None]
+        out = (bound >= NONE) | ((bound >= lower[rows]) & (2 * bound >= move.between[mine]))
+        out[np.arange(len(rows)), mine] = False
+        return out
+
+    rows = np.flatnonzero(open_to(np.arange(len(at))).any(axis=1))
+    best = squared(x[rows], move.entries[at[rows]])
+    lower[rows, at[rows]] = _stored(_roots(best, False), step, False)
+    upper[rows] = _stored(_roots(best, True), step, True)
+    row, entry = np.nonzero(open_to(rows))
+    found = squared(x[rows[row]], move.entries[entry])
+    lower[rows[row], entry] = _stored(_roots(found, False), step, False)
+    apart = np.full((len(rows), k), 1 << 300 if found.dtype == object else np.iinfo(np.int64).max, found.dtype)
+    apart[np.arange(len(rows)), at[rows]] = best
+    apart[row, entry] = found
+    nearest = np.argmin(apart, axis=1) if len(rows) else np.zeros(0, np.int64)  # of equal ones the first
+    at[rows] = nearest
+    upper[rows] = _stored(_roots(apart[np.arange(len(rows)), nearest], True), step, True)
+    return at, upper, lower, len(rows) + len(row)
 
 
 def _stored_rows(column: pa.Array, kind: str, n: int, *shape: int) -> np.ndarray:
@@ -212,7 +208,7 @@ def _round(books: Codebooks, before: Codebooks | None):
             if not n:
                 continue
             whole = _stored_rows(batch.column(2), books.kind, n, width)
-            whole = whole if books.kind == "text" else whole.astype(np.int64)
+            whole = whole.astype(_COMPUTED[books.kind])
             codes = _stored_rows(batch.column(3), "uint8", n, parts).astype(np.int64)
             upper = _stored_rows(batch.column(4), "uint16", n, parts).astype(np.int64)
             lower = _stored_rows(batch.column(5), "uint16", n, parts, k).astype(np.int64)
@@ -237,13 +233,11 @@ def _coded(books: Codebooks):
             if not n:
                 continue
             whole = _stored_rows(batch.column(2), books.kind, n, width)
-            whole = whole if books.kind == "text" else whole.astype(np.int64)
+            whole = whole.astype(_COMPUTED[books.kind])
             codes = _stored_rows(batch.column(3), "uint8", n, parts)
-            error = np.zeros(n, whole.dtype)
+            error = np.zeros(n, object if books.kind == "text" else np.int64)
             for p in range(parts):
-                apart = whole[:, books.cuts[p] : books.cuts[p + 1]] - moves[p].entries[codes[:, p]]
-                if apart.shape[1]:
-                    error = error + (apart * apart).sum(axis=1)
+                error = error + squared(whole[:, books.cuts[p] : books.cuts[p + 1]], moves[p].entries[codes[:, p]])
             code = [row.tobytes().hex() for row in codes]
             error = [v if v < 2**63 else None for v in error.tolist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code, pa.string()), pa.array(error, pa.int64())], names=["vec_id", "label", "code", "error"])
