@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,26 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join(os.path.basename(top), os.path.relpath(full, top)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def workspace(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); on a single machine, where that is unset, a folder of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ammlytics-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the workspace for a table of this application."""
+    return f"{workspace(spark)}/ammlytics-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the workspace and read again: computed once, its lineage cut, readable after the loss of any executor."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
