@@ -1,48 +1,158 @@
-"""Portfolio weights of equal risk contribution."""
+"""Walk-forward portfolios of many streams of trades: trailing weights, daily returns, a dollar book with caps, capacity.
+
+A stream's day is the mean net return of its trades that end that day: stream_days(stream, day, r), sparse, one row where it traded. At each
+month's start, 90 days after the first day, streams are weighted by what lies strictly before it, 360 days back, and the weights hold until the
+next month's start. Nothing is pivoted: a row is sent to the (at most 13) months that look back on it, and sums by month and stream are
+all that weights need. Equal risk contributions need covariances; they appear only as the matrix times a vector, that is, two
+sums over the sparse days a step, so no task holds a month's streams.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ammlytics.session import materialised
+
+WARM_UP, LOOK_BACK, LEAST = 90, 360, 4
+YEAR = 365.0
+
+
+def stream_days(trades: DataFrame) -> DataFrame:
+    """stream, day, r of trades(stream, exit_day, ret)."""
+    return trades.groupBy("stream", F.col("exit_day").alias("day")).agg(F.avg("ret").alias("r"))
+
+
+def rebalances(days: DataFrame, warm_up: int = WARM_UP) -> DataFrame:
+    """block, block_end of each rebalance: starts of months more than ``warm_up`` days after the first day, until the next one, or past the last day."""
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    x = ends.select("a", "z", F.explode(F.expr("sequence(trunc(a, 'month'), z, interval 1 month)")).alias("block")).where(F.col("block") > F.date_add("a", warm_up))
+    return x.select("block", F.coalesce(F.lead("block").over(Window.orderBy("block")), F.date_add("z", 1)).alias("block_end"))  # a row a month
+
+
+def looked_back_on(days: DataFrame, blocks: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
+    """days with each rebalance whose look-back they are in."""
+    months = F.expr(f"explode(filter(sequence(trunc(add_months(day, 1), 'month'), greatest(date_add(day, {look_back}), trunc(add_months(day, 1), 'month')), interval 1 month), m -> m <= date_add(day, {look_back})))")
+    return days.select("*", months.alias("block")).join(F.broadcast(blocks.select("block")), "block")  # a row a month
+
+
+def trailing(days: DataFrame, blocks: DataFrame, look_back: int = LOOK_BACK) -> DataFrame:
+    """block, stream, n, mean, sd (a day without a trade is 0) of the streams that traded on LEAST days looked back on."""
+    x = looked_back_on(days, blocks, look_back)
+    dates = looked_back_on(days.select("day").distinct(), blocks, look_back).groupBy("block").agg(F.count("*").alias("d"))
+    s = x.groupBy("block", "stream").agg(F.count("*").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2")).where(F.col("n") >= LEAST)
+    s = s.join(F.broadcast(dates), "block")  # a row a month
+    var = (F.col("s2") - F.col("s1") * F.col("s1") / F.col("d")) / (F.col("d") - 1)
+    return s.select("block", "stream", "n", (F.col("s1") / F.col("n")).alias("mean"), F.when(F.col("d") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("sd"), "d", "s1")
+
+
+def positive() -> Column:
+    return F.round("mean", 9) > 0
+
 
+def weights(trail: DataFrame, kind: str, only_positive: bool = True) -> DataFrame:
+    """block, stream, weight (summing to 1 a block): ``ew`` equal, ``invvol`` by 1 / sd (none without sd; equal if no stream has one)."""
+    x = trail.where(positive()) if only_positive else trail
+    x = x.withColumn("u", F.lit(1.0) if kind == "ew" else F.when(F.round("sd", 9) > 0, 1 / F.col("sd")).otherwise(0.0))
+    totals = x.groupBy("block").agg(F.sum("u").alias("total"), F.count("*").alias("m"))
+    return x.join(F.broadcast(totals), "block").select("block", "stream", F.when(F.col("total") > 0, F.col("u") / F.col("total")).otherwise(1.0 / F.col("m")).alias("weight"))
 
-def equal_risk(cov: np.ndarray, sweeps: int = 500, tolerance: float = 1e-12) -> np.ndarray:
-    """Weights (summing to 1) under which every stream adds the same share of variance.
 
-    They are the scaled minimum of y' C y / 2 - sum(log y) / n: setting the derivative in one coordinate to zero gives a quadratic, whose
-    positive root is taken in turn for each coordinate until nothing moves. A stream without variance gets the smallest positive one.
+def equal_risk(days: DataFrame, blocks: DataFrame, *, only_positive: bool = True, ridge: float = 1e-9, steps: int = 100, tolerance: float = 1e-4, look_back: int = LOOK_BACK) -> DataFrame:
+    """block, stream, weight: every stream adds the same share of the portfolio's variance.
+
+    With C the covariance of days looked back on plus ``ridge`` on its diagonal, the y with y_i (C y)_i = 1 gives the weights, up to their
+    sum; it is where f = y C y / 2 - sum of log y is smallest. From 1 / sd on, each step multiplies y_i by (y_i (C y)_i) to the power of
+    -s, a way down; where f of a month rises all the same (correlations of both signs) the month goes back and halves its s. C y =
+    (sum over days of r_t (r_t y) - d m (m y)) / (d - 1) + ridge y: two sums over sparse days, for all months at once. Each step is
+    written, since the next one reads it several times; the end comes when no exponent moves anything by more than ``tolerance``.
     """
-    n = len(cov)
-    c = np.array(cov, float).reshape(n, n)
-    own = np.diag(c).copy()
-    least = own[own > 0].min() if (own > 0).any() else 1.0
-    own = np.where(own > 0, own, least)
-    c[np.diag_indices(n)] = own
-    y = 1 / np.sqrt(own * n)
-    for _ in range(sweeps):
-        moved = 0.0
-        for i in range(n):
-            others = c[i] @ y - own[i] * y[i]
-            root = (-others + np.sqrt(others * others + 4 * own[i] / n)) / (2 * own[i])
-            moved = max(moved, abs(root - y[i]) / root)
-            y[i] = root
-        if moved < tolerance:
+    trail = trailing(days, blocks, look_back)
+    chosen = materialised((trail.where(positive()) if only_positive else trail).withColumn("m", F.col("s1") / F.col("d")).select("block", "stream", "m", "d", "sd"))
+    x = materialised(looked_back_on(days, blocks, look_back).join(chosen.select("block", "stream"), ["block", "stream"]).select("block", "stream", "day", "r"))
+    y = materialised(chosen.select("block", "stream", "m", "d", (1 / F.sqrt(F.col("sd") * F.col("sd") + ridge)).alias("y"), F.lit(0.0).alias("base"), F.lit(0.0).alias("u"), F.lit(1 / 3).alias("s"), F.lit(None).cast("double").alias("best")))
+    for _ in range(steps):
+        by_day = x.join(y.select("block", "stream", "y"), ["block", "stream"]).groupBy("block", "day").agg(F.sum(F.col("r") * F.col("y")).alias("p"))
+        by_block = y.groupBy("block").agg(F.sum(F.col("m") * F.col("y")).alias("my"))
+        moved = x.join(by_day, ["block", "day"]).groupBy("block", "stream").agg(F.sum(F.col("r") * F.col("p")).alias("rp"))
+        now = y.join(moved, ["block", "stream"]).join(F.broadcast(by_block), "block")  # a row a month
+        cy = (F.col("rp") - F.col("d") * F.col("m") * F.col("my")) / (F.col("d") - 1) + ridge * F.col("y")
+        now = materialised(now.withColumn("ycy", F.col("y") * cy).drop("rp", "my"))
+        told = now.groupBy("block").agg(F.sum(F.col("ycy") / 2 - F.log("y")).alias("f"))
+        fine = F.col("best").isNull() | (F.col("f") <= F.col("best") + 1e-9 * F.abs("best"))
+        now = now.join(F.broadcast(told), "block").withColumn("fine", fine)  # a row a month
+        down = F.least(F.greatest(-F.log(F.greatest("ycy", F.lit(1e-9))), F.lit(-1.0)), F.lit(1.0))
+        now = now.withColumns({"base": F.when(F.col("fine"), F.col("y")).otherwise(F.col("base")), "u": F.when(F.col("fine"), down).otherwise(F.col("u")), "s": F.when(F.col("fine"), F.col("s")).otherwise(F.col("s") / 2), "best": F.when(F.col("fine"), F.col("f")).otherwise(F.col("best"))})
+        y = now.select("block", "stream", "m", "d", (F.col("base") * F.exp(F.col("s") * F.col("u"))).alias("y"), "base", "u", "s", "best")
+        if (y.agg(F.max(F.abs("u"))).first()[0] or 0.0) < tolerance:
             break
-    return y / y.sum()
+    total = y.groupBy("block").agg(F.sum("base").alias("total"))
+    return y.join(F.broadcast(total), "block").select("block", "stream", (F.col("base") / F.col("total")).alias("weight"))
+
+
+def portfolio_days(days: DataFrame, blocks: DataFrame, held: DataFrame) -> DataFrame:
+    """day, r of every day on which any stream traded: the streams of the day's block that traded, by their weights made to sum to 1; 0 where there is none."""
+    now = days.join(F.broadcast(blocks), (F.col("day") >= F.col("block")) & (F.col("day") < F.col("block_end")))  # a row a month
+    got = now.join(held, ["block", "stream"]).groupBy("day").agg(F.try_divide(F.sum(F.col("weight") * F.col("r")), F.nullif(F.sum("weight"), F.lit(0.0))).alias("r"))
+    return days.select("day").distinct().join(got, "day", "left").select("day", F.coalesce("r", F.lit(0.0)).alias("r"))
+
+
+def turnover(held: DataFrame) -> DataFrame:
+    """One row: mean over rebalances (but the first) of the sum of absolute changes of weights, and mean number of streams held."""
+    blocks = held.groupBy("block").agg(F.count("*").alias("m"))
+    order = Window.orderBy("block")  # a row a month
+    pairs = blocks.select("block", "m", F.lead("block").over(order).alias("then"))
+    a = held.join(F.broadcast(pairs.where("then is not null")), "block").select(F.col("then").alias("block"), "stream", (-F.col("weight")).alias("w"))
+    b = held.join(F.broadcast(pairs.select(F.col("then").alias("block")).where("block is not null")), "block").select("block", "stream", F.col("weight").alias("w"))
+    change = a.unionByName(b).groupBy("block", "stream").agg(F.abs(F.sum("w")).alias("c")).groupBy("block").agg(F.sum("c").alias("c"))
+    return change.agg(F.avg("c").alias("turnover")).crossJoin(blocks.agg(F.avg("m").alias("streams")))  # one row each
+
+
+def vol_target(daily: DataFrame, keys: list[str], target: float, most: float = 5.0) -> DataFrame:
+    """daily(keys, day, r) scaled by target / sqrt(365) over the deviation of the 30 days before, at most ``most``; unscaled until it is known."""
+    w = Window.partitionBy(*keys).orderBy("day")
+    month = w.rowsBetween(-30, -1)
+    sd = F.when(F.count("r").over(month) == 30, F.stddev_samp("r").over(month))
+    scale = F.coalesce(F.least(F.try_divide(F.lit(target / YEAR**0.5), F.when(F.round(sd, 9) > 0, sd)), F.lit(most)), F.lit(1.0))
+    return daily.withColumn("r", F.col("r") * scale)
 
 
-def equal_risk_weights(returns: DataFrame, period: str, stream: str, date: str, value: str, least: int = 4) -> DataFrame:
-    """period, stream, weight. A task holds one period's streams x days (missing days are 0)."""
-    kind = dict(returns.dtypes)
+def metrics(daily: DataFrame, keys: list[str]) -> DataFrame:
+    """n, ann_ret, ann_vol, sharpe, max_dd, calmar of daily(keys, day, r): mean and deviation by the year, drawdown of the compounded curve; null below five days or without deviation."""
+    w = Window.partitionBy(*keys).orderBy("day")
+    x = daily.withColumn("e", F.exp(F.sum(F.log1p("r")).over(w)))
+    x = x.withColumn("dd", F.col("e") / F.max("e").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("r").alias("mu"), F.stddev_samp("r").alias("sd"), F.min("dd").alias("dd"))
+    fine = (F.col("n") >= 5) & (F.round("sd", 12) > 0)
+    ann = F.when(fine, F.col("mu") * YEAR)
+    return g.select(*keys, "n", ann.alias("ann_ret"), F.when(fine, F.col("sd") * YEAR**0.5).alias("ann_vol"), F.when(fine, F.try_divide("mu", "sd") * YEAR**0.5).alias("sharpe"), F.when(fine, F.col("dd")).alias("max_dd"), F.when(fine & (F.col("dd") < 0), ann / -F.col("dd")).alias("calmar"))
+
+
+def booked(trades: DataFrame, held: DataFrame, blocks: DataFrame, aums: list[float]) -> DataFrame:
+    """trades(stream, entry_day, exit_day, ret, cap) that enter in a block in which their stream is held, for each size of the book: aum, target, notional (capped)."""
+    entered = trades.join(F.broadcast(blocks), (F.col("entry_day") >= F.col("block")) & (F.col("entry_day") < F.col("block_end")))  # a row a month
+    x = entered.join(held, ["block", "stream"]).withColumn("aum", F.explode(F.array(*[F.lit(float(a)) for a in aums])))
+    target = F.col("weight") * F.col("aum")
+    return x.select("aum", "stream", "entry_day", "exit_day", "ret", target.alias("target"), F.least(target, F.col("cap")).alias("notional"))
+
+
+def book_days(book: DataFrame) -> DataFrame:
+    """aum, day, r (profits of the day's exits over the book's size; 0 on cash days), open (dollars at work at the day's end), by a sweep over entries and exits.
+
+    Days run from a size's first exit to its last, with those on which nothing happens.
+    """
+    events = book.select("aum", F.inline(F.array(F.struct(F.col("entry_day").alias("day"), F.col("notional").alias("flow"), F.lit(0.0).alias("pnl"), F.lit(0).alias("exits")), F.struct(F.col("exit_day").alias("day"), (-F.col("notional")).alias("flow"), (F.col("notional") * F.col("ret")).alias("pnl"), F.lit(1).alias("exits")))))
+    by_day = events.groupBy("aum", "day").agg(F.sum("flow").alias("flow"), F.sum("pnl").alias("pnl"), F.sum("exits").alias("exits"))
+    span = by_day.where("exits > 0").groupBy("aum").agg(F.min("day").alias("a"), F.max("day").alias("z"))
+    spine = span.select("aum", F.explode(F.expr("sequence(a, z)")).alias("day"), F.lit(1).alias("inside"))
+    w = Window.partitionBy("aum").orderBy("day")  # a row a day
+    x = by_day.join(spine, ["aum", "day"], "full").withColumn("open", F.sum(F.coalesce("flow", F.lit(0.0))).over(w))
+    return x.where("inside = 1").select("aum", "day", (F.coalesce("pnl", F.lit(0.0)) / F.col("aum")).alias("r"), "open")
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        m = rows.pivot_table(index=date, columns=stream, values=value, aggfunc="mean")
-        m = m.loc[:, m.notna().sum() >= least]
-        m = m.loc[:, m.mean() > 0].fillna(0.0)
-        if not m.shape[1]:
-            return pd.DataFrame({period: [], stream: [], "weight": []})
-        cov = np.atleast_2d(np.cov(m.to_numpy().T)) if len(m) > 1 else np.eye(m.shape[1])
-        return pd.DataFrame({period: rows[period].iloc[0], stream: list(m.columns), "weight": equal_risk(cov)})
 
-    return returns.groupBy(period).applyInPandas(solve, f"`{period}` {kind[period]}, `{stream}` {kind[stream]}, weight double")
+def capacity(book: DataFrame) -> DataFrame:
+    """aum, trades, deployed (dollars at work over dollars wanted), metrics of the book's days, peak_open and mean_open (shares of the book at work), cash_days."""
+    d = book_days(book)
+    sums = book.groupBy("aum").agg(F.count("*").alias("trades"), F.try_divide(F.sum("notional"), F.sum("target")).alias("deployed"))
+    at_work = d.groupBy("aum").agg((F.max("open") / F.col("aum")).alias("peak_open"), (F.avg("open") / F.col("aum")).alias("mean_open"), F.count_if(F.round("open", 6) == 0).alias("cash_days"))
+    return sums.join(metrics(d, ["aum"]), "aum").join(at_work, "aum")

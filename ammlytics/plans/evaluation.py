@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ammlytics.functions.rolling import average_rank, correlation, hash_order, rolling
-from ammlytics.operators import portfolio
 from ammlytics.operators import research as R
 from ammlytics.plans.market import rounded
 from ammlytics.plans.registry import query
@@ -274,12 +273,6 @@ def _(t):
     return s.groupBy("step", "w").agg(F.count("*").alias("n"), F.round(F.try_divide(F.avg("r"), F.nullif(F.stddev_pop("r"), F.lit(0.0))) * F.sqrt(F.lit(365.0)), 4).alias("sharpe"))
 
 
-@query("equal_risk_weights")
-def _(t):
-    """Weights of equal risk contribution of the pairs, year by year (fixed point, a year in a task)."""
-    return portfolio.equal_risk_weights(daily_returns(t).withColumn("year", F.year("day")), "year", P, "day", "r")
-
-
 @query("fee_tier_yield", "WITH y AS (SELECT p.fee_bps, b.pair_address, sum(b.volume) * p.fee_bps / 10000.0 / max(m.reserve_usd) AS yld FROM bars b JOIN meta m USING (pair_address) JOIN (SELECT pool AS pair_address, min(fee_bps) + max(id) % 3 * 5 AS fee_bps FROM pools GROUP BY 1) p USING (pair_address) GROUP BY p.fee_bps, b.pair_address) SELECT fee_bps, count(*) AS n, round(avg(yld), 6) AS mean, round(median(yld), 6) AS median FROM y GROUP BY 1")
 def _(t):
     """Fee yield of liquidity by fee tier."""

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from ammlytics.functions import codecs as K
-from ammlytics.operators import portfolio
 
 
 def test_known_values(spark):
@@ -31,15 +30,3 @@ def test_curve_trade(spark):
     r = spark.createDataFrame([(bytearray(data),)], "d binary").select(K.curve_trade(F.col("d")).alias("t")).select("t.*").first()
     assert (r.mint, r.maker, r.sol, r.tokens, r.is_buy, r.sec, r.virtual_sol) == (K.to_base58(mint), K.to_base58(maker), 2.0, 3.0, True, 1700000000, 30.0)
     assert r.virtual_tokens == pytest.approx(2**63 / 1e6)
-
-
-def test_equal_risk(spark):
-    rng = np.random.default_rng(1)
-    a = rng.normal(size=(500, 3)) * [1, 2, 4]
-    cov = np.cov(a.T)
-    w = portfolio.equal_risk(cov)
-    share = w * (cov @ w)
-    assert w.sum() == pytest.approx(1) and share == pytest.approx(share.mean(), rel=1e-3)
-    rows = [("2024-01", f"s{j}", i, float(a[i, j]) + 1) for i in range(30) for j in range(3)]
-    got = portfolio.equal_risk_weights(spark.createDataFrame(rows, "m string, s string, d int, r double"), "m", "s", "d", "r").collect()
-    assert len(got) == 3 and sum(r.weight for r in got) == pytest.approx(1)
