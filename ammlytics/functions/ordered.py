@@ -48,7 +48,10 @@ def counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     r = running(c, keys, [value], {"_to": F.col("c")})
     n = c.groupBy(*keys).agg(F.sum("c").alias("n"))
     r = r.withColumn("before", F.col("_to") - F.col("c")).drop("_to")
-    return r.join(n, keys) if keys else r.crossJoin(F.broadcast(n))  # one row
+    if not keys:
+        return r.crossJoin(F.broadcast(n))  # one row
+    n = n.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "n")
+    return r.join(n, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).drop(*[f"_k_{k}" for k in keys])
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str = "r") -> DataFrame:
