@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ammlytics.functions.ordered import counted, quantiles
+
 FAR = 9_223_372_036_854_775_807
 
 
@@ -107,13 +109,13 @@ def flow_bars(trades: DataFrame, seconds: int = 3600) -> DataFrame:
 
 def order_flow(trades: DataFrame, seconds: int = 3600, whale_quantile: float = 0.95) -> DataFrame:
     """Hourly counts, signed volume, imbalance in [-1, 1], flow of trades over the pair's whale threshold, makers, median reserve."""
-    threshold = trades.groupBy("pair_address").agg(F.percentile("amount_usd", whale_quantile).alias("whale"))
-    rows = trades.join(threshold, "pair_address").withColumn("hour", F.floor(F.col("sec") / seconds))
+    hourly = trades.withColumn("hour", F.floor(F.col("sec") / seconds))
+    rows = hourly.join(quantiles(trades, ["pair_address"], "amount_usd", {"whale": whale_quantile}), "pair_address", "left")
     sign = F.when(F.col("side") == "buy", 1.0).when(F.col("side") == "sell", -1.0).otherwise(0.0)
     net = F.sum(sign * F.col("amount_usd"))
     gross = F.sum(F.when(F.col("side").isNotNull(), F.col("amount_usd")).otherwise(0.0))
     buys, sells = F.count_if(F.col("side") == "buy"), F.count_if(F.col("side") == "sell")
-    return rows.groupBy("pair_address", "hour").agg(
+    found = rows.groupBy("pair_address", "hour").agg(
         F.count("*").alias("n_trades"),
         buys.alias("n_buy"),
         sells.alias("n_sell"),
@@ -122,8 +124,8 @@ def order_flow(trades: DataFrame, seconds: int = 3600, whale_quantile: float = 0
         F.coalesce(F.try_divide((buys - sells).cast("double"), F.nullif((buys + sells).cast("double"), F.lit(0.0))), F.lit(0.0)).alias("ofi_cnt"),
         F.sum(F.when(F.col("amount_usd") >= F.col("whale"), sign * F.col("amount_usd")).otherwise(0.0)).alias("whale_net_usd"),
         F.count_distinct("maker").alias("n_makers"),
-        F.median("reserve_usd").alias("reserve_usd"),
     )
+    return found.join(quantiles(hourly, ["pair_address", "hour"], "reserve_usd", {"reserve_usd": 0.5}), ["pair_address", "hour"], "left")
 
 
 def best_by_priority(rows: DataFrame, key: list[str], priority: str, fields: list[str], source: str) -> DataFrame:
@@ -157,14 +159,18 @@ def supply(transfers: DataFrame, keys: list[str], burn: list[str]) -> DataFrame:
 
 
 def concentration(held: DataFrame, keys: list[str], tops: tuple[int, ...] = (10, 50)) -> DataFrame:
-    """Holders, total, shares of the largest, Herfindahl index and Gini coefficient of balances."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("balance"), "holder")
-    up = Window.partitionBy(*keys).orderBy("balance", "holder")
-    x = held.withColumns({"rank": F.row_number().over(down), "asc": F.row_number().over(up), "total": F.sum("balance").over(Window.partitionBy(*keys))})
-    n, total = F.count("*"), F.max("total").cast("double")
-    weighted = F.sum(F.col("asc") * F.col("balance")).cast("double")
-    shares = [(F.sum(F.when(F.col("rank") <= t, F.col("balance")).otherwise(0)) / total).alias(f"top{t}") for t in tops]
-    return x.groupBy(*keys).agg(n.alias("n_holders"), F.sum("balance").alias("total"), *shares, F.sum(F.pow(F.col("balance") / F.col("total"), F.lit(2.0))).alias("hhi"), (2 * weighted / (n * total) - (n + 1) / n).alias("gini"))
+    """Holders, total, shares of the largest, Herfindahl index and Gini coefficient of balances.
+
+    From one row for each different balance with the number of smaller ones: no task holds the holders of a token.
+    """
+    v = counted(held, keys, "balance")
+    n, balance, c = F.max("n"), F.col("balance"), F.col("c")
+    larger = F.col("n") - F.col("before") - c
+    places = F.col("before") * c + F.floor(c * (c + 1) / 2)  # sum of the places that c equal balances have, from the smallest
+    totals = v.groupBy(*keys).agg(n.alias("n_holders"), F.sum(balance * c).alias("total"), F.sum(places * balance).cast("double").alias("_w"), F.sum(c * F.pow(balance.cast("double"), F.lit(2.0))).alias("_q"), *[F.sum(balance * F.greatest(F.least(c, F.lit(t) - larger), F.lit(0))).alias(f"_t{t}") for t in tops])
+    whole, holders = F.col("total").cast("double"), F.col("n_holders")
+    shares = [(F.col(f"_t{t}") / whole).alias(f"top{t}") for t in tops]
+    return totals.select(*keys, "n_holders", "total", *shares, (F.col("_q") / (whole * whole)).alias("hhi"), (2 * F.col("_w") / (holders * whole) - (holders + 1) / holders).alias("gini"))
 
 
 def wallet_position(transfers: DataFrame, keys: list[str], price: float) -> DataFrame:
@@ -200,5 +206,10 @@ def distribution(rows: DataFrame, value: str, by: list[str] | None = None, clip:
     """Count, quantiles, clipped mean and share above zero of a column; infinite values count in the mean (clipped) but not in quantiles."""
     v = F.col(value)
     finite = F.when(~v.isin(float("inf"), float("-inf")) & ~F.isnan(v), v)
-    q = [F.percentile(finite, p / 100).alias(f"p{p}") for p in (10, 25, 50, 75, 90)]
-    return rows.groupBy(*(by or [])).agg(F.count(v).alias("n"), *q, F.avg(F.least(v, F.lit(clip))).alias("mean"), F.avg((v > 0).cast("double")).alias("positive"))
+    by = by or []
+    sums = rows.groupBy(*by).agg(F.count(v).alias("n"), F.avg(F.least(v, F.lit(clip))).alias("mean"), F.avg((v > 0).cast("double")).alias("positive"))
+    q = quantiles(rows.select(*by, finite.alias("_v")), by, "_v", {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)})
+    if not by:
+        return sums.join(F.broadcast(q))  # one row each
+    q = q.withColumnsRenamed({k: f"_k_{k}" for k in by})
+    return sums.join(q, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by], "left").drop(*[f"_k_{k}" for k in by])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ammlytics.functions.columns import profit_factor
+from ammlytics.functions.ordered import running
 from ammlytics.functions.rolling import ema, hash_order, rolling
 
 PAIR = "pair_address"
@@ -24,6 +25,13 @@ def numbered(bars: DataFrame, by: str = "day", keys: tuple[str, ...] = (PAIR,))
     return bars.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(by)) - 1)
 
 
+def folds(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """rows with fold, 0 to n - 1: as many rows of the given order in each, but for one."""
+    whole = rows.agg(F.count("*").alias("_n"))
+    x = running(rows, [], order, {"_k": F.lit(1)}).join(F.broadcast(whole))  # one row
+    return x.withColumn("fold", F.floor((F.col("_k") - 1) * n / F.col("_n"))).drop("_k", "_n")
+
+
 def shifted(cond: Column) -> Column:
     """A condition known one bar later; false on the first bar and where it is unknown."""
     return F.coalesce(F.lag(cond).over(w()), F.lit(False))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ammlytics.functions.ordered import running
 from ammlytics.functions.rolling import average_rank, correlation, hash_order, rolling
 from ammlytics.operators import research as R
 from ammlytics.plans.market import rounded
@@ -129,9 +130,7 @@ def _(t):
         one = x.groupBy(P).agg(stop.alias("s"), goal.alias("p"), F.max_by("close", "i").alias("last"), F.max("ep").alias("ep"))
         one = one.select(F.lit(g).alias("g"), P, F.when(F.col("s") <= F.coalesce("p", F.lit(1_000_000_000)), -sl).when(F.col("p").isNotNull(), tp).otherwise(F.col("last") / F.col("ep") - 1).alias("ret"))
         trades = one if trades is None else trades.unionByName(one)
-    o = Window.partitionBy(F.lit(0))  # one row a pair
-    folds = t.bars.groupBy(P).agg(F.min("day").alias("first")).select(P, F.floor((F.row_number().over(o.orderBy("first", P)) - 1) * 5 / F.count("*").over(o)).alias("fold"))
-    x = trades.join(folds, P)
+    x = trades.join(R.folds(t.bars.groupBy(P).agg(F.min("day").alias("first")), ["first", P], 5).select(P, "fold"), P)
     # pooled means of the earlier folds, from a sum by fold and point
     s = x.groupBy("g", "fold").agg(F.sum("ret").alias("r"), F.count("*").alias("c"))
     test = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("test")
@@ -186,18 +185,17 @@ def _(t):
 def _(t):
     """Whole series change owners."""
     pairs = t.bars.select(P).distinct()
-    o = Window.partitionBy(F.lit(0))  # one row a pair
-    x = pairs.withColumns({"a": F.row_number().over(o.orderBy(P)), "b": F.row_number().over(o.orderBy(hash_order("swap", F.col(P)), P))})
-    own, given = x.select(F.col(P).alias("own"), F.col("a").alias("k")), x.select(P, F.col("b").alias("k"))
+    own = running(pairs.select(F.col(P).alias("own")), [], ["own"], {"k": F.lit(1)})
+    given = running(pairs.withColumn("h", hash_order("swap", F.col(P))), [], ["h", P], {"k": F.lit(1)}).drop("h")
     return t.bars.join(own.join(given, "k").drop("k"), P).select(F.col("own").alias(P), "day", "close")
 
 
-@query("block_bootstrap", "WITH d AS (SELECT avg(close) AS c, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM bars GROUP BY day), b AS (SELECT r, j, CAST(concat('0x', substr(md5(concat_ws('|', 'mb', CAST(r AS STRING), CAST(j AS STRING))), 1, 12)) AS BIGINT) % (n - 4) AS s, n FROM (SELECT DISTINCT n FROM d), range(0, 30) t(r), range(0, 100000) u(j) WHERE j * 5 < n), i AS (SELECT r, j * 5 + o AS place, s + o AS k, n FROM b, range(0, 5) v(o)), m AS (SELECT r, avg(c) AS m FROM i JOIN d USING (k) WHERE place < i.n GROUP BY 1) SELECT count(*) AS reps, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM m")
+@query("block_bootstrap", "WITH d AS (SELECT avg(close) AS c, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM bars GROUP BY day), b AS (SELECT r, j, CAST(concat('0x', substr(md5(concat_ws('|', 'mb', CAST(r AS STRING), CAST(j AS STRING))), 1, 12)) AS BIGINT) % (n - 4) AS s, n FROM (SELECT DISTINCT n FROM d), range(0, 2000) t(r), range(0, 100000) u(j) WHERE j * 5 < n), i AS (SELECT r, j * 5 + o AS place, s + o AS k, n FROM b, range(0, 5) v(o)), m AS (SELECT r, avg(c) AS m FROM i JOIN d USING (k) WHERE place < i.n GROUP BY 1) SELECT count(*) AS reps, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM m")
 def _(t):
     """Moving blocks of five days drawn with replacement, cut off at the series' length."""
     o = Window.partitionBy(F.lit(0))  # one row a day
     d = t.bars.groupBy("day").agg(F.avg("close").alias("c")).select("c", (F.row_number().over(o.orderBy("day")) - 1).alias("k"), F.count("*").over(o).alias("n"))
-    starts = d.where("k % 5 = 0").select((F.col("k") / 5).cast("long").alias("j"), "n", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("r"))
+    starts = d.where("k % 5 = 0").select((F.col("k") / 5).cast("long").alias("j"), "n", F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("r"))
     pick = F.conv(F.substring(hash_order("mb", F.col("r"), F.col("j")), 1, 12), 16, 10).cast("long") % (F.col("n") - 4)
     i = starts.withColumn("s", pick).select("r", "n", "j", "s", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("o")).where("j * 5 + o < n").select("r", (F.col("s") + F.col("o")).alias("k"))
     m = i.join(d.select("k", "c"), "k").groupBy("r").agg(F.avg("c").alias("m"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ammlytics.functions.ordered import quantiles
 from ammlytics.operators import market as M
 from ammlytics.plans.registry import query
 
@@ -109,7 +110,7 @@ def _(t):
 
 @query("whale_threshold", "SELECT pair_address, round(quantile_cont(amount_usd, 0.95), 6) AS whale FROM trades GROUP BY 1")
 def _(t):
-    return rounded(t.trades.groupBy("pair_address").agg(F.percentile("amount_usd", 0.95).alias("whale")))
+    return rounded(quantiles(t.trades, ["pair_address"], "amount_usd", {"whale": 0.95}))
 
 
 @query("daily_flow", "SELECT pair_address, sec // 86400 AS day, round(coalesce(sum(amount_usd) FILTER (WHERE side = 'buy'), 0), 6) AS buy_usd, round(coalesce(sum(amount_usd) FILTER (WHERE side = 'sell'), 0), 6) AS sell_usd, count(DISTINCT maker) FILTER (WHERE side = 'buy') AS buyers, count(*) AS n FROM trades GROUP BY 1, 2")

@@ -132,8 +132,7 @@ def _(t):
 @query("pair_folds", "SELECT pair_address, CAST((row_number() OVER (ORDER BY first, pair_address) - 1) * 5 // count(*) OVER () AS BIGINT) AS fold FROM (SELECT pair_address, min(day) AS first FROM bars GROUP BY 1)")
 def _(t):
     x = t.bars.groupBy(P).agg(F.min("day").alias("first"))
-    o = Window.partitionBy(F.lit(0))  # one row a pair
-    return x.select(P, F.floor((F.row_number().over(o.orderBy("first", P)) - 1) * 5 / F.count("*").over(o)).alias("fold"))
+    return R.folds(x, ["first", P], 5).select(P, "fold")
 
 
 @query("penalised_objective", "SELECT n, round(1 + n / (n + 10.0) * (least(n / 7.0, 10) - 1), 6) AS score FROM (SELECT DISTINCT n FROM bars)")
@@ -142,11 +141,11 @@ def _(t):
 
 
 # Resampling by hash, equal in both engines
-@query("bootstrap_mean", "WITH d AS (SELECT day, avg(close) AS c, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM bars GROUP BY 1), s AS (SELECT r, d.k, CAST(concat('0x', substr(md5(concat_ws('|', 'boot', CAST(r AS STRING), CAST(d.k AS STRING))), 1, 12)) AS BIGINT) % n AS pick FROM d, range(0, 30) t(r)), m AS (SELECT r, avg(d.c) AS m FROM s JOIN d ON d.k = s.pick GROUP BY 1) SELECT count(*) AS reps, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM m")
+@query("bootstrap_mean", "WITH d AS (SELECT day, avg(close) AS c, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS n FROM bars GROUP BY 1), s AS (SELECT r, d.k, CAST(concat('0x', substr(md5(concat_ws('|', 'boot', CAST(r AS STRING), CAST(d.k AS STRING))), 1, 12)) AS BIGINT) % n AS pick FROM d, range(0, 2000) t(r)), m AS (SELECT r, avg(d.c) AS m FROM s JOIN d ON d.k = s.pick GROUP BY 1) SELECT count(*) AS reps, round(quantile_cont(m, 0.025), 4) AS lo, round(quantile_cont(m, 0.975), 4) AS hi FROM m")
 def _(t):
     o = Window.partitionBy(F.lit(0))  # one row a day
     d = t.bars.groupBy("day").agg(F.avg("close").alias("c")).select("c", (F.row_number().over(o.orderBy("day")) - 1).alias("k"), F.count("*").over(o).alias("n"))
-    s = d.select(F.explode(F.sequence(F.lit(0), F.lit(29))).alias("r"), "k", "n").withColumn("pick", F.conv(F.substring(hash_order("boot", F.col("r"), F.col("k")), 1, 12), 16, 10).cast("long") % F.col("n"))
+    s = d.select(F.explode(F.sequence(F.lit(0), F.lit(1999))).alias("r"), "k", "n").withColumn("pick", F.conv(F.substring(hash_order("boot", F.col("r"), F.col("k")), 1, 12), 16, 10).cast("long") % F.col("n"))
     m = s.select("r", F.col("pick").alias("k")).join(d.select("k", "c"), "k").groupBy("r").agg(F.avg("c").alias("m"))
     return m.agg(F.count("*").alias("reps"), F.round(F.percentile("m", 0.025), 4).alias("lo"), F.round(F.percentile("m", 0.975), 4).alias("hi"))
 
