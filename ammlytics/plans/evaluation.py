@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ammlytics.functions.ordered import running
 from ammlytics.functions.rolling import average_rank, correlation, hash_order, rolling
+from ammlytics.operators import ranking as K
 from ammlytics.operators import research as R
 from ammlytics.plans.market import rounded
 from ammlytics.plans.registry import query
 from ammlytics.plans.research import _EMA, _IB, _PANEL, _RAW, _RET, _SHIFT, _lag, _n, daily_returns, ib, panel
+from ammlytics.session import materialised
 
 P = "pair_address"
 BRACKETS = [(0.15, 0.1, 10), (0.3, 0.2, 20), (0.05, 0.05, 5)]
@@ -228,37 +230,88 @@ def _(t):
     return rounded(features(t).select(P, "i", *FEATURES))
 
 
-@query("ml_walk_forward")
-def _(t):
-    """Boosted trees on the 13 features, expanding by calendar: each fold learns from all before it (their medians filled in, the return's daily rank as label), and its days are scored by rank correlation, top picks against the day's mean, and against a permutation of the labels."""
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
+def ml_sample_of(t):
+    """Names every seventh bar with the 13 features, the return of the next seven bars (clipped), its rank in the day as label, and one of three folds of the calendar; None without rows."""
     x = features(t).withColumn("y", F.lead("close", 7).over(R.w()) / F.col("close") - 1).where("i >= 60 and i % 7 = 0 and y is not null")
     day = Window.partitionBy("day")
     x = x.withColumns({"alive": F.count("*").over(day), "y": F.least(F.greatest("y", F.lit(-0.95)), F.lit(3.0))}).where("alive >= 3")
-    x = x.withColumn("label", average_rank(F.col("y"), ["day"]) / F.count("*").over(day))
+    x = materialised(x.withColumn("label", average_rank(F.col("y"), ["day"]) / F.count("*").over(day)))
     edges = x.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-    empty = t.spark.createDataFrame([], "fold int, days long, ic double, t double, edge double, win double, p double")
     if edges.lo is None:
-        return empty
-    x = x.withColumn("fold", F.least(F.floor(F.datediff("day", F.lit(edges.lo)) * 3 / ((edges.hi - edges.lo).days + 1)), F.lit(2)).cast("int"))
-    out = None
+        return None
+    return x.withColumn("fold", F.least(F.floor(F.datediff("day", F.lit(edges.lo)) * 3 / ((edges.hi - edges.lo).days + 1)), F.lit(2)).cast("int"))
+
+
+def ml_models(x):
+    """(fold, rows to score with medians filled in, model, assembler) of each fold but the first: boosted trees that learnt from all folds before it."""
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    filled = [f"{c}_f" for c in FEATURES]
+    assembler = VectorAssembler(inputCols=filled, outputCol="features")
     for fold in (1, 2):
         train, test = x.where(F.col("fold") < fold), x.where(F.col("fold") == fold)
-        if train.isEmpty() or test.isEmpty():
-            continue
-        imputer = Imputer(strategy="median", inputCols=FEATURES, outputCols=[f"{c}_f" for c in FEATURES]).fit(train)
-        assembler = VectorAssembler(inputCols=[f"{c}_f" for c in FEATURES], outputCol="features")
-        model = GBTRegressor(labelCol="label", maxIter=5, maxDepth=3, seed=1).fit(assembler.transform(imputer.transform(train)))
-        s = model.transform(assembler.transform(imputer.transform(test))).select("fold", "day", P, "prediction", "y")
+        if not train.isEmpty() and not test.isEmpty():
+            imputer = Imputer(strategy="median", inputCols=FEATURES, outputCols=filled).fit(train)
+            model = GBTRegressor(labelCol="label", maxIter=5, maxDepth=3, seed=1).fit(assembler.transform(imputer.transform(train)))
+            yield fold, imputer.transform(test), model, assembler
+
+
+def ml_scored(t):
+    """fold, day, pair, prediction, y out of sample; None without rows."""
+    x, out = ml_sample_of(t), None
+    for _, test, model, assembler in ml_models(x) if x is not None else ():
+        s = model.transform(assembler.transform(test)).select("fold", "day", P, "prediction", "y")
         out = s if out is None else out.unionByName(s)
-    if out is None:
-        return empty
-    null = R.shuffled(out.select("day", P, "y"), "perm", ["day"], ["y"], place=P).withColumnRenamed("y", "y0")
-    s = out.join(null, ["day", P]).withColumns({"pr": average_rank(F.col("prediction"), ["day"]), "yr": average_rank(F.col("y"), ["day"]), "y0r": average_rank(F.col("y0"), ["day"]), "top": F.row_number().over(day.orderBy(F.desc("prediction"), P))})
-    d = s.groupBy("fold", "day").agg(correlation("pr", "yr").alias("ic"), correlation("pr", "y0r").alias("ic0"), (F.avg(F.when(F.col("top") <= 3, F.col("y"))) - F.avg("y")).alias("edge"), F.count("*").alias("n")).where("n >= 5 and ic is not null")
-    return d.groupBy("fold").agg(F.count("*").alias("days"), F.avg("ic").alias("ic"), (F.avg("ic") / F.nullif(F.stddev_pop("ic"), F.lit(0.0)) * F.sqrt(F.count("*"))).alias("t"), F.avg("edge").alias("edge"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("win"), F.avg((F.col("ic0") >= F.col("ic")).cast("double")).alias("p"))
+    return None if out is None else materialised(out)
+
+
+@query("ml_walk_forward")
+def _(t):
+    """Boosted trees on the 13 features, expanding by calendar: each fold learns from all before it (their medians filled in, the return's daily rank as label), and its days are scored by rank correlation, top picks against the day's mean, and against 200 permutations of the labels."""
+    s = ml_scored(t)
+    if s is None:
+        return t.spark.createDataFrame([], "fold int, days long, ic double, t double, edge double, win double, null_mean double, null_p95 double, p double")
+    day = Window.partitionBy("fold", "day")
+    ranked = s.withColumns({"pr": average_rank(F.col("prediction"), ["day"]), "yr": average_rank(F.col("y"), ["day"]), "top": F.row_number().over(day.orderBy(F.desc("prediction"), P))})
+    d = ranked.groupBy("fold", "day").agg(correlation("pr", "yr").alias("ic"), (F.avg(F.when(F.col("top") <= 3, F.col("y"))) - F.avg("y")).alias("edge"), F.count("*").alias("n")).where("n >= 5 and ic is not null")
+    told = d.groupBy("fold").agg(F.count("*").alias("days"), F.avg("ic").alias("ic"), (F.avg("ic") / F.nullif(F.stddev_pop("ic"), F.lit(0.0)) * F.sqrt(F.count("*"))).alias("t"), F.avg("edge").alias("edge"), F.avg((F.col("ic") > 1e-9).cast("double")).alias("win"))
+    null = K.permutation_distribution(s, ["fold"], "day", P, "prediction", "y")
+    return told.join(null.select("fold", "null_mean", "null_p95", "p"), "fold", "left")
+
+
+@query("ml_importances")
+def _(t):
+    """Of each feature: its share of the trees' gain, and how much of the mean rank correlation out of sample goes when its values change names within the day; mean over folds."""
+    x, parts, gains = ml_sample_of(t), None, []
+    for fold, test, model, assembler in ml_models(x) if x is not None else ():
+        gains += [(fold, f, float(g)) for f, g in zip(FEATURES, model.featureImportances.toArray(), strict=True)]
+        variants = K.with_each_shuffled(test.select("fold", "day", P, "y", *[f"{c}_f" for c in FEATURES]), [f"{c}_f" for c in FEATURES], "day", P)
+        s = model.transform(assembler.transform(variants)).select("fold", "variant", "day", "prediction", "y")
+        ic = K.mean_ic(s, ["fold", "variant"], "day", "prediction", "y")
+        parts = ic if parts is None else parts.unionByName(ic)
+    if parts is None:
+        return t.spark.createDataFrame([], "feature string, gain double, ic double, ic_without double, drop double")
+    parts = materialised(parts)
+    whole = parts.where("variant = ''").select("fold", F.col("ic").alias("whole"))
+    one = parts.where("variant <> ''").join(F.broadcast(whole), "fold").select("fold", F.regexp_replace("variant", "_f$", "").alias("feature"), "whole", "ic")  # a row a fold
+    gain = t.spark.createDataFrame(gains, "fold int, feature string, gain double")
+    g = one.join(gain, ["fold", "feature"]).groupBy("feature").agg(F.avg("gain").alias("gain"), F.avg("whole").alias("ic"), F.avg(F.col("ic")).alias("ic_without"))
+    return rounded(g.withColumn("drop", F.col("ic") - F.col("ic_without")))
+
+
+_RANKED = "rank() OVER (PARTITION BY d ORDER BY {0}) + (count(*) OVER (PARTITION BY d, {0}) - 1) / 2.0 - (count(*) OVER (PARTITION BY d) + 1) / 2.0"
+
+
+@query("permutation_distribution", f"""WITH {_PANEL}, x AS MATERIALIZED (SELECT d, pair_address, {_RANKED.format('mom')} AS p, {_RANKED.format('fwd')} AS q, row_number() OVER (PARTITION BY d ORDER BY pair_address) AS a FROM g WHERE mom IS NOT NULL AND fwd IS NOT NULL),
+dy AS MATERIALIZED (SELECT d, sqrt(sum(p * p) * sum(q * q)) AS norm, sum(p * q) / sqrt(sum(p * p) * sum(q * q)) AS ic FROM x GROUP BY d HAVING count(*) >= 5 AND round(sqrt(sum(p * p) * sum(q * q)), 9) > 0),
+sh AS (SELECT x.d, seed, p, row_number() OVER (PARTITION BY x.d, seed ORDER BY md5(concat_ws('|', 'perm', CAST(seed AS STRING), CAST(x.d AS STRING), pair_address)), pair_address) AS a FROM x JOIN dy USING (d), range(0, 200) t(seed)),
+nl AS (SELECT seed, avg(pq / norm) AS ic0 FROM (SELECT sh.d, seed, sum(sh.p * x.q) AS pq FROM sh JOIN x ON x.d = sh.d AND x.a = sh.a GROUP BY 1, 2) JOIN dy USING (d) GROUP BY 1), re AS (SELECT count(*) AS days, avg(ic) AS ic FROM dy)
+SELECT days, round(ic, 6) AS ic, round(avg(ic0), 6) AS null_mean, round(stddev_pop(ic0), 6) AS null_sd, round(quantile_cont(ic0, 0.95), 6) AS null_p95, round((1 + count(*) FILTER (WHERE round(ic0, 9) >= round(ic, 9))) / 201.0, 6) AS p, round((ic - avg(ic0)) / stddev_pop(ic0), 4) AS z FROM nl, re GROUP BY days, ic""")
+def _(t):
+    """Mean daily rank correlation of past and next returns among 200 permutations."""
+    x = K.permutation_distribution(panel(t), [], "d", P, "mom", "fwd")
+    return x.select("days", *[F.round(c, 6).alias(c) for c in ("ic", "null_mean", "null_sd", "null_p95", "p")], F.round("z", 4).alias("z"))
 
 
 # Portfolios
