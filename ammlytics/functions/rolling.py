@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -32,17 +34,29 @@ def rsi(close: Column, w: WindowSpec, n: int) -> Column:
 
 
 def ema(df: DataFrame, keys: list[str], by: str, value: str, span: int, name: str) -> DataFrame:
-    """Exponential mean with a = 2 / (span + 1), seeded by the first value: a fold over each key's ordered array, exploded again."""
-    a = 2.0 / (span + 1)
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(by, value))).alias("s"))
-    start = F.struct(F.lit(None).cast("double").alias("e"), F.array().cast("array<double>").alias("out"))
-
-    def step(acc, x):
-        e = F.when(acc["e"].isNull(), x[value]).otherwise(a * x[value] + (1 - a) * acc["e"])
-        return F.struct(e.alias("e"), F.array_append(acc["out"], e).alias("out"))
+    """Exponential mean with a = 2 / (span + 1), seeded by the first value; ``by`` counts the rows of a key from 0, values aren't null.
 
-    folded = rows.select(*keys, "s", F.aggregate("s", start, step)["out"].alias("e"))
-    return folded.select(*keys, F.inline(F.arrays_zip(F.col("s"), F.col("e")))).select(*keys, F.col(f"s.{by}").alias(by), F.col(f"s.{value}").alias(value), F.col("e").alias(name))
+    A series is cut into blocks of at most 256 rows. Inside a block the mean is a running sum of values weighted by powers of 1 - a; what
+    comes in is the mean at the end of the block before, which is a sum over the last few blocks' own sums (what is older weighs less than
+    1e-20). So a series of any length is many groups, and what a key's task sees is a row a block.
+    """
+    a = 2.0 / (span + 1)
+    q = 1 - a
+    rows = df.select(*keys, by, value)
+    if q <= 0:
+        return rows.withColumn(name, F.col(value).cast("double"))
+    fall = -math.log(q)
+    size = max(1, min(256, int(345 / fall)))  # powers stay below 1e150
+    last = max(1, math.ceil(46 / (size * fall)))
+    at = F.col(by) % size
+    x = rows.withColumn("_b", F.floor(F.col(by) / size)).withColumn("_w", F.when(F.col(by) == 0, 1.0).otherwise(a) * F.col(value))
+    w = Window.partitionBy(*keys, "_b").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_e", F.sum(F.col("_w") * F.exp(at * fall)).over(w) * F.exp(-at * fall))
+    own = x.groupBy(*keys, "_b").agg(F.sum(F.col("_w") * F.exp((at - (size - 1)) * fall)).alias("_o"))  # at the end of a full block
+    before = F.collect_list("_o").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(-last, -1))
+    carry = own.select(*keys, "_b", F.aggregate(before, F.lit(0.0), lambda acc, o: acc * math.exp(-size * fall) + o).alias("_c"))
+    out = x.join(carry, [*keys, "_b"])
+    return out.select(*keys, by, value, (F.col("_e") + F.col("_c") * F.exp(-(at + 1) * fall)).alias(name))
 
 
 def average_rank(x: Column, keys: list[str]) -> Column:

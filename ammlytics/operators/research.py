@@ -140,14 +140,19 @@ def signal(b: DataFrame, family: str, *params) -> DataFrame:
 
 
 def _trades(a: DataFrame, keys: list[str], tp: str, sl: str, hold: str, entry: str, rule: str, gap: int) -> DataFrame:
-    """Trades of arrays: a(keys, s: ordered bars, n) with target, stop and hold as SQL (literals or columns) and the entry condition of bar s[k]."""
+    """Trades of arrays as long as a window: a(keys, s: ordered bars, n) with target, stop and hold as SQL (literals or columns) and the entry condition of bar s[k]."""
     # candidate exits: position in the array, not bar number, so that slices of a series work as well
     hit_expr = f"""transform(sequence(0, n - 1), k -> if({entry} and s[k].close > 0 and k < n - 1,
         struct(k as k, array_min(filter(sequence(k + 1, least(k + {hold}, n - 1)), j -> s[j].low <= s[k].close * (1D - {sl}) or s[j].high >= s[k].close * (1D + {tp}))) as hit), null))"""
     x = a.withColumn("c", F.expr(f"filter({hit_expr}, e -> e is not null)"))
     fold = F.expr(f"""aggregate(c, struct(0 as free, cast(array() as array<struct<k: int, hit: int>>) as kept),
         (acc, e) -> if(e.k < acc.free, acc, struct(if(e.hit is null, least(e.k + {hold}, n - 1) + {gap}, e.hit + 1) as free, array_append(acc.kept, e) as kept))).kept""")
-    t = x.withColumn("e", F.explode(fold)).withColumns({"a": F.expr("s[e.k]"), "z": F.expr(f"s[coalesce(e.hit, least(e.k + {hold}, n - 1))]")})
+    return _priced(x.withColumn("e", F.explode(fold)), keys, tp, sl, hold, rule)
+
+
+def _priced(x: DataFrame, keys: list[str], tp: str, sl: str, hold: str, rule: str) -> DataFrame:
+    """Trades of the entries e (place k, place of the bar that ends it or null) in arrays s."""
+    t = x.withColumns({"a": F.expr("s[e.k]"), "z": F.expr(f"s[coalesce(e.hit, least(e.k + {hold}, n - 1))]")})
     stop = F.expr(f"e.hit is not null and z.low <= a.close * (1D - {sl})")
     target = F.expr(f"e.hit is not null and z.high >= a.close * (1D + {tp})")
     both = F.expr({"sl_first": f"-{sl}", "tp_first": tp, "split": f"({tp} - {sl}) / 2"}[rule])
@@ -156,36 +161,77 @@ def _trades(a: DataFrame, keys: list[str], tp: str, sl: str, hold: str, entry: s
     return t.select(*keys, F.col("a.i").alias("i"), F.col("z.i").alias("j"), ret.cast("double").alias("ret"), how.alias("how"))
 
 
+#: Bars of a block of a long series, at least.
+BLOCK = 512
+
+
+def _blocks(b: DataFrame, keys: list[str], columns: list[str], hold: int) -> DataFrame:
+    """keys, _b (block), s (its bars in order, and ``hold`` bars of the next one to look ahead), own (bars that are its own), n (bars from its first one to the series' end)."""
+    size = max(BLOCK, hold)
+    block = F.floor(F.col("i") / size).cast("int")
+    there = F.when(F.col("i") % size < hold, F.array(block, block - 1)).otherwise(F.array(block))
+    ends = b.groupBy(*keys).agg(F.max("i").alias("_last"))
+    x = b.select(*keys, "i", *columns, F.explode(there).alias("_b"))
+    a = x.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("i", *columns))).alias("s"))
+    a = a.withColumn("own", F.size(F.filter("s", lambda r: r["i"] < (F.col("_b") + 1) * size))).where("own > 0")
+    return a.join(ends, keys).withColumn("n", (F.col("_last") - F.col("s")[0]["i"] + 1).cast("int")).drop("_last")
+
+
+def _one_at_a_time(a: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """a(keys, _b, s, own, n, c: candidate entries in order with place k and the place ``free`` from which on the next one may follow) with a row for each entry e that is taken when one follows another.
+
+    A block turns the place at which it is entered (0 to ``reach``) into the place at which the next one is: a map of few numbers, found from
+    its end. Mostly all places lead to the same one, so maps are composed in runs that start at such a block; then each block picks
+    its entries by itself. A series of any length is many groups and no array is longer than a block.
+    """
+    first_from = "get(filter({0}, y -> y.k >= {1}), 0).x"
+    exits = f"""aggregate(reverse(c), cast(array() as array<struct<k: int, x: int>>),
+        (acc, e) -> concat(array(struct(e.k as k, if(e.free >= own, e.free - own, coalesce({first_from.format('acc', 'e.free')}, 0)) as x)), acc))"""
+    m = a.withColumn("x", F.expr(exits)).withColumn("m", F.expr(f"transform(sequence(0, {reach}), o -> coalesce({first_from.format('x', 'o')}, greatest(o - own, 0)))"))
+    m = m.select(*keys, "_b", "m")
+    order = Window.partitionBy(*keys).orderBy("_b")
+    runs = m.withColumn("run", F.sum(F.when(F.array_min("m") == F.array_max("m"), 1).otherwise(0)).over(order))
+    composed = """aggregate(array_sort(collect_list(struct(_b, m))), struct(cast(null as int) as at, cast(array() as array<struct<_b: int, out: int>>) as ends),
+        (acc, x) -> struct(x.m[coalesce(acc.at, 0)] as at, array_append(acc.ends, struct(x._b as _b, x.m[coalesce(acc.at, 0)] as out)) as ends)).ends"""
+    ends = runs.groupBy(*keys, "run").agg(F.expr(composed).alias("ends")).select(*keys, F.inline("ends"))
+    entered = ends.select(*keys, "_b", F.coalesce(F.lag("out").over(order), F.lit(0)).alias("_at"))
+    fold = F.expr("aggregate(c, struct(_at as free, slice(c, 1, 0) as kept), (acc, e) -> if(e.k < acc.free, acc, struct(e.free as free, array_append(acc.kept, e) as kept))).kept")
+    return a.join(entered, [*keys, "_b"]).withColumn("e", F.explode(fold))
+
+
 def simulate(b: DataFrame, tp: float, sl: float, hold: int, *, keys: tuple[str, ...] = (PAIR,), rule: str = "sl_first", time_exit_gap: bool = True) -> DataFrame:
-    """Long trades, one position at a time: keys, i (entry), j (exit bar), ret before cost, how.
+    """Long trades, one position at a time: keys, i (entry), j (exit bar), ret before cost, how. i counts a series' bars without gaps.
 
     From the bar after entry the stop (low <= price (1 - sl)) or the target (high >= price (1 + tp)) ends a trade at exactly -sl or tp;
     a bar that spans both counts by ``rule`` (sl_first, tp_first, split). Else it ends at the close ``hold`` bars on or at the last bar. The
     next entry is looked for from the exit on: one bar on, after a time exit two if ``time_exit_gap``.
-
-    Each pair is one ordered array: exits by a search in its slice of at most hold bars, then one fold that skips overlapping entries.
     """
-    bars = F.array_sort(F.collect_list(F.struct("i", "entry", "high", "low", "close")))
-    a = b.groupBy(*keys).agg(bars.alias("s")).withColumn("n", F.size("s"))
-    return _trades(a, list(keys), f"{tp!r}D", f"{sl!r}D", str(hold), "s[k].entry", rule, 2 if time_exit_gap else 1)
+    gap = 2 if time_exit_gap else 1
+    a = _blocks(b, list(keys), ["entry", "high", "low", "close"], hold)
+    hit = f"array_min(filter(sequence(k + 1, least(k + {hold}, n - 1)), j -> s[j].low <= s[k].close * (1D - {sl!r}D) or s[j].high >= s[k].close * (1D + {tp!r}D)))"
+    some = f"transform(filter(sequence(0, own - 1), k -> s[k].entry and s[k].close > 0 and k < n - 1), k -> struct(k as k, {hit} as hit))"
+    c = F.expr(f"transform({some}, e -> struct(e.k as k, e.hit as hit, if(e.hit is null, least(e.k + {hold}, n - 1) + {gap}, e.hit + 1) as free))")
+    return _priced(_one_at_a_time(a.withColumn("c", c), list(keys), hold + gap), list(keys), f"{tp!r}D", f"{sl!r}D", str(hold), rule)
 
 
 def simulate_close_stop(b: DataFrame, stop: float, hold: int, keys: tuple[str, ...] = (PAIR,)) -> DataFrame:
     """Long trades from close to close: the first close at or below price (1 - stop) ends a trade there, else the close ``hold`` bars on or the last; the next entry from the bar after."""
-    a = b.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "entry", "close"))).alias("s")).withColumn("n", F.size("s"))
-    end = f"""coalesce(array_min(filter(sequence(k + 1, least(k + {hold}, n - 1)), j -> s[j].close <= s[k].close * (1D - {stop!r}D))), least(k + {hold}, n - 1))"""
-    c = F.expr(f"filter(transform(sequence(0, n - 1), k -> if(s[k].entry and s[k].close > 0 and k < n - 1, struct(k as k, {end} as z), null)), e -> e is not null)")
-    fold = F.expr("aggregate(c, struct(0 as free, cast(array() as array<struct<k: int, z: int>>) as kept), (acc, e) -> if(e.k < acc.free, acc, struct(e.z + 1 as free, array_append(acc.kept, e) as kept))).kept")
-    t = a.withColumn("c", c).withColumn("e", F.explode(fold)).select(*keys, F.expr("s[e.k]").alias("a"), F.expr("s[e.z]").alias("z"))
-    return t.select(*keys, F.col("a.i").alias("i"), F.col("z.i").alias("j"), (F.col("z.close") / F.col("a.close") - 1).alias("ret"))
+    a = _blocks(b, list(keys), ["entry", "close"], hold)
+    end = f"coalesce(array_min(filter(sequence(k + 1, least(k + {hold}, n - 1)), j -> s[j].close <= s[k].close * (1D - {stop!r}D))), least(k + {hold}, n - 1))"
+    some = f"transform(filter(sequence(0, own - 1), k -> s[k].entry and s[k].close > 0 and k < n - 1), k -> struct(k as k, {end} as z))"
+    t = _one_at_a_time(a.withColumn("c", F.expr(f"transform({some}, e -> struct(e.k as k, e.z as z, e.z + 1 as free))")), list(keys), hold + 1)
+    return _held(t, list(keys))
 
 
 def close_to_close(b: DataFrame, hold: int, keys: tuple[str, ...] = (PAIR,)) -> DataFrame:
     """Fixed holding from close to close; next entry from the bar after the exit."""
-    a = b.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "entry", "close"))).alias("s")).withColumn("n", F.size("s"))
-    fold = F.expr(f"""aggregate(filter(sequence(0, n - 1), k -> s[k].entry and k < n - 1), struct(0 as free, cast(array() as array<int>) as kept),
-        (acc, k) -> if(k < acc.free, acc, struct(least(k + {hold}, n - 1) + 1 as free, array_append(acc.kept, k) as kept))).kept""")
-    t = a.withColumn("k", F.explode(fold)).select(*keys, F.expr("s[k]").alias("a"), F.expr(f"s[least(k + {hold}, n - 1)]").alias("z"))
+    a = _blocks(b, list(keys), ["entry", "close"], hold)
+    some = f"transform(filter(sequence(0, own - 1), k -> s[k].entry and k < n - 1), k -> struct(k as k, least(k + {hold}, n - 1) as z, least(k + {hold}, n - 1) + 1 as free))"
+    return _held(_one_at_a_time(a.withColumn("c", F.expr(some)), list(keys), hold + 1), list(keys))
+
+
+def _held(t: DataFrame, keys: list[str]) -> DataFrame:
+    t = t.select(*keys, F.expr("s[e.k]").alias("a"), F.expr("s[e.z]").alias("z"))
     return t.select(*keys, F.col("a.i").alias("i"), F.col("z.i").alias("j"), (F.col("z.close") / F.col("a.close") - 1).alias("ret"))
 
 
