@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ammlytics.functions.columns import profit_factor
 from ammlytics.functions.ordered import running
 from ammlytics.functions.rolling import ema, hash_order, rolling
+from ammlytics.session import materialised
 
 PAIR = "pair_address"
 
@@ -187,8 +188,10 @@ def _one_at_a_time(a: DataFrame, keys: list[str], reach: int) -> DataFrame:
     first_from = "get(filter({0}, y -> y.k >= {1}), 0).x"
     exits = f"""aggregate(reverse(c), cast(array() as array<struct<k: int, x: int>>),
         (acc, e) -> concat(array(struct(e.k as k, if(e.free >= own, e.free - own, coalesce({first_from.format('acc', 'e.free')}, 0)) as x)), acc))"""
-    m = a.withColumn("x", F.expr(exits)).withColumn("m", F.expr(f"transform(sequence(0, {reach}), o -> coalesce({first_from.format('x', 'o')}, greatest(o - own, 0)))"))
-    m = m.select(*keys, "_b", "m")
+    a = materialised(a)  # read for the maps and for the entries
+    # the array of one binds x: as a column it would be computed again for each place
+    each = f"transform(array({exits}), x -> transform(sequence(0, {reach}), o -> coalesce({first_from.format('x', 'o')}, greatest(o - own, 0))))[0]"
+    m = a.select(*keys, "_b", F.expr(each).alias("m"))
     order = Window.partitionBy(*keys).orderBy("_b")
     runs = m.withColumn("run", F.sum(F.when(F.array_min("m") == F.array_max("m"), 1).otherwise(0)).over(order))
     composed = """aggregate(array_sort(collect_list(struct(_b, m))), struct(cast(null as int) as at, cast(array() as array<struct<_b: int, out: int>>) as ends),
