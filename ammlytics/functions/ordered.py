@@ -78,3 +78,15 @@ def quantiles(df: DataFrame, keys: list[str], value: str, at: dict[str, float])
     ends |= {f"_f_{name}": F.max(F.lit(float(share)) * (F.col("n") - 1) - place(share, 0)) for name, share in at.items()}
     g = v.groupBy(*keys).agg(*[c.alias(n) for n, c in ends.items()])
     return g.select(*keys, *[(F.col(f"{n}_0") + (F.col(f"{n}_1") - F.col(f"{n}_0")) * F.col(f"_f_{n}")).alias(n) for n in at])
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with the last value that isn't null up to and with each row of its key: within a range by a window, from the ranges before by their last values."""
+    p = placed(df, keys, order)
+    known = p.where(F.col(value).isNotNull()).groupBy("_part", *keys).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    spans = p.select("_part", *keys).distinct().withColumnsRenamed({"_part": "_p", **{k: f"_k_{k}" for k in keys}})
+    same = [F.col("_part") == F.col("_p"), *[F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]]
+    up = Window.partitionBy(*[f"_k_{k}" for k in keys]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.join(known, same, "left").select("_p", *[f"_k_{k}" for k in keys], F.last("_last", ignorenulls=True).over(up).alias("_carry"))
+    inside = p.withColumn("_in", F.last(value, ignorenulls=True).over(_inside(keys, order)))
+    return inside.join(carried, same).withColumn(name, F.coalesce("_in", "_carry")).drop("_in", "_carry", "_part", "_p", *[f"_k_{k}" for k in keys])

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ammlytics.functions.ordered import last_known
+
 
 def series(*keys: str, by: str = "day") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(by)
@@ -73,16 +75,15 @@ def hash_order(seed: str, *parts: Column) -> Column:
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, value: str, tie: str | None = None) -> DataFrame:
-    """left with the last non-null ``value`` of right at or before its time: one union, one window by key (no range join).
+    """left with the last non-null ``value`` of right at or before its time: one union in order of time, in two levels (no range join, no window over a whole key).
 
     tie: column of right that orders rows of one time; the largest is last.
     """
     order = F.col(tie) if tie else F.lit(0)
     l = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(None).cast(right.schema[tie].dataType if tie else "int").alias("_o"))  # noqa: E741
     r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), order.alias("_o"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True)
-    return both.withColumn(f"{value}_as_of", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_t", "_side", "_v", "_o")
+    both = last_known(l.unionByName(r, allowMissingColumns=True), keys, ["_t", "_side", "_o"], "_v", f"{value}_as_of")
+    return both.where("_side = 1").drop("_t", "_side", "_v", "_o")
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:

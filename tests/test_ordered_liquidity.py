@@ -51,6 +51,13 @@ def test_quantiles_are_exact(frame):
             assert got[k][name] == pytest.approx(plain[plain.k == k].v.quantile(share))
 
 
+def test_last_known_values(frame):
+    plain, df = frame
+    got = ordered.last_known(df, ["k"], ["i"], "v", "last").toPandas().sort_values("i").reset_index(drop=True)
+    plain = plain.sort_values("i").reset_index(drop=True)
+    assert np.allclose(got["last"].astype(float), plain.v.groupby(plain.k.fillna("-")).ffill(), equal_nan=True)
+
+
 def test_ordered_work_of_nothing(spark):
     df = spark.createDataFrame([], "k string, i int, v double")
     assert ordered.running(df, ["k"], ["i"], {"n": F.lit(1)}).count() == 0
