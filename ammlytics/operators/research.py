@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ammlytics.functions.columns import profit_factor
 from ammlytics.functions.ordered import running
 from ammlytics.functions.rolling import ema, hash_order, rolling
+from ammlytics.operators.correlation import participation
 from ammlytics.session import materialised
 
 PAIR = "pair_address"
@@ -358,22 +359,9 @@ def top_k(panel: DataFrame, date: str, feature: Column, k: int, *, descending: b
 
 
 def participation_ratio(returns: DataFrame, stream: str, date: str, value: str, least: int = 3) -> DataFrame:
-    """n^2 / sum of squared correlations of the streams, with the median absolute correlation; missing days count as 0.
-
-    Correlations come from sums of products over common days, one pass over pairs of streams; no matrix is built.
-    """
-    days = returns.select(date).distinct().agg(F.count("*").alias("d"))
-    s = returns.groupBy(stream).agg(F.sum(value).alias("s1"), F.sum(F.col(value) * F.col(value)).alias("s2"), F.count("*").alias("c")).where(F.col("c") >= least)
-    x = s.join(F.broadcast(days))  # one row
-    x = x.select(stream, (F.col("s1") / F.col("d")).alias("m"), (F.col("s2") / F.col("d") - F.pow(F.col("s1") / F.col("d"), F.lit(2.0))).alias("v"), "d").where("v > 1e-18")
-    a, b = (returns.select(F.col(stream).alias(f"st_{k}"), date, F.col(value).alias(f"v_{k}")) for k in "ab")
-    prod = a.join(b, date).where("st_a < st_b").groupBy("st_a", "st_b").agg(F.sum(F.col("v_a") * F.col("v_b")).alias("p"))
-    sa, sb = (x.select(F.col(stream).alias(f"st_{k}"), F.col("m").alias(f"m_{k}"), F.col("v").alias(f"s_{k}"), F.col("d").alias(f"d_{k}")) for k in "ab")
-    pairs = sa.join(sb, F.col("st_a") < F.col("st_b")).join(prod, ["st_a", "st_b"], "left")
-    corr = (F.coalesce("p", F.lit(0.0)) / F.col("d_a") - F.col("m_a") * F.col("m_b")) / F.sqrt(F.col("s_a") * F.col("s_b"))
-    c = pairs.select(corr.alias("c"))
-    n = x.agg(F.count("*").alias("n"))
-    return c.agg(F.sum(F.col("c") * F.col("c")).alias("q"), F.median(F.abs("c")).alias("median_abs_corr")).join(n).select("n", (F.col("n") * F.col("n") / (F.col("n") + 2 * F.col("q"))).alias("participation"), "median_abs_corr")
+    """n^2 / sum of squared correlations of the streams, with the median absolute correlation; missing days count as 0. One row."""
+    found = participation(returns, stream, date, value, least)
+    return returns.sparkSession.createDataFrame([found], "n long, participation double, median_abs_corr double")
 
 
 def metrics(daily: DataFrame, keys: list[str], date: str, value: str, *, geometric: bool, year: float = 365.0) -> DataFrame:
