@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ammlytics.functions import columns as C
 from ammlytics.functions.ordered import quantiles
+from ammlytics.operators import combos as O
 from ammlytics.operators import research as R
 from ammlytics.plans.amm import _GAS, _GROUP, _round_trip
 from ammlytics.plans.evaluation import _F13, features
 from ammlytics.plans.market import rounded
 from ammlytics.plans.registry import query
-from ammlytics.plans.research import _IB, _PANEL, _RET, P, _lag, _sim_sql, daily_returns, ib, panel
+from ammlytics.plans.research import _IB, _PANEL, _RET, P, _lag, _n, _sim_sql, daily_returns, ib, panel
 from ammlytics.plans.studies import _MKT, regimes
 from ammlytics.session import materialised
 
@@ -220,3 +221,56 @@ def _(t):
     n, bad = F.count("*"), F.count_if("bad")
     lost = F.coalesce(F.avg(F.when(taken, F.col("fee"))), F.lit(0.0)) * bad / 1e9
     return x.groupBy("pool").agg(n.alias("total"), bad.alias("reverts"), F.round(bad / n, 6).alias("rate"), F.count_if(taken).alias("sampled"), F.round(lost, 9).alias("lost_native"))
+
+
+# Combinations -----------------------------------------------------------------------------------------------------------------
+def _setting_sql(a, n, t):
+    if a == "momentum":
+        return f"c1 / {_lag('c1', n)} - 1 > {t}"
+    if a == "breakout":
+        return f"c1 >= {_n('max', 'c1', n)}"
+    if a == "reversion":
+        return f"(c1 - {_n('avg', 'c1', n)}) / nullif({_n('stddev_samp', 'c1', n)}, 0) < -{t}"
+    return f"v1 > {t} * {_n('avg', 'v1', n)} AND c1 / {_lag('c1')} - 1 > 0"
+
+
+_ENDS = ", ".join(f"coalesce(min(b.i) FILTER (WHERE b.i <= a.i + {hold} AND b.close <= a.close * {1 - stop!r}), least(a.i + {hold}, a.n - 1)) AS z{k}" for k, (hold, stop) in enumerate(O.BRACKETS))
+_CORPUS = f"""{_IB}, q AS (SELECT min(day) AS lo, max(day) AS hi FROM bars), sg AS MATERIALIZED (SELECT pair_address, i, day, close, count(*) OVER (PARTITION BY pair_address) AS n, day - lo < 0.6 * (hi - lo) AS part, [{', '.join(f'coalesce({_setting_sql(*x)}, false)' for x in O.SETTINGS)}] AS sigs FROM (SELECT *, {_lag('close')} AS c1, {_lag('coalesce(volume, 0)')} AS v1 FROM ib), q),
+ex AS MATERIALIZED (SELECT a.pair_address, a.i, {_ENDS} FROM sg a JOIN sg b ON b.pair_address = a.pair_address AND b.i > a.i AND b.i <= a.i + 14 WHERE a.i < a.n - 1 GROUP BY a.pair_address, a.i, a.n),
+en AS (SELECT pair_address, i, unnest(range(0, {len(O.BRACKETS)})) AS k, unnest([{', '.join(f'z{k}' for k in range(len(O.BRACKETS)))}]) AS z FROM ex),
+er AS MATERIALIZED (SELECT en.*, y.close / x.close - 1 AS ret, x.part FROM en JOIN sg x ON x.pair_address = en.pair_address AND x.i = en.i JOIN sg y ON y.pair_address = en.pair_address AND y.i = en.z),
+co AS (SELECT pair_address, {_COST} AS cost FROM meta), cb(combo, g, k) AS (VALUES {', '.join(f"('{n}', {g}, {k})" for n, g, k in O.names())}),
+on_ AS (SELECT pair_address, i, unnest(range(0, {len(O.SETTINGS)})) AS g, unnest(sigs) AS hit FROM sg),
+ca AS (SELECT combo, on_.pair_address, part, list({{'i': CAST(er.i AS BIGINT), 'free': CAST(z + 1 AS BIGINT), 'n': 0::BIGINT, 'g': 0::DOUBLE, 'l': 0::DOUBLE, 'net': ret - cost}} ORDER BY er.i) AS c FROM on_ JOIN cb ON cb.g = on_.g AND hit JOIN er ON er.pair_address = on_.pair_address AND er.i = on_.i AND er.k = cb.k JOIN co ON co.pair_address = on_.pair_address GROUP BY 1, 2, 3),
+fo AS MATERIALIZED (SELECT combo, pair_address, part, list_reduce(c, lambda a, x: CASE WHEN x.i >= a.free THEN {{'i': x.i, 'free': x.free, 'n': a.n + 1, 'g': a.g + greatest(x.net, 0), 'l': a.l + least(x.net, 0), 'net': a.net + x.net}} ELSE a END, {{'i': -1::BIGINT, 'free': -1::BIGINT, 'n': 0::BIGINT, 'g': 0::DOUBLE, 'l': 0::DOUBLE, 'net': 0::DOUBLE}}) AS r FROM ca)"""
+
+
+def _pf_of(part):
+    g, l = f"coalesce(sum(r.g) FILTER (WHERE {part}), 0)", f"coalesce(sum(r.l) FILTER (WHERE {part}), 0)"  # noqa: E741
+    return f"CASE WHEN {l} < 0 THEN {g} / -{l} WHEN {g} > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END"
+
+
+_SIDES = f"CAST(coalesce(sum(r.n) FILTER (WHERE part), 0) AS BIGINT) AS is_n, CAST(coalesce(sum(r.n) FILTER (WHERE NOT part), 0) AS BIGINT) AS oos_n, round({_pf_of('part')}, 6) AS is_pf, round({_pf_of('NOT part')}, 6) AS oos_pf, round(coalesce(sum(r.net) FILTER (WHERE NOT part), 0), 6) AS oos_net"
+
+
+def combo_trades(t):
+    """The trades of 204 combinations, and each pair's cost of a round trip."""
+    edge = F.broadcast(t.bars.agg(F.min("day").alias("lo"), F.max("day").alias("hi")))  # one row
+    b = R.numbered(t.bars).join(edge).withColumn("part", F.datediff("day", "lo") < 0.6 * F.datediff("hi", "lo"))
+    cost = t.meta.select(P, C.study_cost(F.col("chain"), F.col("reserve_usd")).alias("cost"))
+    return O.trades(O.with_settings(b.select(P, "i", "close", "volume", "part"))), cost
+
+
+@query("combo_pooled", f"WITH {_CORPUS} SELECT combo, {_SIDES}, round({_pf_of('part')}, 6) > 1 AND coalesce(sum(r.n) FILTER (WHERE part), 0) >= 20 AS chosen FROM fo GROUP BY combo")
+def _(t):
+    """Every combination of the grid pooled over all pairs: before and after 60 % of the calendar, chosen if it made money before."""
+    tape, cost = combo_trades(t)
+    out = rounded(O.scored(tape, ["combo"], cost))
+    return out.withColumn("chosen", (F.col("is_pf") > 1) & (F.col("is_n") >= 20))
+
+
+@query("combo_corpus", f"WITH {_CORPUS}, s AS (SELECT combo, pair_address, {_SIDES} FROM fo GROUP BY 1, 2) SELECT * FROM s WHERE is_n >= 5 AND is_pf > 1 AND oos_n > 0")
+def _(t):
+    """Strategies of a combination and a pair that made money in sample, with what they made after."""
+    tape, cost = combo_trades(t)
+    return rounded(O.scored(tape, ["combo", P], cost)).where("is_n >= 5 and is_pf > 1 and oos_n > 0")

@@ -77,3 +77,26 @@ def test_a_long_series_is_many_groups(spark):
     blocks = R._blocks(df, ["pair_address"], ["entry", "close"], 10)
     assert blocks.count() == 40 and blocks.agg(F.max(F.size("s"))).first()[0] <= R.BLOCK + 10
     assert R.simulate(df, 0.5, 0.5, 10).count() == 20_000 // 14 + 1
+
+
+def test_combinations_in_blocks_are_those_of_whole_series(spark, monkeypatch):
+    from ammlytics.operators import combos as O
+
+    rows = [(p, i, x, 100.0 + (i * 7919) % 301, i < 60) for p in ("a", "b") for i, (_, _, x, *_) in enumerate(made(100 if p == "a" else 41, 0, 5, p))]
+    df = spark.createDataFrame(rows, "pair_address string, i int, close double, volume double, part boolean")
+    found = []
+    for size in (4096, 16):
+        monkeypatch.setattr(R, "BLOCK", size)
+        got = O.trades(O.with_settings(df)).collect()
+        found.append(sorted((r["combo"], r["pair_address"], r["part"], round(r["ret"], 9)) for r in got))
+    assert found[0] == found[1] and len(O.names()) == 204
+    closes = {p: [r[2] for r in rows if r[0] == p] for p in ("a", "b")}
+    for p, c in closes.items():  # one of them by a loop
+        want, i = [], 0
+        while i < len(c) - 1:
+            if i > 5 and c[i - 1] / c[i - 6] - 1 > 0.05 and i < 60:
+                end = next((j for j in range(i + 1, min(i + 7, len(c) - 1) + 1) if c[j] <= c[i] * 0.85), min(i + 7, len(c) - 1))
+                want.append(round(c[end] / c[i] - 1, 9))
+                i = end
+            i += 1
+        assert sorted(want) == [x[3] for x in found[0] if x[:3] == ("momentum_L5_t0.05_h7_s0.15", p, True)]
