@@ -26,7 +26,7 @@ def permutation_distribution(rows: DataFrame, keys: list[str], date: str, name:
 
     Ranks are made once. A permutation gives each name the y of the name at the place that its hash has in the day's order, so a
     seed costs one more row a name and a join of places; no label is shuffled and no model fitted anew. Rows without score or y take no
-    part. p = (1 + permutations that do as well) / (seeds + 1).
+    part. p = (1 + permutations that do as well) / (seeds + 1). Without such days there is no row.
     """
     day = [*keys, date]
     x = rows.where(F.col(score).isNotNull() & F.col(y).isNotNull()).select(*day, name, score, y)
@@ -43,7 +43,7 @@ def permutation_distribution(rows: DataFrame, keys: list[str], date: str, name:
     told = both.groupBy(*keys).agg(F.first("days").alias("days"), F.first("ic").alias("ic"), F.avg("ic0").alias("null_mean"), F.stddev_pop("ic0").alias("null_sd"), ((1 + F.count_if(F.round("ic0", 9) >= F.round("ic", 9))) / F.lit(seeds + 1.0)).alias("p"))
     q = quantiles(null, keys, "ic0", {"null_p95": 0.95})
     told = told.join(q, keys) if keys else told.join(F.broadcast(q))  # one row
-    return told.withColumn("z", F.try_divide(F.col("ic") - F.col("null_mean"), F.when(F.round("null_sd", 12) > 0, F.col("null_sd"))))
+    return told.where("days > 0").withColumn("z", F.try_divide(F.col("ic") - F.col("null_mean"), F.when(F.round("null_sd", 12) > 0, F.col("null_sd"))))
 
 
 def mean_ic(rows: DataFrame, keys: list[str], date: str, score: str, y: str, least: int = 5) -> DataFrame:

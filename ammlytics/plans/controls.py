@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ammlytics.functions import columns as C
-from ammlytics.functions.ordered import quantiles
+from ammlytics.functions.ordered import quantiles, running
+from ammlytics.functions.rolling import hash_order
 from ammlytics.operators import combos as O
 from ammlytics.operators import research as R
 from ammlytics.plans.amm import _GAS, _GROUP, _round_trip
@@ -274,3 +275,53 @@ def _(t):
     """Strategies of a combination and a pair that made money in sample, with what they made after."""
     tape, cost = combo_trades(t)
     return rounded(O.scored(tape, ["combo", P], cost)).where("is_n >= 5 and is_pf > 1 and oos_n > 0")
+
+
+# Launches: earlier coins choose for later ones --------------------------------------------------------------------------------
+#: Entry ages, targets, stops, holdings.
+_POINTS = [(t, tp, sl, mh) for t in (0, 1, 2, 3, 5, 7, 10) for tp in (0.15, 0.3, 0.5, 1.0) for sl in (0.1, 0.2, 0.3) for mh in (5, 10, 20, 40)]
+_LAST_BAR = max(t + mh for t, _, _, mh in _POINTS)
+FOLDS = 4
+
+
+def launch_trades(t):
+    """g (grid point), pair, net of the one trade of every pair at every point: entered at an age, out at the stop, the target or the holding's end."""
+    b = R.numbered(t.bars).select(P, "i", "high", "low", "close")
+    n = b.groupBy(P).agg(F.count("*").alias("n"))
+    a = b.where(F.col("i") <= _LAST_BAR).groupBy(P).agg(F.array_sort(F.collect_list(F.struct("i", "high", "low", "close"))).alias("s")).join(n, P)  # some 50 bars of a pair
+    points = F.array(*[F.struct(F.lit(g).alias("g"), F.lit(age).alias("t"), F.lit(tp).alias("tp"), F.lit(sl).alias("sl"), F.lit(mh).alias("mh")) for g, (age, tp, sl, mh) in enumerate(_POINTS)])
+    x = a.withColumn("point", F.explode(points)).select(P, "s", "n", "point.*").where("t < n - 1 and s[t].close > 0").withColumn("e", F.expr("cast(least(t + mh, n - 1) as int)"))
+    x = x.withColumn("hit", F.expr("array_min(filter(sequence(t + 1, e), j -> s[j].low <= s[t].close * (1 - sl) or s[j].high >= s[t].close * (1 + tp)))"))
+    ret = F.expr("if(hit is null, s[e].close / s[t].close - 1, if(s[hit].low <= s[t].close * (1 - sl), -sl, tp))")
+    cost = t.meta.select(P, C.study_cost(F.col("chain"), F.col("reserve_usd")).alias("cost"))
+    return x.select("g", P, ret.alias("ret")).join(cost, P).select("g", P, (F.col("ret") - F.col("cost")).alias("net"))
+
+
+@query("launch_grid_walk_forward", f"""WITH {_IB}, pt(g, t, tp, sl, mh) AS (VALUES {', '.join(f'({g}, {a}, {b}::DOUBLE, {c}::DOUBLE, {d})' for g, (a, b, c, d) in enumerate(_POINTS))}), nn AS (SELECT pair_address, count(*) AS n FROM ib GROUP BY 1),
+h AS (SELECT e.pair_address, g, tp, sl, e.close AS ep, least(t + mh, nn.n - 1) AS fin, min(b.i) FILTER (WHERE b.low <= e.close * (1 - sl) OR b.high >= e.close * (1 + tp)) AS hit FROM ib e JOIN nn USING (pair_address) JOIN pt ON pt.t = e.i JOIN ib b ON b.pair_address = e.pair_address AND b.i > t AND b.i <= least(t + mh, nn.n - 1) WHERE t < nn.n - 1 AND e.close > 0 GROUP BY ALL),
+tr AS MATERIALIZED (SELECT h.pair_address, g, CASE WHEN hit IS NULL THEN z.close / ep - 1 WHEN z.low <= ep * (1 - sl) THEN -sl ELSE tp END - {_COST} AS net FROM h JOIN ib z ON z.pair_address = h.pair_address AND z.i = coalesce(hit, fin) JOIN meta ON meta.pair_address = h.pair_address),
+fd AS (SELECT pair_address, a, h, least((a - 1) // (m // 4), 3) AS fold, m // 4 AS size FROM (SELECT pair_address, row_number() OVER (ORDER BY pair_address) AS a, row_number() OVER (ORDER BY md5(concat_ws('|', 'launch', pair_address)), pair_address) AS h, count(*) OVER () AS m FROM nn) WHERE m >= 4),
+sm AS (SELECT fold, g, sum(greatest(net, 0)) AS gain, sum(least(net, 0)) AS loss, count(*) AS n, max(size) AS size FROM tr JOIN fd USING (pair_address) GROUP BY 1, 2), ts(test) AS (VALUES (1), (2), (3)),
+sc AS (SELECT test, g, round(CASE WHEN sum(loss) < 0 THEN sum(gain) / -sum(loss) WHEN sum(gain) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END, 9) AS pf FROM sm JOIN ts ON fold < test GROUP BY 1, 2 HAVING sum(n) >= 10 AND test * max(size) >= 10),
+ch AS (SELECT test, g FROM sc QUALIFY row_number() OVER (PARTITION BY test ORDER BY pf DESC, g) = 1),
+oo AS (SELECT 'real' AS series, test, ch.g, net FROM ch JOIN fd ON fold = test JOIN tr ON tr.g = ch.g AND tr.pair_address = fd.pair_address UNION ALL SELECT 'null', test, ch.g, net FROM ch JOIN fd ON fold = test JOIN fd o ON o.h = fd.a JOIN tr ON tr.g = ch.g AND tr.pair_address = o.pair_address)
+SELECT series, CAST(test AS BIGINT) AS fold, CAST(t AS INTEGER) AS age, tp, sl, CAST(mh AS INTEGER) AS hold, count(*) AS n, round(sum(net), 6) AS net, round(avg(net), 6) AS mean, round(avg(CASE WHEN net > 0 THEN 1.0 ELSE 0 END), 6) AS win FROM oo JOIN pt USING (g) GROUP BY ALL""")
+def _(t):
+    """Of 336 ways to trade a launch the one that did best on the coins of earlier folds (by profit factor) is traded on the next fold, and, as a null, on other coins than the fold's."""
+    tape = materialised(launch_trades(t))
+    pairs = t.bars.select(P).distinct()
+    size = pairs.agg(F.floor(F.count("*") / FOLDS).alias("size")).where("size > 0")
+    a = running(pairs, [], [P], {"a": F.lit(1)})
+    h = running(pairs.withColumn("_h", hash_order("launch", F.col(P))), [], ["_h", P], {"h": F.lit(1)}).drop("_h")
+    f = materialised(a.join(h, P).join(F.broadcast(size)).withColumn("fold", F.least(F.floor((F.col("a") - 1) / F.col("size")), F.lit(FOLDS - 1))))  # one row
+    sums = tape.join(f, P).groupBy("fold", "g").agg(F.sum(F.greatest("net", F.lit(0.0))).alias("gain"), F.sum(F.least("net", F.lit(0.0))).alias("loss"), F.count("*").alias("n"), F.max("size").alias("size"))
+    tests = sums.withColumn("test", F.explode(F.array(*[F.lit(k).cast("long") for k in range(1, FOLDS)]))).where("fold < test")
+    scores = tests.groupBy("test", "g").agg(F.round(C.profit_factor(F.sum("gain"), F.sum("loss")), 9).alias("pf"), F.sum("n").alias("n"), F.max("size").alias("size")).where("n >= 10 and test * size >= 10")
+    best = scores.withColumn("r", F.row_number().over(Window.partitionBy("test").orderBy(F.desc("pf"), "g"))).where("r = 1").select(F.col("test").alias("fold"), "g")  # a row a fold
+    own = f.join(F.broadcast(best), "fold").select("fold", "g", "a", P)
+    real = own.join(tape, ["g", P]).select(F.lit("real").alias("series"), "fold", "g", "net")
+    others = f.select(F.col("h").alias("a"), F.col(P).alias("_other"))
+    null = own.drop(P).join(others, "a").withColumnRenamed("_other", P).join(tape, ["g", P]).select(F.lit("null").alias("series"), "fold", "g", "net")
+    table = t.spark.createDataFrame([(g, *x) for g, x in enumerate(_POINTS)], "g int, age int, tp double, sl double, hold int")
+    o = real.unionByName(null).groupBy("series", "fold", "g").agg(F.count("*").alias("n"), F.sum("net").alias("net"), F.avg("net").alias("mean"), F.avg((F.col("net") > 0).cast("double")).alias("win"))
+    return rounded(o.join(F.broadcast(table), "g").select("series", "fold", "age", "tp", "sl", "hold", "n", "net", "mean", "win"))  # 336 rows

@@ -53,6 +53,7 @@ def test_distribution_by_keys_and_of_nothing(spark):
     got = {r["k"]: (r["ic"], r["p"]) for r in K.permutation_distribution(df, ["k"], "d", "name", "s", "y", seeds=20).collect()}
     assert got["a"] == got["b"]
     assert K.permutation_distribution(df.where("d > 99"), ["k"], "d", "name", "s", "y", seeds=3).count() == 0
+    assert K.permutation_distribution(df.where("d > 99"), [], "d", "name", "s", "y", seeds=3).count() == 0
     assert K.mean_ic(df, ["k"], "d", "s", "y").count() == 2
 
 
