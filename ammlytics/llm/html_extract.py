@@ -6,8 +6,9 @@ several templates of a host don't hide each other. Over all pages aligned, each
 same text in the node matched with it, and a slot where they vary: constant nodes are template, slots are content. What matches nothing is
 content too.
 
-A page's text is what stands in the article, main or else the whole body, without what tags, roles, classes and ids mark as boilerplate,
-and without the template; prose inside an article or main has to be the same on nearly all pages aligned to be template.
+A page's text is what stands in the article (or articles side by side), main or else the whole body, without what tags, roles, classes and
+ids mark as boilerplate, and without the template; a name that has a word of another kind in it marks nothing, and marks by name and forms
+that hold nearly all prose of a page are lifted; prose inside an article or main has to be the same on nearly all pages aligned to be template.
 
 A page is read by a forgiving tokenizer: unclosed elements end with their parents, a comment or script that never ends takes the
 rest, unknown end tags are ignored, a quote in a tag that isn't closed before the next tag counts as a character. Inside a block white
@@ -27,6 +28,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -71,6 +73,12 @@ _BAD = frozenset(
 )
 _HEADER = frozenset("header head".split())
 _GOOD = frozenset("article content main post entry story body text page".split())
+#: These mark a node in any name; the others do where the whole name consists of marks and of words of place and form.
+_FIRM = frozenset("comment comments reply replies discussion disqus respond ad ads advert adverts advertisement advertising sponsored sponsor promo taboola outbrain related cookie cookies gdpr".split())
+_PLACES = frozenset(
+    "site page global main top bottom left right upper lower inner outer primary secondary header head box bar block area panel slot unit zone section region container wrapper wrap holder group row col column "
+    "list item items link links button buttons btn icon icons title heading label form field input text content body post posts article articles entry story el js is the and us my user".split()
+)
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 
@@ -78,32 +86,114 @@ _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 class Node:
     """An element; at: a hash of its path."""
 
-    __slots__ = ("at", "children", "label", "parent", "root", "skip", "tag")
+    __slots__ = ("at", "children", "cover", "inside", "label", "mark", "parent", "root", "skip", "tag", "trunk")
 
-    def __init__(self, tag, label, parent, skip, root):
-        self.tag, self.label, self.parent, self.skip, self.root = tag, label, parent, skip, root
+    def __init__(self, tag, label, parent, mark=None, trunk=False):
+        self.tag, self.label, self.parent, self.trunk = tag, label, parent, trunk
+        self.inside = trunk or (parent is not None and parent.inside)  # an article or main, or in one
+        self.mark, self.skip, self.root = mark, False, None
+        self.cover = self if mark or parent is None else parent.cover  # the nearest marked node around
         self.children: list[Node] = []
         x = ((parent.at if parent is not None else 0) ^ zlib.crc32(label.encode("utf-8", "replace"))) * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019
         self.at = (x ^ x >> 29) & 0x7FFFFFFFFFFFFFFF
 
 
-def _marked(tag: str, attrs: dict, in_article: bool) -> bool:
-    """Do tag, role, class or id say that this is no main text?"""
-    if tag in _DROPPED or (tag == "header" and not in_article):
-        return True
-    if not attrs:
-        return False
+#: Marks: HARD ones always count; FIRM and SOFT ones unless they would take what the page is about. FIRM: by name alone; SOFT: of several names, and a form.
+HARD, FIRM, SOFT = 1, 2, 3
+
+
+def _marked(tag: str, attrs: dict, in_article: bool) -> int | None:
+    """Which mark tag, role, class or id give: whether they say that this is no main text."""
+    if (tag in _DROPPED and tag != "form") or (tag == "header" and not in_article):
+        return HARD
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower() or attrs.get("role", "").lower() in _BAD_ROLES:
-        return True
+        return HARD
+    if tag == "form":
+        return SOFT
+    if not attrs or tag in ("html", "body", "main"):
+        return None
+    soft = others = False
     for name in (*attrs.get("class", "").split(), attrs.get("id", "")):
         words = [w.lower() for w in _SPLIT.split(name) if w]
-        if tag in ("html", "body", "main") or (words and words[0] in ("no", "with", "has", "without")):
+        if not words or words[0] in ("no", "with", "has", "without"):
+            others |= bool(words)
+            continue
+        if any(w in _FIRM for w in words):
+            return FIRM
+        # a foreign word ("overflow-hidden", "legal-news") makes another name of it
+        if any(w in _BAD or (w in _HEADER and not in_article) for w in words) and all(w in _BAD or w in _PLACES or w.isdigit() for w in words) and ("sidebar" in words or not _GOOD & set(words)):
+            soft = True
+        else:
+            others = True
+    return (SOFT if others else FIRM) if soft else None
+
+
+@lru_cache(4096)
+def _element(tag: str, inner: str, in_article: bool) -> tuple[str, int | None, bool]:
+    """Of a start tag and what stands in it: label, mark, and whether it is an article or main."""
+    attrs: dict[str, str] = {}
+    for a in _ATTR.finditer(inner):
+        attrs.setdefault(a[1].lower(), entities.unescape(a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""))
+    trunk = tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop") == "articleBody"
+    return f"{tag}.{attrs.get('class', '')}", _marked(tag, attrs, in_article), trunk
+
+
+def _weights(nodes: list[Node], sizes: dict[int, int]) -> dict[int, int]:
+    """Of each node (by id) how much of the sizes is inside it; nodes: parents first."""
+    held = dict(sizes)
+    for node in reversed(nodes):
+        if (n := held.get(id(node))) and node.parent is not None:
+            held[id(node.parent)] = held.get(id(node.parent), 0) + n
+    return held
+
+
+def _settle(nodes: list[Node]) -> None:
+    """What is skipped, by the marks, and each node's article root."""
+    for node in nodes:
+        up = node.parent
+        if up is None:
+            continue
+        node.skip = up.skip or node.mark is not None
+        node.root = up.root or (node if node.trunk and not node.skip else None)
+
+
+def _judge(nodes: list[Node], blocks: list[tuple[Node, str]]) -> None:
+    """Settles what is skipped; lifts FIRM and SOFT marks from blocks that hold nearly all prose of a page which keeps hardly any without them.
+
+    A mark is lifted where half of all prose that no HARD mark takes is inside, and four times what the page keeps (more than that, if an article or main
+    is inside and none is kept). FIRM marks are lifted only from what has an article or main and a first heading, forms only where prose outweighs the fields.
+    """
+    _settle(nodes)
+    if not any(node.mark in (FIRM, SOFT) for node in nodes):
+        return
+    hard: dict[int, bool] = {}
+    for node in nodes:
+        hard[id(node)] = node.mark == HARD and node.tag not in _FIELDS or (node.parent is not None and hard[id(node.parent)])
+    prose: dict[int, int] = {}
+    kept = own = 0
+    for node, text in blocks:
+        if node.tag in _PROSE and not hard[id(node)]:
+            prose[id(node)] = prose.get(id(node), 0) + len(text)
+            kept += 0 if node.skip else len(text)
+            own += len(text) if node.root is not None and not node.skip else 0
+    whole = sum(prose.values())
+    if kept * 2 >= whole:
+        return
+    held, trunks, heads, fields = (
+        _weights(nodes, x) for x in (prose, *({id(x): 1 for x in nodes if not hard[id(x)] and is_(x)} for is_ in (lambda x: x.trunk, lambda x: x.tag == "h1", lambda x: x.tag in _FIELDS)))
+    )
+    for node in nodes:
+        n, trunk = held.get(id(node), 0), trunks.get(id(node), 0)
+        if node.mark not in (FIRM, SOFT) or node.tag in _INLINE or n * 2 <= whole or n <= kept * (1 if trunk and not own else 4):
             continue
-        if any(w in _BAD or (w in _HEADER and not in_article) for w in words):
-            strong = {"comment", "comments", "reply", "replies", "discussion", "ad", "ads", "advert", "advertisement", "related", "sidebar", "cookie", "promo", "sponsored"}
-            if strong & set(words) or not _GOOD & set(words):
-                return True
-    return False
+        if (node.mark == SOFT or (trunk and heads.get(id(node)))) and (node.tag != "form" or n > FIELD * fields.get(id(node), 0)):
+            node.mark = None
+    _settle(nodes)
+
+
+_FIELDS = frozenset("input select textarea".split())
+#: Characters of prose that a field of a form weighs.
+FIELD = 20
 
 
 class _Quotes:
@@ -132,8 +222,8 @@ class _Quotes:
 def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The DOM tree, and all blocks of text with the node that each begins in."""
     quotes, opened = _Quotes(page), Counter()
-    top = Node("#", "#", None, False, None)
-    at, blocks = top, []
+    top = Node("#", "#", None)
+    at, blocks, nodes = top, [], [top]
     buffer: list[str] = []
     holder: Node | None = None
     place = 0
@@ -151,7 +241,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         nonlocal holder
         if text:
             text = entities.unescape(text) if "&" in text else text
-            if holder is None or (holder.skip != at.skip):
+            if holder is None or holder.cover is not at.cover:
                 if holder is not None:
                     flush()
                 holder = at
@@ -202,10 +292,6 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
             if buffer and tag == "br":
                 buffer.append(" ")
             continue
-        attrs = {}
-        if inner:
-            for a in _ATTR.finditer(inner):
-                attrs.setdefault(a[1].lower(), entities.unescape(a[2] if a[2] is not None else a[3] if a[3] is not None else a[4] or ""))
         inline = tag in _INLINE
         if not inline:
             flush()
@@ -226,12 +312,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
                         leave_at(node)
                         break
                     node = node.parent
-        root = at.root
-        node = Node(tag, f"{tag}.{attrs.get('class', '')}", at, False, root)
-        node.skip = at.skip or _marked(tag, attrs, root is not None)
-        if tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop") == "articleBody":
-            if root is None and not node.skip:
-                node.root = node
+        label, mark, trunk = _element(tag, inner, at.inside) if len(inner) < 300 else _element.__wrapped__(tag, inner, at.inside)
+        node = Node(tag, label, at, mark, trunk)
+        nodes.append(node)
         at.children.append(node)
         if tag in _VOID or inner.endswith("/") and tag not in _RAW:
             continue
@@ -242,6 +325,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str]]]:
         at = node
         opened[tag] += 1
     flush()
+    _judge(nodes, blocks)
     return top, blocks
 
 
@@ -315,7 +399,8 @@ class Tree:
 
 #: Weight of a matched node; an equal text weighs 1, so it only decides between matchings of one size.
 NODE = 1 << 20
-#: Pairs of children from which on equal structure at both ends is matched at once.
+#: Pairs of children from which on equal structure at both ends is matched at once. A largest matching always has those pairs (any other partner
+#: of either could be exchanged for it), so its size is the same; only which of several largest ones is taken, by equal texts, may differ.
 LONG_LISTS = 250_000
 
 
@@ -440,18 +525,21 @@ def gone(top: Node, blocks: list[tuple[Node, str]], wrappers) -> set[int]:
 
 
 def chosen_text(blocks: list[tuple[Node, str]], template: set[int] = frozenset()) -> str:
-    """Main text of a page's blocks."""
+    """Main text of a page's blocks: of its heaviest article or main, and those beside it under the same parent with the same tag."""
     weight: dict[int, int] = {}
+    parent: dict[int, tuple] = {}
     open_ = 0
     for node, text in blocks:
         if not node.skip:
             open_ += len(text)
             if node.root is not None:
                 weight[id(node.root)] = weight.get(id(node.root), 0) + len(text)
+                parent[id(node.root)] = id(node.root.parent), node.root.tag
     chosen = max(weight, key=weight.get) if weight else None
-    if chosen is not None and weight[chosen] * 5 < open_:
-        chosen = None
-    return "\n".join(text for n, (node, text) in enumerate(blocks) if not node.skip and (chosen is None or id(node.root) == chosen) and n not in template)
+    beside = {x for x in parent if parent[x] == parent[chosen]} if chosen is not None else set()
+    if sum(weight[x] for x in beside) * 5 < open_:
+        beside = set()
+    return "\n".join(text for n, (node, text) in enumerate(blocks) if not node.skip and (not beside or id(node.root) in beside) and n not in template)
 
 
 def host(url: str | None) -> str | None:
