@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ammlytics.functions import columns as C
-from ammlytics.functions.rolling import average_rank, correlation, hash_order, rolling
+from ammlytics.functions.rolling import average_rank, correlation, hash_order, quotient, rolling
 from ammlytics.operators import market as M
 from ammlytics.operators import research as R
 from ammlytics.plans.market import rounded
@@ -64,7 +64,7 @@ def _(t):
 
 @query("flow_predicts", f"WITH {_FLOW}, n AS (SELECT pair_address, imb, lead(close, 1) OVER (PARTITION BY pair_address ORDER BY i) / close - 1 AS fwd FROM f WHERE imb IS NOT NULL), v AS (SELECT * FROM n WHERE fwd IS NOT NULL), a AS (SELECT pair_address, rank() OVER (PARTITION BY pair_address ORDER BY imb) + (count(*) OVER (PARTITION BY pair_address, imb) - 1) / 2.0 AS x, rank() OVER (PARTITION BY pair_address ORDER BY fwd) + (count(*) OVER (PARTITION BY pair_address, fwd) - 1) / 2.0 AS y FROM v), c AS (SELECT pair_address, corr(x, y) AS ic, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 20) SELECT count(*) AS pairs, round(avg(ic), 6) AS mean, round(median(ic), 6) AS median FROM c")
 def _(t):
-    v = flow(t).where("imb is not null").withColumn("fwd", F.lead("close").over(R.w()) / F.col("close") - 1).where("fwd is not null")
+    v = flow(t).where("imb is not null").withColumn("fwd", quotient(F.lead("close").over(R.w()), F.col("close")) - 1).where("fwd is not null")
     a = v.select(P, average_rank(F.col("imb"), [P]).alias("x"), average_rank(F.col("fwd"), [P]).alias("y"))
     c = a.groupBy(P).agg(correlation("x", "y").alias("ic"), F.count("*").alias("n")).where("n >= 20")
     return c.agg(F.count("*").alias("pairs"), F.round(F.avg("ic"), 6).alias("mean"), F.round(F.median("ic"), 6).alias("median"))
