@@ -74,7 +74,7 @@ def _(t):
 def _(t):
     sign = F.when(F.col("side") == "buy", F.col("amount_usd")).when(F.col("side") == "sell", -F.col("amount_usd")).otherwise(0.0)
     d = t.trades.withColumn("i", F.floor(F.col("sec") / 86400)).groupBy(P, "i").agg(F.sum(sign).alias("net"), F.avg("price_usd").alias("close"))
-    s = d.select(P, "i", F.lag("net").over(R.w()).alias("sig"), (F.lead("close").over(R.w()) / F.col("close") - 1).alias("fwd")).where("fwd is not null")
+    s = d.select(P, "i", F.lag("net").over(R.w()).alias("sig"), (quotient(F.lead("close").over(R.w()), F.col("close")) - 1).alias("fwd")).where("fwd is not null")
     return rounded(R.top_k(s, "i", F.col("sig"), 5).groupBy("i").agg(F.count("*").alias("k"), F.avg("fwd").alias("ret")))
 
 
