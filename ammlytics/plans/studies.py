@@ -12,6 +12,7 @@ from ammlytics.operators import research as R
 from ammlytics.plans.market import rounded
 from ammlytics.plans.registry import query
 from ammlytics.plans.research import _IB, _PANEL, _lag, _n, ib, panel
+from ammlytics.session import materialised
 
 P = "pair_address"
 
@@ -252,7 +253,8 @@ def _(t):
     f = R.numbered(t.bars)
     x = f.select(P, "day", "i", (F.lag("close").over(R.w()) / F.lag("close", 6).over(R.w()) - 1).alias("ret5"), (F.lag("close").over(R.w()) / F.lag("close", 21).over(R.w()) - 1).alias("ret20"), (F.lead("close", 7).over(R.w()) / F.col("close") - 1).alias("y"))
     x = x.where("i >= 30 and i % 7 = 0 and y is not null")
-    x = x.withColumn("label", average_rank(F.col("y"), ["day"]) / F.count("*").over(Window.partitionBy("day")))
+    # written once: the trees, the medians and both parts read it many times, and each time all lines would be joined and sorted again
+    x = materialised(x.withColumn("label", average_rank(F.col("y"), ["day"]) / F.count("*").over(Window.partitionBy("day"))))
     train, test = x.where("day < date'1999-01-01'"), x.where("day >= date'1999-01-01'")
     if train.isEmpty() or test.isEmpty():  # nothing to learn from, or nothing to score
         return t.spark.createDataFrame([], "day date, ic double, n long")
